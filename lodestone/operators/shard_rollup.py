@@ -1,0 +1,12 @@
+"""First-seen dedup and shard roll-up of a corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def first_seen(records: DataFrame, digest: str, order: list[str]) -> DataFrame:
+    """Keep, of the rows with one digest, the first in ``order``. A null digest is a value of its own."""
+    w = Window.partitionBy(digest).orderBy(*order)
+    return records.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
