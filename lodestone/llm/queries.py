@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, simhash
+from lodestone.llm import exact_dedup, simhash, url_filter
 from lodestone.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,26 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query(r"""
+    WITH cut AS (
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), parts AS (
+        SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+    ), rules AS (
+        SELECT * FROM (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
+                              ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) AS t(rhost, rpath, rverdict)
+    ), fits AS (
+        SELECT page_id, host, path, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(rverdict, length(rhost || rpath)) AS rverdict
+        FROM parts LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+        GROUP BY page_id, host, path
+    )
+    SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN regexp_matches(host,
+        '(^|\.)((cheap|buy|online)-pills|spam-[a-z0-9-]+|adult(-[a-z0-9-]+)?|casino(-[a-z0-9-]+)?|([a-z0-9-]+-)?bets|ads(-[a-z0-9-]+)?)\.')
+        THEN 'block' ELSE 'allow' END) AS verdict
+    FROM fits
+""")
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(load(spark, sf_dir, "pages")).drop("by")
