@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, simhash, url_filter
-from lodestone.llm.common import load
+from lodestone.llm import exact_dedup, langid, quality, simhash, url_filter
+from lodestone.llm.common import held_out, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages")).drop("by")
+
+
+@query()
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = quality.train(docs, load(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
