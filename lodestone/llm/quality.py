@@ -148,13 +148,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
-    kept = docs.select(*keep, F.col("text").alias("_text"))
+    source = "text" if "text" in keep else "_text"
+    kept = docs.select(*keep) if source == "text" else docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", score double"
 
     def run(batches):
         (w, bias), codes = shared.value, Codes()
         for b in batches:
-            out = [bias + SCALE * sum(float(w[i].sum(dtype=np.float64)) * v for i, v in blocks(t, codes)) for t in b.column("_text").cast(pa.binary()).to_pylist()]
+            out = [bias + SCALE * sum(float(w[i].sum(dtype=np.float64)) * v for i, v in blocks(t, codes)) for t in b.column(source).cast(pa.binary()).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p)], names=[*keep, "score"])
 

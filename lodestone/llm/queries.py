@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, langid, packing, quality, simhash, url_filter
-from lodestone.llm.common import held_out, load
+from lodestone.llm import decontaminate, exact_dedup, langid, packing, quality, simhash, token_rollup, url_filter
+from lodestone.llm.common import held_out, load, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,16 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one insert batch, committed and replayed; the ledger's totals."""
+    ledger, tokenizer = token_rollup.Ledger(spark, scratch_path(spark, "ledger")), token_rollup.Tokenizer()
+    rows = load(spark, sf_dir, "documents").select(F.lit(1).alias("sign"), "source", "lang", "text")
+    for _ in range(2):  # the replay finds the batch committed
+        ledger.commit("documents", token_rollup.deltas(rows, tokenizer))
+    return ledger.totals()
+
+
 @query()
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
