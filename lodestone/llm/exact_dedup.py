@@ -77,18 +77,28 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     repeat that id are numbered and only one of them is kept. Null ids are never kept over other
     ids; a group of null ids only keeps one row and has a null keep_id. Other columns are ignored.
     """
+    same = decisions(docs, text, doc_id, hash_bits)
+    each = same.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return each.select(F.col("doc_id").alias(doc_id), "keep_id", "group_size", (F.col("least") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+
+
+def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_bits: int = 64) -> DataFrame:
+    """(doc_id, text_sha256, keep_id, group_size, least, copies), one row per id and text."""
     rows = materialised(recipes(docs, text, doc_id, hash_bits), "recipes")
     groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     joined = rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("least"))
-    # repeated rows: same id, same text
-    same = joined.groupBy("doc_id", "text_sha256", "keep_id", "group_size", "least").agg(F.count("*").alias("copies"))
-    each = same.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return each.select(F.col("doc_id").alias(doc_id), "keep_id", "group_size", (F.col("least") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    return joined.groupBy("doc_id", "text_sha256", "keep_id", "group_size", "least").agg(F.count("*").alias("copies"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, text, doc_id).where("kept").select(F.col(doc_id).alias("_id"), F.col("text_sha256").alias("_sha"))
+    """The rows of ``docs`` that stay, with all their columns.
+
+    What goes is the smaller side of the join, an anti-join; texts move once.
+    """
+    found = materialised(decisions(docs, text, doc_id), "decisions")
+    gone = found.where("NOT least").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     marked = docs.withColumn("_sha2", F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    stay = marked.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")), "left_semi")
-    return stay.dropDuplicates([doc_id, "_sha2"]).drop("_sha2")
+    stay = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")), "left_anti")
+    if not found.where("least AND copies > 1").isEmpty():  # one id twice with one text
+        stay = stay.dropDuplicates([doc_id, "_sha2"])
+    return stay.drop("_sha2")

@@ -98,14 +98,16 @@ def grid(r: int, n: int) -> list[int]:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3, width: int = 3) -> DataFrame:
-    """One row per row of ``docs``: its id, ``fp`` and ``component_id``, the least id reachable over links.
+    """One row per row of ``docs``: its id, ``fp``, ``component_id`` (the least id reachable over links),
+    ``text_key`` (hash of the text) and ``root`` (the component's least fingerprint).
 
     Two rows are linked if their fingerprints differ in at most ``distance`` bits. Texts without
     words share fingerprint 0 and are linked like any other. Rows with a null id take part and
     keep a null id; ``component_id`` is null only if all ids of the component are null.
     Repeated rows stay repeated. An empty table gives no rows. Other columns are ignored.
     """
-    rows = materialised(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width), "fp")
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    rows = materialised(fingerprints(keyed, keep=("doc_id", "text_key"), width=width), "fp")
     distinct = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     masks = grid(distance, distinct.count())
     t = unary_popcounts(F.col("fp"))
@@ -132,8 +134,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     roots = distinct.join(first.withColumnRenamed("root", "r1"), distinct.fp == first.node, "left").select("fp", "least", F.coalesce("r1", "fp").alias("r1"))
     roots = roots.join(second, roots.r1 == second.node, "left").select("fp", "least", F.coalesce("root", "r1").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = roots.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
+    by_fp = roots.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(by_fp, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id", "text_key", "root")
+
+
+def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one with the
+    least id (of several texts with that id, the one with the least hash; null ids come last)."""
+    links = materialised(near_duplicates(docs, text, doc_id, distance).select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "text_key").alias("who"), "root"), "links")
+    groups = links.groupBy("root").agg(F.min("who").alias("rep"), F.count("*").alias("n")).where("n > 1").select("root", "rep")
+    members = links.join(groups, "root")
+    gone = members.where("who <> rep").select(F.col("who.id").alias("_id"), F.col("who.text_key").alias("_key")).distinct()
+    key = F.xxhash64(docs[text])
+    stay = docs.join(gone, docs[doc_id].eqNullSafe(gone._id) & (key == gone._key), "left_anti")
+    if not members.where("who = rep").groupBy("root").count().where("count > 1").isEmpty():  # one id twice with one text
+        stay = stay.withColumn("_key2", F.xxhash64(text)).dropDuplicates([doc_id, "_key2"]).drop("_key2")
+    return stay
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -1,37 +1,7 @@
 import random
-import re
-
-import xxhash
 
 from lodestone.llm import simhash
-
-
-def plain_fingerprint(text):
-    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
-    if not words:
-        return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
-    return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
-
-
-def plain_components(rows, distance=3):
-    label = list(range(len(rows)))
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i, (_, a) in enumerate(rows):
-        for j in range(i):
-            if (a ^ rows[j][1]).bit_count() <= distance:
-                label[root(i)] = root(j)
-    out = []
-    for i in range(len(rows)):
-        ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None]
-        out.append(min(ids, default=None))
-    return out
+from tests_llm_plain import plain_components, plain_fingerprint
 
 
 def test_fingerprint_matches_a_plain_one():
@@ -69,6 +39,12 @@ def test_components_match_brute_force(spark):
     want_fp = [(i, plain_fingerprint(t)) for i, t in rows]
     want = sorted(((i, f, c) for (i, f), c in zip(want_fp, plain_components(want_fp), strict=True)), key=str)
     assert sorted(((x.doc_id, x.fp % (1 << 64), x.component_id) for x in got), key=str) == want
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id bigint, text string, fp string, root string")
+    left = simhash.survivors(df)
+    assert left.columns == df.columns
+    ids = [x.doc_id for x in left.collect()]
+    components = {c for *_, c in want}
+    assert sorted(ids, key=str) == sorted(components, key=str)
 
 
 def test_empty_table(spark):
