@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, exact_dedup, langid, packing, quality, simhash, token_rollup, url_filter
+from lodestone.llm import decontaminate, exact_dedup, langid, packing, quality, simhash, substrings, token_rollup, url_filter
 from lodestone.llm.common import held_out, load, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,22 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    places AS (
+        SELECT doc_id, i, list_slice(w, i, i + 12) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+    ), owned AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS owner FROM places),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM owned WHERE owner < doc_id),
+    lists AS (SELECT doc_id, count(*) AS n, list(pos) AS p FROM gone GROUP BY doc_id),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) AS x
+        WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = x.doc_id AND gone.pos = x.pos) GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
