@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, exact_dedup, langid, packing, quality, simhash, substrings, token_rollup, url_filter
+from lodestone.llm import decontaminate, exact_dedup, langid, lm_score, packing, quality, simhash, substrings, token_rollup, url_filter
 from lodestone.llm.common import held_out, load, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(load(spark, sf_dir, "documents"))
