@@ -81,12 +81,12 @@ def lineage_nodes(spark, d):
     return G.merged_nodes(n, "id", "seq", ["flag", "qty"])
 
 
-@query(f"""WITH {EDGE} SELECT p.source AS grandparent, c.target AS node, count(*) AS n_paths FROM e p JOIN e c ON p.target = c.source WHERE p.kind = 'trained_on' GROUP BY 1, 2""")
+@query(f"""WITH {EDGE} SELECT c.target AS node, count(DISTINCT p.source) AS n_grandparents, count(*) AS n_paths FROM e p JOIN e c ON p.target = c.source WHERE p.kind = 'trained_on' GROUP BY 1""")
 def graph_parents(spark, d):
     e = edges(spark, d)
     up = e.where("kind = 'trained_on'").select(F.col("source").alias("grandparent"), F.col("target").alias("mid"))
     down = e.where("kind = 'aggregated_into'").select(F.col("source").alias("mid"), F.col("target").alias("node"))
-    return up.join(down, "mid").groupBy("grandparent", "node").agg(F.count("*").alias("n_paths"))
+    return up.join(down, "mid").groupBy("node").agg(F.countDistinct("grandparent").alias("n_grandparents"), F.count("*").alias("n_paths"))
 
 
 COMP = """comp AS (SELECT l_orderkey AS name, l_linenumber AS version, l_partkey % 50 AS cn, CAST(l_linenumber % 3 AS INT) AS cv, l_suppkey % 50 + 100 AS ln, CAST(l_quantity::INT % 4 AS INT) AS lv FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1)"""
