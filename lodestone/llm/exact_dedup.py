@@ -96,9 +96,9 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     What goes is the smaller side of the join, an anti-join; texts move once.
     """
     found = materialised(decisions(docs, text, doc_id), "decisions")
-    gone = found.where("NOT least").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha2", F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    stay = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")), "left_anti")
+    gone = found.where("NOT least").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha"))
+    marked = docs.withColumn("__sha", F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    stay = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
     if not found.where("least AND copies > 1").isEmpty():  # one id twice with one text
-        stay = stay.dropDuplicates([doc_id, "_sha2"])
-    return stay.drop("_sha2")
+        stay = stay.dropDuplicates([doc_id, "__sha"])
+    return stay.drop("__sha")

@@ -141,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit_ftrl([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float), y) for i, x, y in zip(got.i, got.x, got.y, strict=True)])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``keep`` columns, ``score`` (0 to 1) and ``predicted`` (1 from the threshold on) of every whole text.
+    ``names`` renames the two where ``keep`` holds such columns.
 
     A null text and one without tokens get the bias alone. Repeated rows stay repeated.
     """
@@ -150,13 +151,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
     source = "text" if "text" in keep else "_text"
     kept = docs.select(*keep) if source == "text" else docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + f", `{names[0]}` double"
 
     def run(batches):
         (w, bias), codes = shared.value, Codes()
         for b in batches:
             out = [bias + SCALE * sum(float(w[i].sum(dtype=np.float64)) * v for i, v in blocks(t, codes)) for t in b.column(source).cast(pa.binary()).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p)], names=[*keep, names[0]])
 
-    return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return kept.mapInArrow(run, schema).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))

@@ -148,7 +148,7 @@ def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dista
     key = F.xxhash64(docs[text])
     stay = docs.join(gone, docs[doc_id].eqNullSafe(gone._id) & (key == gone._key), "left_anti")
     if not members.where("who = rep").groupBy("root").count().where("count > 1").isEmpty():  # one id twice with one text
-        stay = stay.withColumn("_key2", F.xxhash64(text)).dropDuplicates([doc_id, "_key2"]).drop("_key2")
+        stay = stay.withColumn("__key", F.xxhash64(text)).dropDuplicates([doc_id, "__key"]).drop("__key")
     return stay
 
 

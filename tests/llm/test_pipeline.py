@@ -24,8 +24,8 @@ def tables(spark, path):
         docs.append((i, " ".join(words)))
     docs.append((77, "repeated row with an id that occurs twice"))
     docs.append((77, "repeated row with an id that occurs twice"))
-    full = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in docs]
-    spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{path}/documents.parquet")
+    full = [(i, t, "en", f"src{i % 3}", len(t or ""), "clash", "clash", "clash") for i, t in docs]
+    spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, keep_id string, text_key string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, int("$$$" not in (t or ""))) for i, t in docs[3:-2]], "doc_id bigint, quality int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     return full, bench
@@ -35,7 +35,7 @@ def test_stages_match_plain_versions(spark, tmp_path):
     full, bench = tables(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
-    want = [tuple(x)[:-2] for x in quality.score(docs, model, keep=tuple(docs.columns)).collect() if x.score >= 0.7]
+    want = [tuple(x)[:-2] for x in quality.score(docs, model, keep=tuple(docs.columns), names=("s", "p")).collect() if x.s >= 0.7]
     kept = []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
