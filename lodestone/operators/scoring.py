@@ -122,7 +122,7 @@ def rolling_mean(steps: DataFrame, by: str, order: list[str], value: str, n: int
     return steps.withColumn("rolling_mean", F.avg(value).over(w))
 
 
-def latency_stats(samples: DataFrame, by: str, value: str) -> DataFrame:
+def latency_stats(samples: DataFrame, by: str, value: str, places: int = 2) -> DataFrame:
     """Median, p95 (the sample at index int(0.95 n) of the sorted ones), least, greatest, sample deviation.
 
     The order statistic comes from a rank, not from a collected list.
@@ -131,8 +131,8 @@ def latency_stats(samples: DataFrame, by: str, value: str) -> DataFrame:
     s = samples.select(by, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
     at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(0.95)))
     return s.groupBy(by).agg(
-        F.count("*").alias("n"), F.bround(F.median("_v"), 2).alias("median"), F.bround(F.max(F.when(F.col("_i") == at, F.col("_v"))), 2).alias("p95"), F.bround(F.min("_v"), 2).alias("min"),
-        F.bround(F.max("_v"), 2).alias("max"), F.bround(F.coalesce(F.stddev_samp("_v"), F.lit(0.0)), 2).alias("stdev"),
+        F.count("*").alias("n"), F.bround(F.median("_v"), places).alias("median"), F.bround(F.max(F.when(F.col("_i") == at, F.col("_v"))), places).alias("p95"), F.bround(F.min("_v"), places).alias("min"),
+        F.bround(F.max("_v"), places).alias("max"), F.bround(F.coalesce(F.stddev_samp("_v"), F.lit(0.0)), places).alias("stdev"),
     )
 
 

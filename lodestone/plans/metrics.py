@@ -94,10 +94,10 @@ def diverging_steps(spark, d):
 
 
 @query("""WITH s AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-    SELECT event_type, count(*) AS n, round_even(median(v), 2) AS median, round_even(max(v) FILTER (i = least(n - 1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT))), 2) AS p95, round_even(min(v), 2) AS min, round_even(max(v), 2) AS max,
-           round_even(coalesce(stddev_samp(v), 0.0), 2) AS stdev FROM s GROUP BY 1""")
+    SELECT event_type, count(*) AS n, round_even(median(v), 6) AS median, round_even(max(v) FILTER (i = least(n - 1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT))), 6) AS p95, round_even(min(v), 6) AS min, round_even(max(v), 6) AS max,
+           round_even(coalesce(stddev_samp(v), 0.0), 6) AS stdev FROM s GROUP BY 1""")
 def latency_stats(spark, d):
-    return S.latency_stats(load(spark, d, "events"), "event_type", "value")
+    return S.latency_stats(load(spark, d, "events"), "event_type", "value", places=6)
 
 
 @query("""WITH p AS (SELECT user_id, ln(1 + value) AS loss, 1 + event_id % 50 AS n FROM events), m AS (SELECT user_id, sum(n) AS t, sum(loss * n) / greatest(sum(n), 1) AS m FROM p GROUP BY 1)
