@@ -53,8 +53,10 @@ def prefix_index(windows: DataFrame, docs_words: DataFrame, most: int) -> DataFr
     each = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
     placed = each.select("window", F.posexplode("window").alias("offset", "token"))
     vocabulary = materialised(placed.select("token").distinct(), "vocabulary")
-    counts = docs_words.select(F.explode("w").alias("token")).join(small(vocabulary, most), "token").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = placed.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("rarest"))
+    few = vocabulary.limit(most + 1).count() <= most
+    hint = F.broadcast if few else lambda df: df  # counts have a row a word of the vocabulary at most
+    counts = materialised(docs_words.select(F.explode("w").alias("token")).join(hint(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n")), "counts")
+    ranked = placed.join(hint(counts), "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("rarest"))
     return each.join(ranked, "window").select("window", "items", F.col("rarest.token").alias("key"), F.col("rarest.offset").alias("offset"))
 
 
