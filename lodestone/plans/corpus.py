@@ -60,7 +60,7 @@ def corpus_dedup_first_seen(spark, d):
     return kept.join(f.groupBy("content_sha256").agg(F.count("*").alias("copies")), "content_sha256").select("content_sha256", "path", "copies")
 
 
-@query(f"""WITH {JUDGED} SELECT cluster_id, count(*) AS num_files, sum(num_lines) AS num_lines, sum(num_code_lines) AS num_code_lines, sum(num_bytes) AS total_bytes
+@query(f"""WITH {JUDGED} SELECT cluster_id, count(*) AS num_files, sum(num_lines)::BIGINT AS num_lines, sum(num_code_lines)::BIGINT AS num_code_lines, sum(num_bytes)::BIGINT AS total_bytes
            FROM judged WHERE reason IS NULL GROUP BY cluster_id""")
 def corpus_shard_rollup(spark, d):
     return C.roll_up(judged(spark, d).where("reason IS NULL"), ["cluster_id"])
@@ -74,7 +74,7 @@ def shard_balance(spark, d):
     return B.balance(load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")), "source", "n")
 
 
-@query(f"""WITH {FILES} SELECT cluster_id, count(*) AS num_files, sum(num_code_lines) AS num_code_lines, round_even(avg(num_code_lines), 3) AS mean_code_lines,
+@query(f"""WITH {FILES} SELECT cluster_id, count(*) AS num_files, sum(num_code_lines)::BIGINT AS num_code_lines, round_even(avg(num_code_lines), 3) AS mean_code_lines,
         median(num_code_lines) AS median_code_lines, max(num_code_lines) AS max_code_lines, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages,
         round_even(count(*) / (SELECT count(*) FROM files), 6) AS corpus_share FROM files GROUP BY cluster_id""")
 def cluster_metadata(spark, d):
@@ -160,7 +160,7 @@ def shard_digest(spark, d):
 
 @query("""WITH t AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
     n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM t)
-    SELECT source, i // 16 AS block, count(*) AS n_tokens, sum(length(line)) AS n_chars FROM n WHERE (i // 16 + 1) * 16 <= n GROUP BY 1, 2""")
+    SELECT source, i // 16 AS block, count(*) AS n_tokens, sum(length(line))::BIGINT AS n_chars FROM n WHERE (i // 16 + 1) * 16 <= n GROUP BY 1, 2""")
 def fixed_chunks(spark, d):
     lines = load(spark, d, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     chunks = C.fixed_chunks(lines, "source", ["doc_id", "line_no"], 16, keep_tail=False)
@@ -197,7 +197,7 @@ def masked_summary(spark, d):
 
 @query("""WITH j AS (SELECT l.doc_id, d.source, l.quality FROM labels l JOIN documents d USING (doc_id)),
     bad AS (SELECT count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
-    SELECT source, count(*) AS n_tasks, sum(quality) AS n_solved, round_even(avg(quality), 4) AS pass_at_1, (SELECT n FROM bad) AS unknown_ids FROM j GROUP BY 1""")
+    SELECT source, count(*) AS n_tasks, sum(quality)::BIGINT AS n_solved, round_even(avg(quality), 4) AS pass_at_1, (SELECT n FROM bad) AS unknown_ids FROM j GROUP BY 1""")
 def fk_checked_scores(spark, d):
     labels, docs = load(spark, d, "labels"), load(spark, d, "documents").select("doc_id", "source")
     unknown = labels.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("unknown_ids"))

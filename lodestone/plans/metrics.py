@@ -44,7 +44,7 @@ def pass_at_k(spark, d):
 
 
 @query(f"""WITH x AS (SELECT count(*) AS n, sum((quality <> toxic)::INT) AS d, sum(quality) AS b, sum(toxic) AS c FROM labels)
-    SELECT n AS n_shared_tasks, d AS discordant_tasks, round_even(d / n::DOUBLE, 4) AS measured_discordance, round_even((b - c) / n::DOUBLE, 4) AS pass_at_1_drop, round_even({Z} * sqrt(d / n::DOUBLE / n), 4) AS noise_floor,
+    SELECT n AS n_shared_tasks, d::BIGINT AS discordant_tasks, round_even(d / n::DOUBLE, 4) AS measured_discordance, round_even((b - c) / n::DOUBLE, 4) AS pass_at_1_drop, round_even({Z} * sqrt(d / n::DOUBLE / n), 4) AS noise_floor,
            CASE WHEN (b - c) / n::DOUBLE <= 0.02 THEN 'pass' WHEN (b - c) / n::DOUBLE <= {Z} * sqrt(d / n::DOUBLE / n) THEN 'within_noise' ELSE 'regression' END AS verdict FROM x""")
 def paired_guard(spark, d):
     labels = load(spark, d, "labels")
