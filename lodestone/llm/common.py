@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +93,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen[0]:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def shut(*columns: np.ndarray, level: int = 3) -> bytes:
+    """Columns as one compressed block; bytes of one place stand together."""
+    head = np.array([len(columns), *(len(c) for c in columns)], np.int64).tobytes()
+    kinds = "".join(c.dtype.str[1:].ljust(3) for c in columns).encode()
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([head, kinds, *planes]))
+
+
+def opened(block: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    k = int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes = np.frombuffer(raw, np.int64, k, 8).tolist()
+    at, out = 8 + 8 * k, []
+    kinds = [raw[at + 3 * i : at + 3 * i + 3].decode().strip() for i in range(k)]
+    at += 3 * k
+    for kind, n in zip(kinds, sizes, strict=True):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * width
+    return out

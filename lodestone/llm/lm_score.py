@@ -23,11 +23,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches
+from lodestone.llm.common import bounded_batches, opened, shut
 
 ALPHA, MIN_COUNT = 0.4, 2
 #: Words in the head at most (two bytes a word, one code is the start mark), and documents that the probe reads (in expectation).
@@ -60,29 +59,6 @@ class Codes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def shut(*columns: np.ndarray) -> bytes:
-    """Columns as one compressed block; bytes of one place stand together."""
-    head = np.array([len(columns), *(len(c) for c in columns)], np.int64).tobytes()
-    kinds = "".join(c.dtype.str[1:].ljust(3) for c in columns).encode()
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, kinds, *planes]))
-
-
-def opened(block: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    k = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes = np.frombuffer(raw, np.int64, k, 8).tolist()
-    at, out = 8 + 8 * k, []
-    kinds = [raw[at + 3 * i : at + 3 * i + 3].decode().strip() for i in range(k)]
-    at += 3 * k
-    for kind, n in zip(kinds, sizes, strict=True):
-        width = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += n * width
-    return out
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * ODD
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)

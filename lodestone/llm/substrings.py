@@ -19,11 +19,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, materialised
+from lodestone.llm.common import bounded_batches, materialised, opened, shut
 
 WIDTH, GRAM = 13, 3
 #: Buckets a shuffle partition; a bucket is what a task holds in memory at once.
@@ -94,7 +93,7 @@ def hot_minimisers(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> np.
     return np.sort(np.array([x.k for x in most], np.int64).view(np.uint64))
 
 
-def _packed(rows, buckets: int, width: int, gram: int, hot: np.ndarray, level: int = 3):
+def _packed(rows, buckets: int, width: int, gram: int, hot: np.ndarray, level: int = 6):
     """(bucket, block) for each bucket that the (doc_id, text_key, words) of ``rows`` reach."""
     keys, docs, texts, starts, strings = [], [], [], [], []
     for doc, text_key, words in rows:
@@ -113,20 +112,16 @@ def _packed(rows, buckets: int, width: int, gram: int, hot: np.ndarray, level: i
     docs, texts, starts = np.concatenate(docs), np.concatenate(texts), np.concatenate(starts).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
-    press = zstandard.ZstdCompressor(level=level)
     for a, b in zip(edges, edges[1:], strict=False):
         here, known = order[a:b], {}
         which = np.fromiter((known.setdefault(strings[i], len(known)) for i in here.tolist()), np.int32, b - a)
-        head = np.array([b - a, len(known)], np.int64).tobytes()
-        block = b"".join([head, docs[here].tobytes(), texts[here].tobytes(), starts[here].tobytes(), which.tobytes(), b"\n".join(known)])
-        yield int(bucket[here[0]]), press.compress(block)
+        text = np.frombuffer(b"\n".join(known), np.uint8)
+        yield int(bucket[here[0]]), shut(np.diff(docs[here], prepend=0), texts[here], starts[here], np.diff(which, prepend=np.int32(0)), text, level=level)
 
 
 def _unpacked(block: bytes):
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n, _ = np.frombuffer(raw, np.int64, 2)
-    at = [16, 16 + 8 * n, 16 + 16 * n, 16 + 20 * n, 16 + 24 * n]
-    return (*(np.frombuffer(raw, kind, n, p) for kind, p in zip((np.int64, np.int64, np.int32, np.int32), at, strict=False)), raw[at[4] :].split(b"\n"))
+    docs, texts, starts, which, text = opened(block)
+    return np.cumsum(docs), texts, starts, np.cumsum(which), text.tobytes().split(b"\n")
 
 
 def repeated_windows(strings: list[bytes], first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,6 +234,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucke
     """
     bounded_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    # the text's hash travels only if some id has several texts
+    several = keyed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b")
+    if several.isEmpty():
+        keyed = keyed.withColumn("text_key", F.lit(0).cast("bigint"))
     runs = materialised(repeated_runs(keyed, width, gram, buckets), "runs")
     spans = runs.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
     joined = keyed.join(spans.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
