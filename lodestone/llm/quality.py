@@ -136,9 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
                 names=["o", "doc_id", "y", "i", "x"],
             )
 
-    got = texts.mapInArrow(run, "o bigint, doc_id bigint, y int, i binary, x binary").toPandas()
-    got = got.sort_values(["o", "doc_id", "y", "i"])
-    return fit_ftrl([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float), y) for i, x, y in zip(got.i, got.x, got.y, strict=True)])
+    got = texts.mapInArrow(run, "o bigint, doc_id bigint, y int, i binary, x binary").toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("o", "doc_id", "y", "i")])
+    columns = (got.column(c).to_pylist() for c in ("i", "x", "y"))
+    return fit_ftrl([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y) for i, x, y in zip(*columns, strict=True)])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
