@@ -85,8 +85,13 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_bits: int = 64) -> DataFrame:
     """(doc_id, text_sha256, keep_id, group_size, least, copies), one row per id and text."""
     rows = materialised(recipes(docs, text, doc_id, hash_bits), "recipes")
-    groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("least"))
+    shared = rows.groupBy("recipe").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # stored, so that both sides of the join are dealt for the join alone and a large group can be split
+    groups = materialised(shared.withColumn("shared", F.lit(True)), "groups")
+    keep = F.when(F.col("shared"), F.col("first")).otherwise(F.col("doc_id"))
+    joined = rows.join(groups, "recipe", "left").select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), "text_sha256", F.col("doc_id").eqNullSafe(keep).alias("least")
+    )
     return joined.groupBy("doc_id", "text_sha256", "keep_id", "group_size", "least").agg(F.count("*").alias("copies"))
 
 
