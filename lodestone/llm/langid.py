@@ -3,8 +3,11 @@
 k(x, y) = |X & Y| / sqrt(|X| |Y|), where X and Y are the sets of character 1- to 4-grams that
 occur in the lower-cased texts, hashed to a fixed number of slots. Landmark texts give the
 Nystroem map x -> K_LL^(-1/2) k(L, x); ridge regression of +1/-1 targets in that space is
-one-versus-rest kernel ridge regression. The map and the regression multiply to one matrix, so a
-batch of texts is scored by two matrix products.
+one-versus-rest kernel ridge regression. Landmarks, map and regression multiply to one matrix of a
+weight for each slot and language, so a batch is scored by one matrix product.
+
+A long text is scored in pieces of a fixed size, all of them, and the outputs are averaged over its
+characters: marks of a whole long text would fill the slots and make all languages alike.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ ORDERS = (1, 2, 3, 4)
 LANDMARKS = 128
 #: Training texts of one language at most (in expectation), and languages at most.
 PER_LANGUAGE, LANGUAGES = 600, 512
+#: Characters of a piece at most, pieces of a long training text, and rows of marks that are held at a time.
+PIECE, TRAIN_PIECES, BLOCK = 2048, 4, 256
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -48,29 +53,78 @@ def presences(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def pieces(text: str | None) -> list[str]:
+    """The lower-cased text in equal pieces, each with the n-grams that start in it."""
+    low = (text or "").lower()
+    n = max(1, -(-len(low) // PIECE))
+    at = [len(low) * i // n for i in range(n + 1)]
+    return [low[a : b + max(ORDERS) - 1] if n > 1 else low for a, b in zip(at, at[1:], strict=False)]
+
+
+def training_pieces(text: str | None) -> list[str]:
+    """Up to TRAIN_PIECES pieces with a letter, spread over the text; without a letter the first piece."""
+    every = pieces(text)
+    some = [p for p in every if LETTER.search(p)] or every[:1]
+    return [some[i * len(some) // min(TRAIN_PIECES, len(some))] for i in range(min(TRAIN_PIECES, len(some)))]
+
+
+def outputs(texts: list[str | None], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Outputs of the languages for each text: the mean over its pieces that have a letter, by their characters."""
+    total, chars = np.zeros((len(texts), len(bias))), np.zeros(len(texts))
+    block, owner, size = [], [], []
+
+    def score():
+        r = normalised(presences(block)) @ weights + bias
+        np.add.at(total, owner, r * np.array(size, float)[:, None])
+        np.add.at(chars, owner, size)
+        for held in (block, owner, size):
+            held.clear()
+
+    for i, text in enumerate(texts):
+        for p in pieces(text):
+            if LETTER.search(p):
+                block.append(p), owner.append(i), size.append(len(p))
+                if len(block) == BLOCK:
+                    score()
+    if block:
+        score()
+    return total / np.maximum(chars, 1)[:, None]
+
+
 def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
-def fit(x: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def dense(x: np.ndarray) -> np.ndarray:
+    """Presence rows, which may be packed to bits."""
+    return x if x.shape[1] == 1 << SLOT_BITS else np.unpackbits(x, axis=1).astype(np.float32)
+
+
+def fit(x: np.ndarray, lang: list[str], landmarks: int | None = None, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(landmark matrix, output matrix, languages) from presence rows in a fixed order.
 
     Landmarks are taken from each language in turn. Rare languages weigh as much as common ones.
     """
     names = sorted(set(lang))
-    x, y = normalised(x), np.array([names.index(v) for v in lang], np.int64)
+    index = {v: k for k, v in enumerate(names)}
+    y = np.array([index[v] for v in lang], np.int64)
     by = [np.flatnonzero(y == k) for k in range(len(names))]
     turns = [rows[t] for t in range(max(map(len, by), default=0)) for rows in by if t < len(rows)]
-    marks = x[turns[:landmarks]]
+    marks = normalised(dense(x[turns[: landmarks or LANDMARKS]]))
     k_ll = (marks @ marks.T).astype(float)
     value, vector = np.linalg.eigh(k_ll)
     keep = value > 1e-6 * max(value.max(initial=0), 1e-12)
     root = vector[:, keep] / np.sqrt(value[keep])
-    phi = np.hstack([(x @ marks.T) @ root, np.ones((len(x), 1))])
     weight = 1 / np.maximum(np.bincount(y, minlength=len(names)), 1)[y]
-    target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
-    gram = phi.T @ (phi * weight[:, None])
-    solved = np.linalg.solve(gram + ridge * np.eye(len(gram)) * len(names) / max(1, len(gram)), phi.T @ (target * weight[:, None]))
+    gram, right = np.zeros((root.shape[1] + 1, root.shape[1] + 1)), np.zeros((root.shape[1] + 1, len(names)))
+    for at in range(0, len(y), 1024):
+        part = slice(at, at + 1024)
+        seen = normalised(dense(x[part]))
+        phi = np.hstack([(seen @ marks.T) @ root, np.ones((len(seen), 1))])
+        target = np.where(y[part, None] == np.arange(len(names)), 1.0, -1.0)
+        gram += phi.T @ (phi * weight[part, None])
+        right += phi.T @ (target * weight[part, None])
+    solved = np.linalg.solve(gram + ridge * np.eye(len(gram)) * len(names) / max(1, len(gram)), right)
     return marks.astype(np.float32), np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32), names
 
 
@@ -88,14 +142,16 @@ def train(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE)
 
     def run(batches):
         for b in batches:
-            marks = presences(b.column("text").to_pylist()).astype(bool)
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("doc_id"), b.column("l"), pa.array([r.tobytes() for r in np.packbits(marks, axis=1)], pa.binary())], names=["u", "doc_id", "l", "x"])
+            parts = [(i, p) for i, t in enumerate(b.column("text").to_pylist()) for p in training_pieces(t)]
+            for at in range(0, len(parts), BLOCK):
+                some = parts[at : at + BLOCK]
+                rows, marks = pa.array([i for i, _ in some]), presences([p for _, p in some]).astype(bool)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("u", "doc_id", "l")), pa.array([r.tobytes() for r in np.packbits(marks, axis=1)], pa.binary())], names=["u", "doc_id", "l", "x"])
 
     got = texts.mapInArrow(run, "u double, doc_id bigint, l string, x binary").toPandas().sort_values(["u", "doc_id", "l", "x"])
     if not len(got):
         return None
-    x = np.unpackbits(np.frombuffer(b"".join(got.x), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    return fit(x, list(got.l))
+    return fit(np.frombuffer(b"".join(got.x), np.uint8).reshape(len(got), -1), list(got.l))
 
 
 def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -104,6 +160,9 @@ def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> Data
     A null text and one without a letter give ``und`` with score 0, as does a missing model.
     """
     bounded_batches(docs.sparkSession, rows=256)
+    if model:
+        marks, out, names = model
+        model = marks.T @ out[:-1], out[-1], names
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", lang_pred string, score double"
@@ -113,9 +172,8 @@ def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> Data
             texts, model = b.column("_text").to_pylist(), shared.value
             lettered = [bool(t and model and LETTER.search(t)) for t in texts]
             if model and texts:
-                marks, out, names = model
-                k = normalised(presences(texts)) @ marks.T
-                r = k @ out[:-1] + out[-1]
+                weights, bias, names = model
+                r = outputs(texts, weights, bias)
                 best = r.argmax(1)
                 top = np.clip((r[np.arange(len(r)), best] + 1) / 2, 0, 1)
             pred = [names[best[i]] if ok else UNKNOWN for i, ok in enumerate(lettered)]
