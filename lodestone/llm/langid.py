@@ -23,9 +23,10 @@ from lodestone.llm.common import bounded_batches, held_out
 
 SLOT_BITS = 13
 ORDERS = (1, 2, 3, 4)
-LANDMARKS = 128
-#: Training texts of one language at most (in expectation), and languages at most.
-PER_LANGUAGE, LANGUAGES = 600, 512
+#: Landmarks at least, and of each language.
+LANDMARKS, LANDMARKS_EACH = 128, 4
+#: Training texts of one language at most (in expectation).
+PER_LANGUAGE = 600
 #: Characters of a piece at most, pieces of a long training text, and rows of marks that are held at a time.
 PIECE, TRAIN_PIECES, BLOCK = 2048, 4, 256
 LETTER = re.compile(r"[^\W\d_]")
@@ -110,7 +111,7 @@ def fit(x: np.ndarray, lang: list[str], landmarks: int | None = None, ridge: flo
     y = np.array([index[v] for v in lang], np.int64)
     by = [np.flatnonzero(y == k) for k in range(len(names))]
     turns = [rows[t] for t in range(max(map(len, by), default=0)) for rows in by if t < len(rows)]
-    marks = normalised(dense(x[turns[: landmarks or LANDMARKS]]))
+    marks = normalised(dense(x[turns[: landmarks or max(LANDMARKS, LANDMARKS_EACH * len(names))]]))
     k_ll = (marks @ marks.T).astype(float)
     value, vector = np.linalg.eigh(k_ll)
     keep = value > 1e-6 * max(value.max(initial=0), 1e-12)
@@ -131,12 +132,12 @@ def fit(x: np.ndarray, lang: list[str], landmarks: int | None = None, ridge: flo
 def train(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE):
     """A model from a bounded sample of rows that aren't held out and have a language and a text.
 
-    Rows are chosen by a hash of their id, about ``per_language`` of each of the up to LANGUAGES
-    commonest languages; only their n-gram marks (1 KB a row) reach the driver. No such rows: None.
+    Rows are chosen by a hash of their id, about ``per_language`` of every language; only their
+    n-gram marks (1 KB a piece) reach the driver. No such rows: None.
     """
     bounded_batches(docs.sparkSession, rows=256)
     rows = docs.where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30))
-    counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
     rates = counts.select("l", (F.lit(float(per_language)) / F.col("n")).alias("rate"))
     texts = rows.join(F.broadcast(rates), rows[lang] == rates.l).where("u < rate and text is not null").select("u", "doc_id", "l", "text")
 
