@@ -141,7 +141,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the
     least id (of several texts with that id, the one with the least hash; null ids come last)."""
-    links = materialised(near_duplicates(docs, text, doc_id, distance).select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "text_key").alias("who"), "root"), "links")
+    return representatives(docs, near_duplicates(docs, text, doc_id, distance), text, doc_id)
+
+
+def representatives(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """As ``survivors``, for the components of ``found`` (id, ``text_key`` and ``root`` of each row)."""
+    links = materialised(found.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "text_key").alias("who"), "root"), "links")
     groups = links.groupBy("root").agg(F.min("who").alias("rep"), F.count("*").alias("n")).where("n > 1").select("root", "rep")
     members = links.join(groups, "root")
     gone = members.where("who <> rep").select(F.col("who.id").alias("_id"), F.col("who.text_key").alias("_key")).distinct()
