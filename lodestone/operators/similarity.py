@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +85,30 @@ def canonical_labels(rows: DataFrame, key: str, label: str) -> DataFrame:
     first = rows.groupBy(label).agg(F.min(key).alias("_first"))
     number = first.withColumn("canonical", F.row_number().over(Window.orderBy("_first")) - 1)  # one row a label
     return rows.join(number.drop("_first"), label)
+
+
+def cluster_vectors(rows: DataFrame, key: str, vector: str, k: int, seed: int = 0) -> DataFrame:
+    """(key, cluster) for every row: k-means on unit vectors, so near means a high cosine. Clusters are
+    numbered by the least key in them. A zero vector stays at the origin. Data stay distributed; the driver
+    holds the centres only."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    unit = rows.select(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"), norm.alias("n"))
+    points = unit.select("key", array_to_vector(F.transform("v", lambda x: F.when(F.col("n") > 1e-12, x / F.col("n")).otherwise(0.0))).alias("features"))
+    model = KMeans(k=k, seed=seed, maxIter=50).fit(points)
+    found = model.transform(points).select(F.col("key").alias(key), F.col("prediction").alias("cluster"))
+    return canonical_labels(found, key, "cluster").select(key, F.col("canonical").alias("cluster"))
+
+
+def agreement(rows: DataFrame, a: str, b: str, k: int) -> DataFrame:
+    """One row: the greatest share of rows with equal labels (0 .. k - 1) over all renamings of ``a``; k <= 6.
+    Rows count once, in a table of k * k cells; the renamings are tried on that table."""
+    if not 1 <= k <= 6:
+        raise ValueError(f"k = {k}")
+    table = rows.groupBy(a, b).agg(F.count("*").alias("n"))
+    names = F.array(*(F.array(*map(F.lit, p)) for p in permutations(range(k))))
+    each = table.select(a, b, "n", F.posexplode(names).alias("p", "to"))
+    hits = F.sum(F.when(F.element_at("to", (F.col(a) + 1).cast("int")) == F.col(b), F.col("n")).otherwise(0))
+    return each.groupBy("p").agg((hits / F.sum("n")).alias("s"), F.sum("n").alias("n")).agg(F.max("s").alias("agreement"), F.max("n").alias("n_rows"))

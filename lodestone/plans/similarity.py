@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -86,52 +85,111 @@ def adapters(spark, d):
     return load(spark, d, "embeddings").select("label", F.floor(F.col("vec_id") / 100).cast("int").alias("module"), F.col("vec_id").alias("adapter"), (1.0 + F.col("vec_id") % 3).alias("weight"), F.lit(4).alias("rank"), F.slice(e, 1, 32).alias("a"), F.slice(e, 33, 32).alias("b"))
 
 
+#: (vec_id, label, module, w, product): the 8 x 8 products B A as flat lists.
+PRODUCTS = f"""{VEC}, prod AS (SELECT vec_id, label, vec_id // 100 AS module, (1 + vec_id % 3)::DOUBLE AS w, list_transform(range(0, 64), lambda p: list_sum(list_transform(range(0, 4), lambda r: e[33 + (p // 8) * 4 + r] * e[1 + r * 8 + p % 8]))) AS m FROM v)"""
+
+
 @query()
 def lowrank_svd(spark, d):
     return K.low_rank_average(adapters(spark, d), ["label", "module"], 4)
 
 
+@query(f"""WITH {PRODUCTS}, x AS (SELECT label, module, w, e.p, m[e.p] AS x, ff.a, ff.b FROM prod, (SELECT unnest(range(1, 65)) AS p) e, (SELECT 0 AS a, 0 AS b) ff),
+    exact AS (SELECT label, module, p, sum(w * x) / sum(w) AS x FROM x GROUP BY 1, 2, 3),
+    fa AS (SELECT label, vec_id // 100 AS module, i, sum((1 + vec_id % 3) * e[i]) / sum(1 + vec_id % 3) AS f FROM v, (SELECT unnest(range(1, 65)) AS i) t GROUP BY 1, 2, 3),
+    fl AS (SELECT label, module, list(f ORDER BY i) AS f FROM fa GROUP BY 1, 2),
+    naive AS (SELECT label, module, p, list_sum(list_transform(range(0, 4), lambda r: f[33 + ((p - 1) // 8) * 4 + r] * f[1 + r * 8 + (p - 1) % 8])) AS y FROM fl, (SELECT unnest(range(1, 65)) AS p) t),
+    err AS (SELECT label, module, round_even(sqrt(sum((x - y) * (x - y)) / sum(x * x)), 6) AS e FROM exact JOIN naive USING (label, module, p) GROUP BY 1, 2)
+    SELECT label, count(*) AS n_modules, max(e) AS max_naive_error, round_even(avg(e), 5) AS mean_naive_error FROM err GROUP BY 1""")
+def aggregation_errors(spark, d):
+    """Relative errors of the naive average against the exact one: greatest, mean and number of modules."""
+    per = K.low_rank_average(adapters(spark, d), ["label", "module"], 4)
+    return per.groupBy("label").agg(F.count("*").alias("n_modules"), F.max("naive_error").alias("max_naive_error"), F.bround(F.avg("naive_error"), 5).alias("mean_naive_error"))
+
+
+@query()
+def residual_accumulate(spark, d):
+    """Per module: the start adapter (least id) plus the weighted residuals of the others over alpha = 0.5."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("adapter").to_dict("records")
+        start, *rest = ((K.matrix(r, "a"), K.matrix(r, "b")) for r in rows)
+        a, b, error = K.accumulate(start, rest, [r["weight"] for r in rows[1:]], 0.5, 4) if rest else (*start, 0.0)
+        return pd.DataFrame([{"label": key[0], "module": key[1], "n_residuals": len(rest), "a": a.ravel(), "b": b.ravel(), "truncation_error": round(error, 6)}])
+
+    return adapters(spark, d).groupBy("label", "module").applyInPandas(run, "label int, module int, n_residuals bigint, a array<double>, b array<double>, truncation_error double")
+
+
+CLIENTS = 24
+
+
+def client_factors(spark, d):
+    """24 clients, each with one adapter a module; every third module has no start adapter."""
+    rows = adapters(spark, d).withColumn("module", F.floor(F.col("adapter") / CLIENTS).cast("int"))
+    starts = rows.where(f"adapter % {CLIENTS} = 0 AND module % 3 <> 0").select("module", F.col("rank").alias("start_rank"), F.col("a").alias("start_a"), F.col("b").alias("start_b"))
+    return rows.withColumn("adapter", F.col("adapter") % CLIENTS).drop("label"), starts
+
+
+def gram_sql(starts: bool) -> str:
+    minus = "- CASE WHEN module % 3 <> 0 THEN s.m[p] ELSE 0 END" if starts else ""
+    return f"""WITH {PRODUCTS}, c AS (SELECT vec_id % {CLIENTS} AS client, vec_id // {CLIENTS} AS module, m FROM prod), u AS (
+        SELECT c.client, c.module, list_transform(range(1, 65), lambda p: c.m[p] {minus.replace("module", "c.module")}) AS m FROM c JOIN c s ON s.module = c.module AND s.client = 0)
+        SELECT x.client AS i, y.client AS j, round_even(sum(list_dot_product(x.m, y.m)), 4) AS dot FROM u x JOIN u y ON x.module = y.module AND x.client <= y.client GROUP BY 1, 2"""
+
+
+@query(gram_sql(False))
+def factor_gram(spark, d):
+    """Inner products of the clients' updates, from factors, summed over modules."""
+    return K.factor_gram(client_factors(spark, d)[0], ["module"]).withColumn("dot", F.bround("dot", 4))
+
+
+@query(gram_sql(True))
+def update_gram(spark, d):
+    """The same of updates: adapters less the module's start adapter, where there is one."""
+    rows, starts = client_factors(spark, d)
+    return K.factor_gram(rows, ["module"], starts).withColumn("dot", F.bround("dot", 4))
+
+
 @query()
 def kmeans_similarity(spark, d):
-    """Clusters of the label centroids, which are as many as there are labels; ids by first use."""
-    means = M.weighted_mean(load(spark, d, "embeddings").withColumn("w", F.lit(1.0)), ["label"], "embedding", "w")
-    rows = means.groupBy().agg(F.array_sort(F.collect_list(F.struct("label", "pos", "mean"))).alias("r"))
+    """Clusters of the clients by the cosines of their updates; ids by first use."""
+    rows, starts = client_factors(spark, d)
+    return K.cluster_by_gram(K.factor_gram(rows, ["module"], starts), 3)
 
-    def run(pdfs):
-        for pdf in pdfs:
-            r = pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in pdf["r"].iloc[0]], columns=["label", "pos", "mean"])
-            x = r.pivot(index="label", columns="pos", values="mean")
-            u = x.to_numpy() / np.linalg.norm(x.to_numpy(), axis=1, keepdims=True)
-            labels, inertia = K.kmeans(u @ u.T, min(3, len(u)))
-            yield pd.DataFrame({"label": x.index, "cluster": labels, "inertia": round(inertia, 6)})
 
-    return rows.mapInPandas(run, "label int, cluster int, inertia double")
+@query()
+def kmeans_vectors(spark, d):
+    """A cluster for every vector, by distributed k-means on unit vectors."""
+    return M.cluster_vectors(load(spark, d, "embeddings"), "vec_id", "embedding", 10)
 
 
 @query()
 def client_apply(spark, d):
-    """One task a client: compose its adapters with fixed coefficients, hash the result, lay out its budget."""
+    """A row an adapter: stacked on its cluster's part (the label's least id), hashed, with the size of its schedule."""
+    rows = adapters(spark, d)
+    cluster = rows.groupBy("label").agg(F.min_by(F.struct("rank", "a", "b"), "adapter").alias("c"), F.count("*").alias("n"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("adapter")
-        parts = [(K.matrix(r, "a"), K.matrix(r, "b"), c) for r, c in zip(pdf.head(2).to_dict("records"), (0.5, 1.0), strict=False)]
-        a, b = K.composed(parts)
-        schedule = K.budget_schedule(len(pdf), 2 * len(pdf), 4, 7)
-        return pd.DataFrame([{"label": key[0], "rank": a.shape[0], "adapter_sha256": K.adapter_hash({"a": a, "b": b}), "n_batches": len(schedule), "error": None}])
+    def compose(row: dict) -> dict:
+        part = row["c"] if isinstance(row["c"], dict) else row["c"].asDict()
+        a, b = K.composed([(K.matrix(part, "a"), K.matrix(part, "b"), 0.5), (K.matrix(row, "a"), K.matrix(row, "b"), 1.0)])
+        schedule = K.budget_schedule(row["n"], 2 * row["n"], 4, 7)
+        return {"adapter": row["adapter"], "label": row["label"], "rank": a.shape[0], "adapter_sha256": K.adapter_hash({"a": a, "b": b}), "n_batches": len(schedule)}
 
-    return adapters(spark, d).groupBy("label").applyInPandas(run, "label int, rank bigint, adapter_sha256 string, n_batches bigint, error string")
+    return K.apply_rows(rows.join(F.broadcast(cluster), "label"), compose, "adapter bigint, label int, rank bigint, adapter_sha256 string, n_batches bigint")
 
 
 @query()
 def recluster_step(spark, d):
-    """Clients (labels) reclustered by their mean updates; moves against the assignment by parity."""
-    found = kmeans_similarity(spark, d)
-
-    def run(pdfs):
-        for pdf in pdfs:
-            pdf = pdf.sort_values("label")
-            before = (pdf["label"] % 3).to_numpy(int)
-            after = K.aligned(pdf["cluster"].to_numpy(int), before, 3)
-            yield pd.DataFrame({"label": pdf["label"], "before": before, "after": after, "moved": before != after})
-
-    return found.coalesce(1).mapInPandas(run, "label int, before int, after int, moved boolean")
+    """Clients reclustered by their updates against the assignment by id modulo 3; a dry run and its application."""
+    rows, starts = client_factors(spark, d)
+    gram = K.factor_gram(rows, ["module"], starts)
+    before = rows.select("adapter", (F.col("adapter") % 3).cast("int").alias("before")).distinct()
+    return K.recluster(gram, before, 3)
+
+
+@query("""WITH r AS (SELECT label % 3 AS a, vec_id % 3 AS b FROM embeddings), p AS (SELECT unnest([[0,1,2],[0,2,1],[1,0,2],[1,2,0],[2,0,1],[2,1,0]]) AS q), s AS (SELECT q, avg((q[a + 1] = b)::INT) AS v FROM r, p GROUP BY 1)
+    SELECT round_even(max(v), 9) AS agreement, (SELECT count(*) FROM r) AS n_rows FROM s""")
+def partition_agreement(spark, d):
+    """The share of rows on which two partitions agree after the best renaming of one."""
+    rows = load(spark, d, "embeddings").select((F.col("label") % 3).alias("a"), (F.col("vec_id") % 3).alias("b"))
+    return M.agreement(rows, "a", "b", 3).withColumn("agreement", F.bround("agreement", 9))
