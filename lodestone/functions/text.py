@@ -13,8 +13,14 @@ LINE_ENDS = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
+#: The same white space without line ends, and line ends as a class body.
+BLANK = r"\x09\x1F\x20\xA0\u1680\u2000-\u200A\u202F\u205F\u3000"
+END = r"\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029"
+
+
 def normalise_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    """LF for CR LF and CR. Texts without CR, almost all, are left as they are."""
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def strip(text: Column) -> Column:
@@ -28,8 +34,13 @@ def split_lines(text: Column) -> Column:
 
 
 def count_lines(text: Column) -> Column:
-    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return F.when(text == "", 0).otherwise(ends + F.when(text.endswith("\n"), 0).otherwise(1))
+    """Lines that end with LF, CR or both, and a last one without an end."""
+    return F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\r\n?|\n")) + F.when(text.endswith("\n") | text.endswith("\r"), 0).otherwise(1))
+
+
+def normalised_bytes(text: Column) -> Column:
+    """Bytes in UTF-8 after newlines are normalised: one less for each CR LF."""
+    return F.octet_length(text) - F.when(F.contains(text, F.lit("\r")), F.regexp_count(text, F.lit("\r\n"))).otherwise(0)
 
 
 def is_code_line(line: Column) -> Column:
@@ -38,7 +49,13 @@ def is_code_line(line: Column) -> Column:
 
 
 def count_code_lines(text: Column) -> Column:
-    return F.size(F.filter(split_lines(text), is_code_line))
+    """Lines whose first visible character isn't ``#``, in one pass and without splitting the text."""
+    return F.regexp_count(text, F.lit(f"(?<![^{END}])[{BLANK}]*+[^#{SPACE}]"))
+
+
+def is_usable_line(line: Column, least: int = 4) -> Column:
+    """At least ``least`` (two or more) characters when stripped, and no comment."""
+    return line.rlike(f"(?s)^[{SPACE}]*+[^#{SPACE}].{{{least - 2},}}[^{SPACE}]")
 
 
 def truncated(text: Column, limit: int = 120) -> Column:

@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators.ordering import hash_bucket, running
 
 
 def with_text_columns(files: DataFrame, content: str = "content") -> DataFrame:
     """Line, code-line and byte counts and the digest of the newline-normalised text."""
-    t = X.normalise_newlines(F.col(content))
-    return files.withColumns({"num_lines": X.count_lines(t), "num_code_lines": X.count_code_lines(t), "num_bytes": F.octet_length(t), "content_sha256": X.sha256(t)})
+    t = F.col(content)
+    return files.withColumns({"num_lines": X.count_lines(t), "num_code_lines": X.count_code_lines(t), "num_bytes": X.normalised_bytes(t), "content_sha256": X.sha256(X.normalise_newlines(t))})
 
 
 def filter_reasons(files: DataFrame, exclude: list[str], order: list[str], min_code_lines: int = 10, max_bytes: int = 262_144, drop_duplicates: bool = True) -> DataFrame:
     """``files`` with ``reason``, the first rule that rejects a file (null: accepted).
 
-    Columns needed: path, content (null: not decodable), num_code_lines, content_sha256.
-    Duplicates are judged among the files that pass all other rules, in ``order``. A digest's
-    group is ranked with a window whose rank filter runs before the shuffle as well.
+    Columns needed: path, content (null: not decodable), num_code_lines, content_sha256, and ``order``,
+    which tells all files apart. Duplicates are judged among the files that pass all other rules, by
+    an aggregation: the first file of each digest that several files share is joined back, so a
+    digest with a third of all files combines before the shuffle.
     """
     size = F.octet_length("content")
     early = (
@@ -32,22 +34,25 @@ def filter_reasons(files: DataFrame, exclude: list[str], order: list[str], min_c
     judged = files.withColumn("reason", early)
     if not drop_duplicates:
         return judged
-    # rejected files stand alone in the window, so they neither count nor gather in one partition
-    key = F.when(F.col("reason").isNull(), F.col("content_sha256")).otherwise(F.concat(F.lit("#"), F.xxhash64(*order).cast("string")))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return judged.withColumn("reason", F.when(F.col("reason").isNull() & (first > 1), "duplicate_content").otherwise(F.col("reason")))
+    shared = judged.where("reason IS NULL").groupBy(F.col("content_sha256").alias("_digest")).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
+    met = judged.join(shared, F.col("reason").isNull() & (F.col("content_sha256") == F.col("_digest")), "left")
+    late = F.col("_first").isNotNull() & (F.struct(*order) != F.col("_first"))
+    return met.withColumn("reason", F.when(F.col("reason").isNull() & late, "duplicate_content").otherwise(F.col("reason"))).drop("_digest", "_first", "_copies")
 
 
 def reason_counts(judged: DataFrame, by: str) -> DataFrame:
     """Counts of each reason by source and over all (``by`` null)."""
-    levels = judged.where("reason IS NOT NULL").rollup("reason", by).agg(F.count("*").alias("n"))
-    return levels.where("reason IS NOT NULL")
+    rejected = judged.where("reason IS NOT NULL")
+    return rejected.groupingSets([["reason", by], ["reason"]], "reason", by).agg(F.count("*").alias("n"))
 
 
 def first_seen(records: DataFrame, digest: str, order: list[str]) -> DataFrame:
-    """Of the rows with one digest the first in ``order``. A null digest is a value of its own."""
-    w = Window.partitionBy(digest).orderBy(*order)
-    return records.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """Of the rows with one digest the first in ``order``. A null digest is a value of its own.
+
+    An aggregation, so a frequent digest combines before the shuffle.
+    """
+    rest = [c for c in records.columns if c != digest]
+    return records.groupBy(digest).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(digest, "_r.*").select(*records.columns)
 
 
 def roll_up(records: DataFrame, by: list[str]) -> DataFrame:
@@ -60,11 +65,16 @@ def hash_order(seed: int, group: str, key: str) -> Column:
     return X.sha256(F.concat_ws(":", F.lit(str(seed)), F.col(group), F.col(key).cast("string")))
 
 
+def in_hash_order(records: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """``_at``, a record's place in its group's seeded hash order, and ``_n``, the group's size."""
+    hashed = records.withColumn("_hash", hash_order(seed, group, key))
+    return running(hashed, [group], ["_hash", key], hash_bucket(F.col("_hash"))).drop("_hash")
+
+
 def hash_chunks(records: DataFrame, group: str, key: str, seed: int, target: int) -> DataFrame:
     """Deal the records of a group to max(1, n div target) chunks, round robin in seeded hash order."""
-    chunks = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy(group)) / target).cast("int"))
-    at = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(seed, group, key), key)) - 1
-    return records.withColumn("chunk", at % chunks)
+    chunks = F.greatest(F.lit(1), F.floor(F.col("_n") / target))
+    return in_hash_order(records, group, key, seed).withColumn("chunk", (F.col("_at") % chunks).cast("int")).drop("_at", "_n")
 
 
 def holdout(records: DataFrame, group: str, key: str, seed: int, fraction: float) -> DataFrame:
@@ -72,17 +82,16 @@ def holdout(records: DataFrame, group: str, key: str, seed: int, fraction: float
 
     Rounding is half to even. A group of one record cannot be split: its ``held_out`` is null.
     """
-    n = F.count("*").over(Window.partitionBy(group))
-    at = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(seed, group, key), key))
-    most = F.greatest(F.lit(1), F.least(F.bround(n * fraction).cast("int"), n - 1))
-    return records.withColumn("held_out", F.when(n >= 2, at <= most))
+    n = F.col("_n")
+    most = F.greatest(F.lit(1), F.least(F.bround(n * fraction).cast("bigint"), n - 1))
+    return in_hash_order(records, group, key, seed).withColumn("held_out", F.when(n >= 2, F.col("_at") < most)).drop("_at", "_n")
 
 
 def developers(records: DataFrame, group: str, key: str, path: str, seed: int, target: int, least: int) -> DataFrame:
     """Split each group into developers by module path, else by hash chunks, else not at all.
 
     A basis holds if it gives at least two parts and each has at least ``least`` records. Adds
-    ``basis`` and ``dev_index``. Parts are counted by aggregation; only the hash order is a window.
+    ``basis`` and ``dev_index``. Parts are counted by aggregation; the index ranks parts, not records.
     """
     base = hash_chunks(records.withColumn("_module", X.module_key(F.col(path))), group, key, seed, target)
 
@@ -106,25 +115,42 @@ def next_line_examples(files: DataFrame, file: str, content: str, per_file: int,
     """
     lines = X.split_lines(F.col(content))
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("target")))
-    usable = F.filter(numbered, lambda x: (x["line_no"] >= skip) & (F.length(X.strip(x["target"])) >= least) & ~X.strip(x["target"]).startswith("#"))
+    usable = F.filter(numbered, lambda x: (x["line_no"] >= skip) & X.is_usable_line(x["target"], least))
     picked = F.slice(F.filter(usable, lambda _, i: i % stride == 0), 1, per_file)
     out = files.select(F.col(file).alias("file"), lines.alias("_lines"), F.explode(picked).alias("x")).select("file", "_lines", "x.*")
     return out.select("file", "line_no", F.concat(F.array_join(F.slice("_lines", F.lit(1), F.col("line_no")), "\n"), F.lit("\n")).alias("prompt"), "target")
 
 
+#: Records of a group whose digest one task forms.
+DIGEST_LINES = 4_000_000
+
+
 def ordered_digest(records: DataFrame, group: str, key: str, digest: str) -> DataFrame:
-    """Digest of the group's ``key NUL digest LF`` lines in key order."""
+    """Digest of the group's ``key NUL digest LF`` lines in key order.
+
+    One digest over all lines of a group needs them in one place, so a group of over DIGEST_LINES records
+    (some 400 MB of lines) is an error, raised from counts before lines are gathered.
+    """
+    sizes = records.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    bound = sizes.select("_g", F.when(F.col("_n") > DIGEST_LINES, F.raise_error(F.lit(f"a group has over {DIGEST_LINES} records"))).otherwise(F.col("_n")).alias("_n"))
     rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(digest).alias("d"))))
     line = F.transform(rows, lambda r: F.concat(r["k"], F.lit("\x00"), r["d"], F.lit("\n")))
-    return records.groupBy(group).agg(F.count("*").alias("num_files"), X.sha256(F.array_join(line, "")).alias("shard_sha256"))
+    return records.join(bound, F.col(group).eqNullSafe(F.col("_g"))).groupBy(group).agg(F.max("_n").alias("num_files"), X.sha256(F.array_join(line, "")).alias("shard_sha256"))
 
 
-def fixed_chunks(tokens: DataFrame, group: str, order: list[str], length: int, keep_tail: bool) -> DataFrame:
-    """``block`` and ``pos`` of each token; the last, short block of a group only if ``keep_tail``."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(group))
-    out = tokens.withColumn("_at", at).withColumn("block", F.floor(at / length)).withColumn("pos", (at % length).cast("int")).withColumn("_n", n)
-    return (out if keep_tail else out.where((F.col("block") + 1) * length <= F.col("_n"))).drop("_at", "_n")
+def fixed_chunks(texts: DataFrame, group: str, order: str, tokens: str, length: int, keep_tail: bool, span: int = 4096) -> DataFrame:
+    """``group``, ``block``, ``pos`` and ``token`` of each token of the group's texts, taken in ``order`` (a number);
+    the last, short block of a group only if ``keep_tail``.
+
+    Only ids and sizes are summed to offsets (in ranges of ``span`` ids); tokens are dealt to blocks by
+    arithmetic where they are and aren't sorted. Null token lists are empty.
+    """
+    sized = texts.select(group, F.col(order).alias("_o"), F.coalesce(F.size(tokens), F.lit(0)).alias("_s"))
+    offsets = running(sized, [group], ["_o"], F.floor(F.col("_o") / span), F.greatest(F.col("_s"), F.lit(0))).select(F.col(group).alias("_g"), "_o", "_at", "_n")
+    met = texts.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col(order) == F.col("_o")))
+    each = met.select(group, "_at", "_n", F.posexplode(tokens).alias("_p", "token")).withColumn("_at", F.col("_at") + F.col("_p"))
+    out = each.withColumn("block", F.floor(F.col("_at") / length)).withColumn("pos", (F.col("_at") % length).cast("int"))
+    return (out if keep_tail else out.where((F.col("block") + 1) * length <= F.col("_n"))).select(group, "block", "pos", "token")
 
 
 def budgets(counts: DataFrame, n: str, total: int, policy: str = "sqrt", max_epochs: float = 3.0, least: int = 20) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordering import running
+
 Z_95 = 1.959963984540054
 
 
@@ -125,15 +127,22 @@ def rolling_mean(steps: DataFrame, by: str, order: list[str], value: str, n: int
 def latency_stats(samples: DataFrame, by: str, value: str, places: int = 2) -> DataFrame:
     """Median, p95 (the sample at index int(0.95 n) of the sorted ones), least, greatest, sample deviation.
 
-    The order statistic comes from a rank, not from a collected list.
+    Equal values are counted before anything is sorted, and the counts are summed in ranges of values, so
+    no key's samples are sorted in one task. Null values don't count.
     """
-    w = Window.partitionBy(by)
-    s = samples.select(by, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
-    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(0.95)))
-    return s.groupBy(by).agg(
-        F.count("*").alias("n"), F.bround(F.median("_v"), places).alias("median"), F.bround(F.max(F.when(F.col("_i") == at, F.col("_v"))), places).alias("p95"), F.bround(F.min("_v"), places).alias("min"),
-        F.bround(F.max("_v"), places).alias("max"), F.bround(F.coalesce(F.stddev_samp("_v"), F.lit(0.0)), places).alias("stdev"),
+    counts = samples.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    s = running(counts, [by], ["_v"], F.floor("_v"), F.col("_c"))
+    holds = lambda at: (F.col("_at") <= at) & (at < F.col("_at") + F.col("_c"))
+    pick = lambda at: F.max(F.when(holds(at), F.col("_v")))
+    p95 = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(0.95)))
+    mean = F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
+    first = s.groupBy(by).agg(
+        F.max("_n").alias("n"), ((pick(F.floor((F.col("_n") - 1) / 2)) + pick(F.floor(F.col("_n") / 2))) / 2).alias("median"), pick(p95).alias("p95"), F.min("_v").alias("min"), F.max("_v").alias("max"), mean.alias("_mean"),
     )
+    square = counts.join(first.select(F.col(by).alias("_by"), "_mean"), F.col(by).eqNullSafe(F.col("_by"))).groupBy(F.col("_by").alias("_key")).agg(F.sum(F.col("_c") * F.pow(F.col("_v") - F.col("_mean"), 2)).alias("_sq"))
+    stdev = F.when(F.col("n") > 1, F.sqrt(F.col("_sq") / F.nullif(F.col("n") - 1, F.lit(0)))).otherwise(0.0)
+    out = first.join(square, F.col(by).eqNullSafe(F.col("_key")))
+    return out.select(by, "n", *(F.bround(c, places).alias(c) for c in ("median", "p95", "min", "max")), F.bround(stdev, places).alias("stdev"))
 
 
 def weighted_perplexity(parts: DataFrame, by: str, loss: str, n: str, cap: float = 20.0) -> DataFrame:
@@ -154,8 +163,27 @@ def winners(runs: DataFrame, by: str, stable: str, delta: str, order: str, pick:
 
 
 def criteria_scores(rows: DataFrame, key: str, scores: str, weights: dict[str, float]) -> DataFrame:
-    """Weighted score of a map of criteria (4 places) and its rank, ties by key."""
+    """Mean weighted score of a key's maps of criteria (4 places) and its rank, ties by key. Keys are the few
+    candidates of a survey, so one window ranks them."""
     w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
     total = F.aggregate(F.map_entries(scores), F.lit(0.0), lambda a, e: a + e["value"] * w[e["key"]])
-    scored = rows.select(key, F.bround(total, 4).alias("score"))
-    return scored
+    return rows.select(key, total.alias("_s")).groupBy(key).agg(F.bround(F.avg("_s"), 4).alias("score")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+
+
+#: Tasks of a benchmark whose solved ids one row lists.
+ANCHOR_TASKS = 1_000_000
+
+
+def anchor(results: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
+    """One row: tasks, solved ones, pass rates of ``base`` and ``plus``, frozen tasks without a result, results
+    outside the frozen set, and the digest of the solved ids in order, comma-joined. A benchmark has
+    at most ANCHOR_TASKS tasks; more are an error."""
+    there = results.withColumn("_there", F.lit(1)).join(frozen.select(key).distinct().withColumn("_frozen", F.lit(1)), key, "full_outer")
+    ids = F.array_sort(F.collect_list(F.when(F.col("base"), F.col(key))))
+    share = lambda c: F.bround(F.avg(F.when(F.col("_there") == 1, F.coalesce(F.col(c), F.lit(False)).cast("int"))), 6)
+    size = there.agg(F.count("*").alias("_size")).select(F.when(F.col("_size") > ANCHOR_TASKS, F.raise_error(F.lit(f"over {ANCHOR_TASKS} tasks"))).otherwise(F.col("_size")).alias("_size"))
+    one = there.join(F.broadcast(size)).where("_size >= 0").agg(  # one row is broadcast
+        F.count("_there").alias("n_tasks"), F.count_if("base").alias("n_solved"), share("base").alias("base_pass"), share("plus").alias("plus_pass"),
+        F.count_if(F.col("_there").isNull()).alias("missing"), F.count_if(F.col("_frozen").isNull()).alias("extra"), ids.alias("_ids"),
+    )
+    return one.withColumn("anchor_sha256", F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ",").cast("binary"), 256)).drop("_ids")

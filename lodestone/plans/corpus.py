@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import balance as B
 from lodestone.operators import corpus as C
+from lodestone.operators import scoring as S
 from lodestone.plans.registry import query
 from lodestone.sources.tables import load
 
@@ -162,9 +163,9 @@ def shard_digest(spark, d):
     n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM t)
     SELECT source, i // 16 AS block, count(*) AS n_tokens, sum(length(line))::BIGINT AS n_chars FROM n WHERE (i // 16 + 1) * 16 <= n GROUP BY 1, 2""")
 def fixed_chunks(spark, d):
-    lines = load(spark, d, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    chunks = C.fixed_chunks(lines, "source", ["doc_id", "line_no"], 16, keep_tail=False)
-    return chunks.groupBy("source", "block").agg(F.count("*").alias("n_tokens"), F.sum(F.length("line")).alias("n_chars"))
+    texts = load(spark, d, "documents").select("source", "doc_id", F.split("text", "\n").alias("lines"))
+    chunks = C.fixed_chunks(texts, "source", "doc_id", "lines", 16, keep_tail=False)
+    return chunks.groupBy("source", "block").agg(F.count("*").alias("n_tokens"), F.sum(F.length("token")).alias("n_chars"))
 
 
 @query("""WITH c AS (SELECT source, sum(n_chars) // 1024 AS n FROM documents GROUP BY 1), w AS (SELECT *, 1200.0::DOUBLE * sqrt(n) / (SELECT sum(sqrt(n)) FROM c) AS raw FROM c),
@@ -203,3 +204,28 @@ def fk_checked_scores(spark, d):
     unknown = labels.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("unknown_ids"))
     per = labels.join(docs, "doc_id").groupBy("source").agg(F.count("*").alias("n_tasks"), F.sum("quality").alias("n_solved"), F.bround(F.avg("quality"), 4).alias("pass_at_1"))
     return per.join(F.broadcast(unknown))
+
+
+@query(f"""WITH {JUDGED} SELECT cluster_id, count(*) AS discovered, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS skipped, CAST(coalesce(sum(num_bytes) FILTER (reason IS NULL), 0) AS BIGINT) AS kept_bytes FROM judged GROUP BY 1""")
+def source_stats(spark, d):
+    """What was found and what was kept of each source."""
+    kept = F.col("reason").isNull()
+    return judged(spark, d).groupBy("cluster_id").agg(
+        F.count("*").alias("discovered"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("skipped"), F.coalesce(F.sum(F.when(kept, F.col("num_bytes"))), F.lit(0)).cast("bigint").alias("kept_bytes")
+    )
+
+
+@query("""SELECT doc_id % 301 AS file_id, count(DISTINCT source) AS n_shards FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1""")
+def id_collisions(spark, d):
+    return B.id_collisions(load(spark, d, "documents").select((F.col("doc_id") % 301).alias("file_id"), "source"), "file_id", "source")
+
+
+@query("""WITH r AS (SELECT * FROM labels WHERE doc_id % 9 <> 0), f AS (SELECT doc_id FROM labels WHERE doc_id % 10 <> 0)
+    SELECT count(r.doc_id) AS n_tasks, count(*) FILTER (quality = 1) AS n_solved, round_even(avg(quality), 6) AS base_pass, round_even(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END), 6) AS plus_pass,
+           (SELECT count(*) FROM f WHERE doc_id NOT IN (SELECT doc_id FROM r)) AS missing, (SELECT count(*) FROM r WHERE doc_id NOT IN (SELECT doc_id FROM f)) AS extra,
+           sha256(string_agg(CAST(r.doc_id AS VARCHAR), ',' ORDER BY r.doc_id) FILTER (quality = 1)) AS anchor_sha256 FROM r""")
+def anchor_scores(spark, d):
+    """A run's results against a frozen subset of tasks: pass rates of the plain and the extended tests, tasks on
+    one side only, and the digest of the solved ids in order."""
+    labels = load(spark, d, "labels")
+    return S.anchor(labels.where("doc_id % 9 <> 0").select("doc_id", (F.col("quality") == 1).alias("base"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("plus")), labels.where("doc_id % 10 <> 0").select("doc_id"), "doc_id")

@@ -133,10 +133,7 @@ def sweep_winner(spark, d):
 def survey_rank(spark, d):
     weights = {"size": 0.5, "price": 0.3, "name": 0.2}
     rows = load(spark, d, "part").select("p_partkey", "p_brand", F.create_map(F.lit("size"), F.col("p_size") / 50.0, F.lit("price"), F.col("p_retailprice") / 2000.0, F.lit("name"), F.length("p_name") / 50.0).alias("criteria"))
-    w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-    each = rows.select("p_brand", F.explode("criteria").alias("k", "v"), "p_partkey").groupBy("p_brand").agg((F.sum(F.col("v") * w[F.col("k")]) / F.countDistinct("p_partkey")).alias("s"))
-    scored = each.select("p_brand", F.bround("s", 4).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "p_brand")))
+    return S.criteria_scores(rows, "p_brand", "criteria", weights)
 
 
 @query("""SELECT item_id, CAST(('0x' || left(sha256('20260616|' || item_id), 8))::BIGINT & 2147483647 AS BIGINT) AS seed FROM benchmark""")
