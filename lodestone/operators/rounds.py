@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordering import running
+
 
 def last_write(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows of a key the last in ``order``; an aggregation, so a hot key combines before the shuffle."""
@@ -41,10 +43,25 @@ def quorum(updates: DataFrame, by: list[str], expected: Column, timeout_s: float
     return per.withColumn("quorum_met", (F.col("accepted") > 0) & (F.col("accepted") >= F.col("required"))).drop("_e")
 
 
-def current_rounds(events: DataFrame, cluster: str, order: list[str], fires: Column) -> DataFrame:
-    """``current_round`` of each event: how many rounds of its cluster were closed before it."""
-    before = Window.partitionBy(cluster).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("current_round", F.coalesce(F.sum(fires.cast("int")).over(before), F.lit(0)))
+def current_rounds(events: DataFrame, cluster: str, order: list[str], fires: Column, span_s: int = 3600) -> DataFrame:
+    """``current_round`` of each event: how many rounds of its cluster were closed before it.
+
+    ``order`` starts with a time; events are counted in ranges of ``span_s`` seconds, so the few
+    clusters there are don't bound the number of tasks.
+    """
+    at = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (span_s * 1_000_000))
+    return running(events, [cluster], order, at, fires.cast("int"), at="current_round").drop("_n")
+
+
+def read_access(requests: DataFrame, members: DataFrame, caller: str, wanted: str) -> DataFrame:
+    """``requests`` with ``status``: 403 if the caller is a member of another cluster than it wants to read,
+    else 200. Callers without a membership, and unknown ones, aren't restricted.
+
+    ``members``: client_id, cluster_id, one row a client.
+    """
+    m = members.select(F.col("client_id").alias("_who"), F.col("cluster_id").alias("_owner"))
+    met = requests.join(m, F.col(caller) == F.col("_who"), "left")
+    return met.withColumn("status", F.when(F.col("_owner") != F.col(wanted), 403).otherwise(200)).drop("_who", "_owner")
 
 
 def admission(owner: Column, cluster: Column, base: Column, claimed: Column, current: Column, valid: Column) -> Column:
@@ -63,6 +80,14 @@ def running_sum_or_null(value: str, w) -> Column:
     return F.when(F.count("*").over(w) == F.count(value).over(w), F.sum(value).over(w))
 
 
+def budget_stop(rounds: DataFrame, by: str, order: str, spend: str, budget: float) -> DataFrame:
+    """A row a key: rounds within the budget, what they spend, and the first round beyond it (null: none).
+    ``rounds`` has one row a round, so a window holds a key's rounds only."""
+    spent = rounds.withColumn("_spent", F.sum(spend).over(Window.partitionBy(by).orderBy(order)))
+    ok = F.col("_spent") <= budget
+    return spent.groupBy(by).agg(F.count_if(ok).alias("rounds_within"), F.bround(F.coalesce(F.max(F.when(ok, F.col("_spent"))), F.lit(0.0)), 6).alias("spent"), F.min(F.when(~ok, F.col(order))).alias("stops_at"))
+
+
 def previous_measured(value: str, by: str, order: str) -> Column:
     """The last value before this row that isn't null."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -79,25 +104,31 @@ def promotion_reasons(delta: Column, band: Column, base_guard: Column, cand_guar
     )
 
 
-def token_buckets(requests: DataFrame, client: str, ts: str, order: str, capacity: float, rate: float) -> DataFrame:
+def token_buckets(requests: DataFrame, client: str, ts: str, order: str, capacity: float, rate: float, ttl_s: float | None = None) -> DataFrame:
     """``allowed`` for each request of a client, by a token bucket that starts full.
 
-    Sequential by nature: a client's requests are walked in order by one task.
+    A bucket that is idle for capacity / rate seconds is full again, and one that is idle for ``ttl_s``
+    is dropped and starts anew, full. So a client's requests fall into runs, cut at such pauses, that
+    don't depend on each other; runs, not clients, are dealt to tasks, which walk them in order.
     """
-    import pandas as pd
-
     cols = requests.select(client, ts, order)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        tokens, last, out = capacity, None, []
-        for now in pdf[ts].astype("int64").to_numpy() / 1e6:
-            tokens = tokens if last is None else min(capacity, tokens + (now - last) * rate)
-            last = now
-            out.append(tokens >= 1)
-            tokens -= tokens >= 1
-        return pdf.assign(allowed=out)[[client, order, "allowed"]]
+    pause = min(capacity / rate, ttl_s if ttl_s is not None else float("inf")) * 1e6
+
+    def run(pdfs):
+        who, tokens, last = None, capacity, 0.0
+        for pdf in pdfs:
+            out = []
+            for c, k, now in zip(pdf[client], pdf["_run"], pdf[ts].to_numpy() / 1e6, strict=True):
+                tokens = min(capacity, tokens + (now - last) * rate) if (c, k) == who else capacity
+                who, last = (c, k), now
+                out.append(tokens >= 1)
+                tokens -= tokens >= 1
+            yield pdf.assign(allowed=out)[[client, order, "allowed"]]
 
     micros = cols.withColumn(ts, F.unix_micros(F.col(ts).cast("timestamp")))
+    w = Window.partitionBy(client).orderBy(ts, order)
+    fresh = F.coalesce((F.col(ts) - F.lag(ts).over(w) >= pause).cast("int"), F.lit(0))
+    runs = micros.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kinds = {f.name: f.dataType.simpleString() for f in cols.schema}
-    return micros.groupBy(client).applyInPandas(run, f"`{client}` {kinds[client]}, `{order}` {kinds[order]}, allowed boolean")
+    dealt = runs.repartition(client, "_run").sortWithinPartitions(client, "_run", ts, order)
+    return dealt.mapInPandas(run, f"`{client}` {kinds[client]}, `{order}` {kinds[order]}, allowed boolean")

@@ -142,12 +142,22 @@ def cluster_status(spark, d):
     return p
 
 
-@query(f"""WITH {UP}, c AS (SELECT client_id, event_type, value, event_id FROM up WHERE client_id % 5 < 3), j AS (SELECT event_id, client_id % 7 AS caller, client_id, event_type, value FROM c)
-    SELECT event_id, client_id FROM j WHERE caller = 0 OR caller = client_id % 7 AND event_type = 'purchase'""")
+@query(f"""WITH {UP}, m AS (SELECT client_id, max_by(cluster_id, event_id) AS owner FROM up WHERE client_id % 5 <> 4 GROUP BY 1),
+    q AS (SELECT event_id, client_id AS caller, event_id % 4 AS wanted FROM up)
+    SELECT event_id, caller, wanted, CASE WHEN owner <> wanted THEN 403 ELSE 200 END AS status FROM q LEFT JOIN m ON caller = client_id""")
 def read_isolation(spark, d):
-    """Callers without a membership read all; members read their own cluster's decisions only."""
-    j = uploads(spark, d).where("client_id % 5 < 3").withColumn("caller", F.col("client_id") % 7)
-    return j.where((F.col("caller") == 0) | ((F.col("caller") == F.col("client_id") % 7) & (F.col("event_type") == "purchase"))).select("event_id", "client_id")
+    """Every event asks for the adapter of a cluster. Each fifth client has no membership and may read all;
+    the others may read their own cluster's only."""
+    up = uploads(spark, d)
+    members = up.where("client_id % 5 <> 4").groupBy("client_id").agg(F.max_by("cluster_id", "event_id").alias("cluster_id"))
+    requests = up.select("event_id", F.col("client_id").alias("caller"), (F.col("event_id") % 4).alias("wanted"))
+    return R.read_access(requests, members, "caller", "wanted")
+
+
+@query(f"""WITH {UP} SELECT cluster_id, event_id, ts FROM up WHERE event_type IN ('purchase', 'error')""")
+def decision_log(spark, d):
+    """The log's decisions (promote and rollback, here two event types); other events are no decisions."""
+    return uploads(spark, d).where(F.col("event_type").isin("purchase", "error")).select("cluster_id", "event_id", "ts")
 
 
 @query(f"""WITH {UP}, b AS (SELECT cluster_id, max(value) AS v FROM up WHERE cluster_id <> 3 GROUP BY 1), n AS (SELECT client_id, cluster_id, round_id, max_by(value, event_id) FILTER (event_type = 'purchase') AS live, max_by(value, event_id) AS newest FROM up GROUP BY 1, 2, 3),
@@ -219,6 +229,19 @@ def oldest_k(spark, d):
     return uploads(spark, d).groupBy("client_id").agg(F.max("ts").alias("last_fill")).orderBy("last_fill", "client_id").limit(10)
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    b AS (SELECT user_id, event_id, us, i, 3.0::DOUBLE AS t FROM r WHERE i = 1 UNION ALL
+          SELECT r.user_id, r.event_id, r.us, r.i, CASE WHEN r.us - b.us >= 7200000000 THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, CASE WHEN b.t >= 1 THEN b.t - 1 ELSE b.t END + ((r.us / 1e6::DOUBLE) - (b.us / 1e6::DOUBLE)) * (1 / 7200.0::DOUBLE)) END
+          FROM b JOIN r ON r.user_id = b.user_id AND r.i = b.i + 1)
+    SELECT user_id, event_id, t >= 1 AS allowed FROM b""")
 def token_bucket(spark, d):
-    return R.token_buckets(load(spark, d, "events"), "user_id", "ts", "event_id", 3.0, 1 / 7200)
+    """Three requests at once and one every two hours; a bucket idle for two hours is dropped and starts full."""
+    return R.token_buckets(load(spark, d, "events"), "user_id", "ts", "event_id", 3.0, 1 / 7200, ttl_s=7200.0)
+
+
+@query(f"""WITH {UP}, m AS (SELECT cluster_id, round_id, max(value) / 100 AS epsilon FROM up GROUP BY 1, 2), c AS (SELECT *, sum(epsilon) OVER (PARTITION BY cluster_id ORDER BY round_id) AS spent FROM m)
+    SELECT cluster_id, count(*) FILTER (spent <= 8) AS rounds_within, round_even(coalesce(max(spent) FILTER (spent <= 8), 0), 6) AS spent, min(round_id) FILTER (spent > 8) AS stops_at FROM c GROUP BY 1""")
+def privacy_budget_stop(spark, d):
+    """How many rounds a cluster's privacy budget of 8 allows, and the round it stops at."""
+    m = uploads(spark, d).groupBy("cluster_id", "round_id").agg((F.max("value") / 100).alias("epsilon"))
+    return R.budget_stop(m, "cluster_id", "round_id", "epsilon", 8.0)

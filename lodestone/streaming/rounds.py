@@ -1,8 +1,9 @@
-"""Round protocol as a stateful stream, and its batch replay.
+"""Round protocol as a stateful stream, and its batch replay.
 
 Events of a cluster are handled in (ts, event_id) order by one function over one state: uploads of
-the current round by client, and the round's number. The batch replay folds the same function
-over sorted events, so both give the same rows.
+the current round by client, each with the base it builds on, the round's number and the active
+version. The batch replay folds the same function over sorted events, batch by batch, so both give
+the same rows. Clusters are independent; the events of one are a sequence by nature.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ OUT = "cluster_id bigint, event_id bigint, round_id bigint, status int, pending
 @dataclass
 class Cluster:
     round_id: int = 0
-    uploads: dict[int, int] = field(default_factory=dict)
+    uploads: dict[int, tuple[int, int]] = field(default_factory=dict)  # client: examples, base version
+    active: int = 0
 
     def handle(self, kind: str, client: int, claimed: int, n: int) -> int:
         """The status of one event: 201 stored, 200 done, 4xx refused (then nothing changes)."""
@@ -29,24 +31,33 @@ class Cluster:
                 return 409
             if client not in self.uploads and len(self.uploads) >= CAPACITY:
                 return 429
-            self.uploads[client] = n
+            self.uploads[client] = (n, self.active)
             return 201
         if kind == "move":
             return 200 if self.uploads.pop(client, None) is not None else 404
         if kind in ("aggregate", "peek"):
-            if sum(v > 0 for v in self.uploads.values()) < MIN_CLIENTS:
+            if sum(v > 0 for v, _ in self.uploads.values()) < MIN_CLIENTS:
                 return 409  # below quorum the buffer stays
             if kind == "aggregate":
                 self.round_id, self.uploads = self.round_id + 1, {}
+                self.active = self.round_id
+            return 200
+        if kind == "restore":  # an older version is served again; what builds on another one goes, the round stays
+            if not 0 <= n <= self.round_id:
+                return 404
+            self.active, self.uploads = n, {k: v for k, v in self.uploads.items() if v[1] == n}
             return 200
         return 422
 
-    def dump(self) -> tuple[int, str]:
-        return self.round_id, json.dumps({str(k): v for k, v in self.uploads.items()})
+    def dump(self) -> tuple[int, int, str]:
+        return self.round_id, self.active, json.dumps({str(k): v for k, v in self.uploads.items()})
 
     @classmethod
-    def load(cls, round_id: int, uploads: str) -> Cluster:
-        return cls(round_id, {int(k): v for k, v in json.loads(uploads).items()})
+    def load(cls, round_id: int, active: int, uploads: str) -> Cluster:
+        return cls(round_id, {int(k): tuple(v) for k, v in json.loads(uploads).items()}, active)
+
+
+COLUMNS = ["cluster_id", "event_id", "round_id", "status", "pending"]
 
 
 def _walk(state: Cluster, cluster: int, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -54,12 +65,23 @@ def _walk(state: Cluster, cluster: int, pdf: pd.DataFrame) -> pd.DataFrame:
     for e in pdf.sort_values(["ts", "event_id"]).itertuples():
         status = state.handle(e.kind, e.client_id, state.round_id - e.lag, e.num_examples)
         rows.append((cluster, e.event_id, state.round_id, status, len(state.uploads)))
-    return pd.DataFrame(rows, columns=["cluster_id", "event_id", "round_id", "status", "pending"])
+    return pd.DataFrame(rows, columns=COLUMNS)
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """``events``: cluster_id, ts, event_id, kind, client_id, lag (rounds behind the current one), num_examples."""
-    return events.groupBy("cluster_id").applyInPandas(lambda key, pdf: _walk(Cluster(), key[0], pdf), OUT)
+    """``events``: cluster_id, ts, event_id, kind, client_id, lag (rounds behind the current one), num_examples
+    (of a restore: the version). A task reads its clusters' sorted events in batches and holds one state."""
+
+    def run(pdfs):
+        now, state = None, None
+        for pdf in pdfs:
+            for cluster, part in pdf.groupby("cluster_id", sort=False):
+                if cluster != now:
+                    now, state = cluster, Cluster()
+                yield _walk(state, cluster, part)
+
+    dealt = events.repartition("cluster_id").sortWithinPartitions("cluster_id", "ts", "event_id")
+    return dealt.mapInPandas(run, OUT)
 
 
 def stream(events: DataFrame) -> DataFrame:
@@ -72,4 +94,4 @@ def stream(events: DataFrame) -> DataFrame:
         state.update(cluster.dump())
         yield out
 
-    return events.groupBy("cluster_id").applyInPandasWithState(step, OUT, "round_id long, uploads string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("cluster_id").applyInPandasWithState(step, OUT, "round_id long, active long, uploads string", "append", GroupStateTimeout.NoTimeout)
