@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import registry_rules as G
+from lodestone.operators import validators as V
 from lodestone.plans.registry import query
 from lodestone.sources.tables import load
 
@@ -143,20 +144,27 @@ def compat_groups(spark, d):
     return g.select("l_orderkey", F.array_join(problems, ",").alias("problems"), subset.alias("subset"), ((F.col("n") >= 3) & (F.col("n") % 2 == 1)).alias("due"))
 
 
-@query("""SELECT s_suppkey, regexp_matches(s_name, '^[A-Za-z0-9][A-Za-z0-9._#-]{0,63}$') AS name_ok, regexp_matches(s_name, '^[a-zA-Z0-9-]+$') AND length(s_name) <= 64 AS id_ok,
-    array_to_string(list_filter([CASE WHEN s_acctbal < 0 THEN 'negative' END, CASE WHEN s_acctbal / 10000 NOT BETWEEN 0 AND 1 THEN 'range' END, CASE WHEN abs(s_acctbal - round_even(s_acctbal, 0)) > 1e-9 * greatest(abs(s_acctbal), abs(round_even(s_acctbal, 0))) THEN 'epsilon_mismatch' END], lambda x: x IS NOT NULL), ',') AS problems FROM supplier""")
+@query("""WITH s AS (SELECT *, CASE WHEN s_suppkey % 9 = 0 THEN s_acctbal + 0.5 WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS inner_epsilon FROM supplier)
+    SELECT s_suppkey, regexp_matches(s_name, '^[A-Za-z0-9][A-Za-z0-9._#-]{0,63}$') AS name_ok, regexp_matches(s_name, '^[a-zA-Z0-9-]+$') AND length(s_name) <= 64 AS id_ok,
+    array_to_string(list_filter([CASE WHEN s_acctbal < 0 THEN 'negative' END, CASE WHEN s_acctbal / 10000 NOT BETWEEN 0 AND 1 THEN 'range' END, CASE WHEN inner_epsilon <> s_acctbal THEN 'epsilon_mismatch' END], lambda x: x IS NOT NULL), ',') AS problems FROM s""")
 def contract_validators(spark, d):
-    b = F.col("s_acctbal")
-    problems = F.array(F.when(b < 0, "negative"), F.when(~(b / 10000).between(0, 1), "range"), F.when(F.abs(b - F.bround(b)) > 1e-9 * F.greatest(F.abs(b), F.abs(F.bround(b))), "epsilon_mismatch"))
-    name = F.col("s_name")
-    return load(spark, d, "supplier").select(
-        "s_suppkey", name.rlike("^[A-Za-z0-9][A-Za-z0-9._#-]{0,63}$").alias("name_ok"), (name.rlike("^[a-zA-Z0-9-]+$") & (F.length(name) <= 64)).alias("id_ok"), F.array_join(F.array_compact(problems), ",").alias("problems")
-    )
+    """Balances as epsilons, given at two places; every ninth differs, and some are given once."""
+    b, k, name = F.col("s_acctbal"), F.col("s_suppkey"), F.col("s_name")
+    inner = F.when(k % 9 == 0, b + 0.5).when(k % 5 != 0, b)
+    found = V.problems(V.domain(b, 0, name="negative"), V.domain(b / 10000, 0, 1), V.reconciled(b, inner))
+    return load(spark, d, "supplier").select("s_suppkey", name.rlike(V.NAME).alias("name_ok"), name.rlike(V.CLIENT).alias("id_ok"), F.array_join(found, ",").alias("problems"))
 
 
 @query("""WITH o AS (SELECT 'orders' AS origin, o_orderkey AS id, o_custkey AS k FROM orders UNION ALL SELECT 'documents', doc_id, n_chars FROM documents) SELECT origin, count(*) AS n, min(id) AS first_id, max(id) AS last_id, CAST(sum(k) AS BIGINT) AS total FROM o GROUP BY 1""")
 def versioned_scan(spark, d):
-    """Two sources stacked; an empty one would be an error."""
-    o = load(spark, d, "orders").select(F.lit("orders").alias("origin"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"))
-    t = load(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.col("n_chars").alias("k"))
-    return o.unionByName(t).groupBy("origin").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("k").alias("total"))
+    """Two sources stacked; an empty one is an error."""
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"))
+    t = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("k"))
+    return V.union_of({"orders": o, "documents": t}).groupBy("origin").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("k").alias("total"))
+
+
+@query(f"""WITH {VER} SELECT name, max_by(o_orderkey, (ts, o_orderkey)) FILTER (price > 100000) AS newest_measured, max_by(o_orderkey, (ts, o_orderkey)) AS newest FROM ver GROUP BY 1""")
+def newest_document(spark, d):
+    """The newest document of each name, and the newest one that was measured (null: none was)."""
+    when = F.struct("ts", "o_orderkey")
+    return versions(spark, d).groupBy("name").agg(F.max_by("o_orderkey", F.when(F.col("price") > 100000, when)).alias("newest_measured"), F.max_by("o_orderkey", when).alias("newest"))

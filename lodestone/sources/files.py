@@ -1,7 +1,14 @@
-"""JSON lines, documents, logs and file trees through Spark's readers."""
+"""JSON lines, documents, logs, run records, file trees and settings through Spark's readers."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import re
+from dataclasses import MISSING, fields, is_dataclass
+from typing import get_type_hints
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,18 +37,108 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def write_document(spark: SparkSession, path: str, document: dict) -> None:
+    """Replace ``path`` by one JSON document. It is written beside the target and then renamed, so a reader
+    sees the old one or the new one."""
+    jvm = spark.sparkContext._jvm
+    at, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(document, indent=2, ensure_ascii=False).encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    fs.rename(part, at)
+
+
+def read_runs(spark: SparkSession, root: str, schema: str, experiment: str | None = None) -> DataFrame:
+    """Run records ``root/<experiment>/<run>/run.json`` by experiment and path; one experiment's folder only, if given."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/{experiment or '*'}/*/run.json")
+    return rows.withColumn("path", F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)/run.json$", 1)).orderBy("path")
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def discover(spark: SparkSession, root: str, name: str = "*.py") -> DataFrame:
-    """(path, length, content) of the files below a folder whose name fits; path is relative to it."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
-    clean = root.rstrip("/").split(":", 1)[-1]
+def discover(spark: SparkSession, root: str, name: str = "*.py", subpaths: list[str] | None = None) -> DataFrame:
+    """(path, length, content) of the files below a folder whose name fits; path is relative to it.
+
+    ``subpaths`` reads those folders only; one that isn't there is an error.
+    """
+    root = root.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load([f"{root}/{s}" for s in subpaths] if subpaths else root)
+    clean = root.split(":", 1)[-1]
     relative = F.regexp_replace("path", rf"^.*?\Q{clean}\E/", "")
     return found.select(relative.alias("path"), "length", "content")
 
 
+def sorted_texts(spark: SparkSession, root: str, name: str = "*.py") -> DataFrame:
+    """(path, text) of the decodable files below a folder in path order, parts of a path compared one by one."""
+    files = discover(spark, root, name).select("path", decoded(F.col("content")).alias("text"))
+    return files.where("text is not null").orderBy(F.split("path", "/"))
+
+
+def read_corpus(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
+    """Corpus records, each with its required columns; a corpus without records is an error when it is read."""
+    from lodestone.operators.validators import union_of
+
+    return union_of({"corpus": read_jsonl(spark, path, schema, required)}).drop("origin")
+
+
+def synthetic_files(spark: SparkSession, n: int, project: str, lines: int = 20) -> DataFrame:
+    """``n`` source files made from digests of their numbers: project, path, content. The same on every run."""
+    line = lambda i: F.concat(F.lit("value_"), F.substring(X.sha256(F.concat_ws("|", F.lit(project), "id", i.cast("string"))), 1, 8), F.lit(" = "), i.cast("string"))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(lines)), line), "\n")
+    path = F.concat(F.lit("pkg"), (F.col("id") % 7).cast("string"), F.lit("/m"), F.col("id").cast("string"), F.lit(".py"))
+    return spark.range(n).select(F.lit(project).alias("project"), path.alias("path"), F.concat(body, F.lit("\n")).alias("content"))
+
+
+def config_hash(config: dict, length: int = 64) -> str:
+    """Digest of a configuration: its compact JSON with sorted keys."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:length]
+
+
+def run_id(config: dict, swept: tuple[str, ...] = ()) -> str:
+    """Ten digits of the digest of a configuration without the keys that the sweep itself sets."""
+    return config_hash({k: v for k, v in config.items() if k not in swept}, 10)
+
+
+def load_config(text: str, kind: type, environment: dict[str, str] | None = None):
+    """A dataclass from a JSON document; ``${NAME}`` and ``${NAME:-default}`` come from the environment.
+
+    Keys that the dataclass lacks, fields without a value and unset names are errors; nested dataclasses
+    are built from nested objects.
+    """
+    env = os.environ if environment is None else environment
+
+    def expand(m: re.Match) -> str:
+        if m[1] not in env and m[2] is None:
+            raise KeyError(f"{m[1]} is not set")
+        return json.dumps(env.get(m[1], m[2]))[1:-1]
+
+    def build(value, of):
+        if not is_dataclass(of) or not isinstance(value, dict):
+            return value
+        known, types = {f.name: f for f in fields(of)}, get_type_hints(of)
+        if extra := sorted(set(value) - set(known)):
+            raise ValueError(f"unknown keys {extra} for {of.__name__}")
+        if gone := [n for n, f in known.items() if n not in value and f.default is MISSING and f.default_factory is MISSING]:
+            raise ValueError(f"{of.__name__} lacks {gone}")
+        return of(**{k: build(v, types[k]) for k, v in value.items()})
+
+    return build(json.loads(re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", expand, text)), kind)
+
+
+def round_trip_differences(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows whose JSON text in ``column`` changes when it is read under ``schema`` and written again: the text
+    and the keys that were lost. Keys whose value is null count as absent."""
+    keys = lambda c: F.map_keys(F.map_filter(F.from_json(c, "map<string,string>"), lambda _, v: v.isNotNull()))
+    again = F.to_json(F.from_json(column, schema))
+    lost = F.array_except(keys(F.col(column)), keys(again))
+    return rows.withColumn("lost", F.array_sort(lost)).where(F.size("lost") > 0)
+
+
 def decoded(content: Column) -> Column:
     """The text of a file, newlines normalised; null if it is binary or no UTF-8."""
     text = content.cast("string")
@@ -66,6 +163,18 @@ def samples(rows: DataFrame) -> DataFrame:
     return asserted(rows.withColumn("sample", text), ["task_id", "sample"])
 
 
+def tasks(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Tasks of the first of ``paths`` that exists; none, and one without tasks, is an error."""
+    from lodestone.operators.validators import union_of
+
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return union_of({"tasks": read_jsonl(spark, p, schema, ["task_id"])}).drop("origin")
+    raise FileNotFoundError(f"no tasks at {paths}")
+
+
 def first_tasks(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Tasks by numeric suffix, those without one last; ``limit`` takes the first ones."""
     suffix = F.coalesce(F.element_at(F.split("task_id", "/"), -1).try_cast("int"), F.lit(1 << 30))

@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LARGEST_HEADER = 100 << 20
@@ -21,7 +21,13 @@ def header(data: bytes) -> dict:
     n = int.from_bytes(data[:8], "little")
     if n > min(LARGEST_HEADER, len(data) - 8):
         raise ValueError("header longer than the file")
-    found = {k: v for k, v in json.loads(data[8 : 8 + n]).items() if k != "__metadata__"}
+    head = json.loads(data[8 : 8 + n])
+    if not isinstance(head, dict):
+        raise ValueError("header is no object")
+    found = {k: v for k, v in head.items() if k != "__metadata__"}
+    whole = lambda xs: isinstance(xs, list) and all(type(x) is int and x >= 0 for x in xs)
+    if not all(isinstance(t, dict) and whole(t["shape"]) and whole(t["data_offsets"]) and len(t["data_offsets"]) == 2 for t in found.values()):
+        raise ValueError("shapes and offsets are lists of whole numbers")
     at = 0
     for name, t in sorted(found.items(), key=lambda kv: kv[1]["data_offsets"]):
         begin, end = t["data_offsets"]
@@ -73,6 +79,19 @@ def to_file(tensors: dict[str, np.ndarray]) -> bytes:
     return len(text).to_bytes(8, "little") + text + b"".join(parts)
 
 
+def write_adapter(spark: SparkSession, path: str, config: dict, tensors: dict[str, np.ndarray]) -> None:
+    """An adapter directory as one row: its configuration as JSON and its tensors as one file."""
+    row = [(json.dumps(config, sort_keys=True), bytearray(to_file(tensors)))]
+    spark.createDataFrame(row, "config string, tensors binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_adapter(spark: SparkSession, path: str, config_schema: str) -> DataFrame:
+    """(config, name, shape, data) rows of an adapter directory; a configuration that doesn't parse is an error."""
+    rows = spark.read.schema("config string, tensors binary").parquet(path)
+    parsed = F.from_json("config", config_schema, {"mode": "FAILFAST"})
+    return tensor_rows(rows, "config", "tensors").withColumn("config", parsed)
+
+
 def base64_fits(data: Column, shape: Column, item: int = 4) -> Column:
     """Whether a base64 payload has the size that its shape asks for."""
     n = F.aggregate(shape, F.lit(1).cast("bigint"), lambda a, x: a * x)
