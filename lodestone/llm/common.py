@@ -2,54 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go if the session names no shared folder (tests, single machine).
-LOCAL_SHARED = "/tmp/checkpoints/lodestone"
+from lodestone.sources.scratch import remove, scratch_path, stored  # noqa: F401
 
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 32) -> None:
-    """Bound Arrow batches by rows and bytes, so that very long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and bytes, so that very long texts cannot fill a worker. All operators
+    ask for the same bounds, so the order in which plans are built doesn't matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:
     return stored(df, label)[0]
 
 
+def share_of(key, wanted: int, total: int):
+    """Rows whose hash is in the first wanted / total of its range: about ``wanted`` of ``total`` rows, however
+    large ``total`` is. ``key`` is a 64-bit hash column."""
+    if total <= wanted:
+        return F.lit(True)
+    return F.shiftrightunsigned(key, 2) < F.lit((wanted << 62) // total)
+
+
 def held_out(doc_id: str = "doc_id"):
     """The contract's hold-out: crc32 of the id as text leaves 2 modulo 4. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

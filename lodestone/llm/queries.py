@@ -25,13 +25,23 @@ def query(sql: str | None = None):
     return add
 
 
+#: Where the public vocabularies lie on the driver.
+TOKENIZERS = "/opt/tokenizers"
+
+
 @query()
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one insert batch, committed and replayed; the ledger's totals."""
-    ledger, tokenizer = token_rollup.Ledger(spark, scratch_path(spark, "ledger")), token_rollup.Tokenizer()
-    rows = load(spark, sf_dir, "documents").select(F.lit(1).alias("sign"), "source", "lang", "text")
-    for _ in range(2):  # the replay finds the batch committed
-        ledger.commit("documents", token_rollup.deltas(rows, tokenizer))
+    """All documents inserted under one tokenizer version and then recounted under another, each batch
+    committed and replayed, and the ledger compacted. What the first version counted adds up to nothing."""
+    old, new = (token_rollup.Tokenizer(TOKENIZERS, v) for v in ("byte_bpe_multi_50k", "byte_bpe_50k"))
+    docs, ledger = load(spark, sf_dir, "documents"), token_rollup.Ledger(spark, scratch_path(spark, "ledger"))
+    insert = F.lit("insert").alias("op")
+    before = (F.lit(None).cast("string").alias(f"old_{c}") for c in ("source", "lang", "text"))
+    inserted = token_rollup.deltas(token_rollup.signed_rows(docs.select(insert, "source", "lang", "text", *before)), old)
+    for batch, rows in (("insert", inserted), ("recount", token_rollup.recounted(docs, old, new))):
+        for _ in range(2):  # the replay finds the batch committed
+            ledger.commit(batch, rows)
+        ledger.compact()
     return ledger.totals()
 
 

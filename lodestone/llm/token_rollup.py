@@ -20,21 +20,23 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded_batches, remove
 
-#: Where the public vocabularies lie on the driver; executors get them by broadcast.
-TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LARGEST_VOCABULARY = 64 << 20
+#: Fixed value: what the pattern's ``\\s`` matches. Runs of it over LONG_RUN characters are cut by hand.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 10_000
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_chars", "n_tokens"]
 
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """A vocabulary file of byte-pair ranks; ``version`` names it in the rollup."""
+    """A vocabulary file of byte-pair ranks in ``folder`` on the driver; executors get it by broadcast.
+    ``version``, the file's name, names it in the rollup."""
 
-    version: str = "byte_bpe_50k"
-    folder: str = TOKENIZERS
+    folder: str
+    version: str
     pattern: str = PATTERN
 
     def read(self) -> bytes:
@@ -51,18 +53,48 @@ def encoder(data: bytes, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+class Counter:
+    """Tokens of whole texts, of any length and content.
+
+    The pattern's engine overflows its stack on white space of about a million characters. Such runs are cut
+    out as the pattern itself would cut them: all characters but the last are one piece, the last goes with
+    what follows; at the end of the text the whole run is one piece.
+    """
+
+    def __init__(self, data: bytes, pattern: str = PATTERN):
+        self.encode = encoder(data, pattern).encode_ordinary
+        self.data, self.merge = data, None
+        self.long = re.compile(f"[{SPACES}]{{{LONG_RUN},}}")
+
+    def piece(self, run: str) -> int:
+        if self.merge is None:
+            self.merge = encoder(self.data, r"(?s:.)+").encode_ordinary
+        return len(self.merge(run))
+
+    def count(self, text: str) -> int:
+        total, at = 0, 0
+        for m in self.long.finditer(text):
+            stop = m.end() if m.end() == len(text) else m.end() - 1
+            total += len(self.encode(text[at : m.start()])) + self.piece(text[m.start() : stop])
+            at = stop
+        return total + len(self.encode(text[at:] if at else text))
+
+
 def count_tokens(rows: DataFrame, tokenizer: Tokenizer, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, n_chars and n_tokens of every whole text; a null text counts as empty."""
+    """``keep`` columns, n_chars and n_tokens of every whole text; a null text counts as empty.
+
+    Repeated rows stay, an empty table gives no rows, a batch holds at most 32 MB of text or one text.
+    """
     bounded_batches(rows.sparkSession)
     shared, pattern = rows.sparkSession.sparkContext.broadcast(tokenizer.read()), tokenizer.pattern
     kept = rows.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", n_chars bigint, n_tokens bigint"
 
     def run(batches):
-        encode = encoder(shared.value, pattern).encode_ordinary
+        counter = Counter(shared.value, pattern)
         for b in batches:
             texts = [t or "" for t in b.column("_text").to_pylist()]
-            counts = [pa.array([len(t) for t in texts], pa.int64()), pa.array([len(encode(t)) for t in texts], pa.int64())]
+            counts = [pa.array([len(t) for t in texts], pa.int64()), pa.array([counter.count(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *counts], names=[*keep, "n_chars", "n_tokens"])
 
     return kept.mapInArrow(run, schema)
@@ -86,12 +118,20 @@ def deltas(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """Signed totals by source, lang and tokenizer. Null keys form groups of their own; zero deltas go.
 
     Sums are formed before the shuffle, so a source with a third of all rows costs no more than another.
+    An empty table gives no rows.
     """
     counted = count_tokens(rows, tokenizer, ["sign", "source", "lang"]).withColumn("tokenizer", F.lit(tokenizer.version))
     sums = [F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_chars")).alias("n_chars"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")]
     return counted.groupBy(*KEYS).agg(*sums).where("n_docs <> 0 OR n_chars <> 0 OR n_tokens <> 0")
 
 
+def recounted(docs: DataFrame, old: Tokenizer, new: Tokenizer) -> DataFrame:
+    """Deltas that move documents (source, lang, text) from one tokenizer version to another, as one batch:
+    what ``old`` counted goes, what ``new`` counts comes."""
+    gone = deltas(docs.select(F.lit(-1).alias("sign"), "source", "lang", "text"), old)
+    return gone.unionByName(deltas(docs.select(F.lit(1).alias("sign"), "source", "lang", "text"), new))
+
+
 class Ledger:
     """Committed deltas under one folder of any Hadoop file system. One writer at a time."""
 
@@ -113,15 +153,24 @@ class Ledger:
         names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(n for n in names if n.startswith(prefix) and self._done(f"{self.path}/{n}"))
 
-    def _base(self) -> tuple[str | None, set[str]]:
+    def _base(self) -> tuple[str | None, DataFrame]:
+        """The newest base and the ids of the batches folded into it, which stay a table."""
         bases = self._named("base-")
         if not bases:
-            return None, set()
-        folded = self.spark.read.schema("batch string").json(f"{self.path}/ids-{bases[-1][5:]}")
-        return bases[-1], {x.batch for x in folded.collect()}  # one id a committed batch
+            return None, self.spark.createDataFrame([], "batch string")
+        return bases[-1], self.spark.read.schema("batch string").json(f"{self.path}/ids-{bases[-1][5:]}")
+
+    def _open(self) -> tuple[str | None, list[str]]:
+        """The newest base, and committed batches (those not yet removed) that aren't folded into it."""
+        base, folded = self._base()
+        here = [n[6:] for n in self._named("batch-")]
+        if base and here:
+            left = self.spark.createDataFrame([(n,) for n in here], "batch string").join(folded, "batch", "left_anti")
+            here = sorted(r.batch for r in left.collect())
+        return base, here
 
     def committed(self, batch: str) -> bool:
-        return self._done(f"{self.path}/batch-{batch}") or batch in self._base()[1]
+        return self._done(f"{self.path}/batch-{batch}") or not self._base()[1].where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Write the deltas of a batch; False, and nothing happens, if it is committed already.
@@ -137,21 +186,20 @@ class Ledger:
 
     def totals(self) -> DataFrame:
         """Sums over all committed batches; groups without documents, characters and tokens go."""
-        base, folded = self._base()
-        names = [n for n in self._named("batch-") if n[6:] not in folded] + ([base] if base else [])
+        base, batches = self._open()
+        names = [f"batch-{b}" for b in batches] + ([base] if base else [])
         schema = "source string, lang string, tokenizer string, n_docs bigint, n_chars bigint, n_tokens bigint"
         rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{n}" for n in names)) if names else self.spark.createDataFrame([], schema)
         return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n_docs <> 0 OR n_chars <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
         """Fold what is committed into a new base. A crash at any point leaves totals as they were."""
-        base, folded = self._base()
-        names = [n for n in self._named("batch-") if n[6:] not in folded]
-        if not names:
+        base, batches = self._open()
+        if not batches:
             return
         no = f"{int(base[5:]) + 1 if base else 0:08d}"
-        ids = sorted(folded | {n[6:] for n in names})
-        self.spark.createDataFrame([(i,) for i in ids], "batch string").coalesce(1).write.mode("overwrite").json(f"{self.path}/ids-{no}")
+        new = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        (self._base()[1].unionByName(new) if base else new).write.mode("overwrite").json(f"{self.path}/ids-{no}")
         self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base-{no}")  # from its _SUCCESS on, it counts
-        for n in names:
-            remove(self.spark, f"{self.path}/{n}")
+        for b in batches:
+            remove(self.spark, f"{self.path}/batch-{b}")

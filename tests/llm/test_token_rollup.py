@@ -3,10 +3,12 @@ import shutil
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import token_rollup as T
 
-TOK = T.Tokenizer()
+FOLDER = "/opt/tokenizers"
+TOK = T.Tokenizer(FOLDER, "byte_bpe_50k")
 CHANGES = "doc_id bigint, op string, source string, lang string, text string, old_source string, old_lang string, old_text string, n_tokens string"
 
 
@@ -67,3 +69,32 @@ def test_empty_batch_and_unknown_change(spark, path):
         T.signed_rows(spark.createDataFrame([(1, "replace", *[None] * 7)], CHANGES)).collect()
     with pytest.raises(ValueError):
         ledger.commit("../x", T.deltas(T.signed_rows(none), TOK))
+
+
+def test_long_runs_are_counted_as_the_pattern_would(monkeypatch):
+    r = random.Random(3)
+    parts = ["a", "b ", " ", "\n", "\t", ".", "'s", "1", "\x1c", "\x85", "\u2003", "ü"]
+    monkeypatch.setattr(T, "LONG_RUN", 3)
+    short = T.Counter(TOK.read())
+    for _ in range(500):
+        text = "".join(r.choice(parts) * r.choice([1, 1, 2, 9]) for _ in range(r.randint(0, 9)))
+        assert short.count(text) == len(short.encode(text)), repr(text)
+    monkeypatch.undo()
+    whole = T.Counter(TOK.read())
+    for c in (" ", "\n", "\u2003", "a", "^", "\u0301"):
+        assert whole.count("x" + c * 2_000_000 + "y") > 100_000
+
+
+def test_recount_moves_totals_between_versions(spark, path):
+    other = T.Tokenizer(FOLDER, "byte_bpe_multi_50k")
+    rows = [("s", "en", "some words, 12 ñandú"), ("s", None, None), (None, "de", "Straße"), ("s", "en", "some words, 12 ñandú")]
+    docs = spark.createDataFrame([(*x, "clash") for x in rows], "source string, lang string, text string, n_tokens string")
+    ledger = T.Ledger(spark, path)
+    ledger.commit("a", T.deltas(docs.withColumn("sign", F.lit(1)), other))
+    assert {x.tokenizer for x in ledger.totals().collect()} == {other.version}
+    ledger.compact()
+    for _ in range(2):
+        ledger.commit("b", T.recounted(docs, other, TOK))
+    ledger.compact()
+    assert not ledger.commit("b", T.recounted(docs, other, TOK))
+    assert Counter(map(tuple, ledger.totals().collect())) == plain(rows)
