@@ -56,9 +56,19 @@ def test_matches_brute_force(spark):
 def test_shuffled_index_gives_the_same(spark):
     docs, items = sample()
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    b = spark.createDataFrame([(str(k), t) for k, t in items if k], "item_id string, text string")
-    key = lambda df: sorted((str(x.doc_id), x.at, x.length, sorted(x["items"])) for x in df.distinct().collect())
-    assert key(D.occurrences(d, b, most=0)) == key(D.occurrences(d, b))
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        places, _ = D.occurrences(d, b, most=0)
+        places.count()
+        plan = places._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        got = [(x.doc_id, x.n_words, x.n_hit, x.item_ids) for x in D.contamination(d, b, most=0).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert sorted(got, key=str) == plain(docs, items)
 
 
 def test_empty_tables(spark):
