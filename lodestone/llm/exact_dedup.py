@@ -58,15 +58,17 @@ def recipes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_bi
     listed = pieces.select("doc_id", "text_sha256", F.transform("pieces", lambda c: chunk_hash(c, hash_bits)).alias("hashes"), "pieces")
     if clashes.isEmpty():
         return listed.select("doc_id", "text_sha256", F.transform("hashes", lambda h: F.struct(h.alias("h"), F.lit(0).alias("no"))).alias("recipe"))
-    # different chunks share a hash: number them, and put the numbers into the recipes that hold such chunks
-    numbered = store.join(clashes, "h").select("h", "chunk", F.row_number().over(Window.partitionBy("h").orderBy("chunk")).alias("no"))
-    keyed = pieces.withColumn("content", F.concat_ws("", "pieces"))
-    parts = keyed.select("content", F.posexplode("pieces").alias("pos", "chunk")).distinct().withColumn("h", chunk_hash(F.col("chunk"), hash_bits))
-    parts = parts.join(numbered, ["h", "chunk"], "left")
-    lists = parts.groupBy("content").agg(F.array_sort(F.collect_list(F.struct("pos", "h", F.coalesce("no", F.lit(0)).alias("no")))).alias("r"))
-    lists = lists.select("content", F.transform("r", lambda x: F.struct(x["h"].alias("h"), x["no"].alias("no"))).alias("recipe"))
-    none = F.array().cast("array<struct<h:bigint,no:int>>")
-    return keyed.join(lists, "content", "left").select("doc_id", "text_sha256", F.coalesce("recipe", none).alias("recipe"))
+    # different chunks share a hash: number those chunks alone, and put the numbers into the recipes that hold
+    # them; only texts with such a chunk are cut again, and no text meets its chunks in a join
+    numbered = store.join(clashes, "h", "left_semi").select("h", "chunk", F.row_number().over(Window.partitionBy("h").orderBy("chunk")).alias("no"))
+    places = listed.select("text_sha256", F.explode("hashes").alias("h")).join(clashes, "h", "left_semi")
+    touched = materialised(places.select("text_sha256").distinct(), "touched")
+    again = pieces.select("text_sha256", "pieces").join(touched, "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
+    parts = again.select("text_sha256", F.posexplode("pieces").alias("pos", "chunk")).withColumn("h", chunk_hash(F.col("chunk"), hash_bits)).join(numbered, ["h", "chunk"])
+    marks = materialised(parts.groupBy("text_sha256").agg(F.map_from_entries(F.collect_list(F.struct("pos", "no"))).alias("marks")), "marks")
+    met = listed.select("doc_id", "text_sha256", "hashes").join(marks, "text_sha256", "left")
+    part = lambda h, i: F.struct(h.alias("h"), F.coalesce(F.try_element_at("marks", i), F.lit(0)).alias("no"))
+    return met.select("doc_id", "text_sha256", F.transform("hashes", part).alias("recipe"))
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_bits: int = 64) -> DataFrame:

@@ -64,3 +64,11 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(sample(), "doc_id bigint, text string")
     plan = E.exact_duplicates(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|BatchEval", plan)
+
+
+def test_a_clash_moves_only_the_texts_it_touches(spark):
+    r = random.Random(8)
+    long = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200_000)) for _ in range(3)]
+    rows = [(i, t) for i, t in enumerate([*long, *long, "short", "short", ""])]
+    got = E.exact_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), hash_bits=8).collect()
+    assert sorted(((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in got), key=str) == plain(rows)
