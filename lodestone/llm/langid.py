@@ -133,13 +133,15 @@ def train(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE)
     """A model from a bounded sample of rows that aren't held out and have a language and a text.
 
     Rows are chosen by a hash of their id, about ``per_language`` of every language; only their
-    n-gram marks (1 KB a piece) reach the driver. No such rows: None.
+    n-gram marks (1 KB a piece) reach the driver. No such rows, as in an empty table: None. Of a very long
+    text some pieces are used. Columns but doc_id, text and ``lang`` aren't read.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30))
-    counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
-    rates = counts.select("l", (F.lit(float(per_language)) / F.col("n")).alias("rate"))
-    texts = rows.join(F.broadcast(rates), rows[lang] == rates.l).where("u < rate and text is not null").select("u", "doc_id", "l", "text")
+    # only the columns needed, under names of their own
+    rows = docs.select(F.col("doc_id"), F.col(lang).alias("l"), F.col("text")).where("l IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30))
+    counts = rows.groupBy(F.col("l").alias("l2")).agg(F.count("*").alias("n"))
+    rates = counts.select("l2", (F.lit(float(per_language)) / F.col("n")).alias("rate"))
+    texts = rows.join(F.broadcast(rates), F.col("l") == F.col("l2")).where("u < rate and text is not null").select("u", "doc_id", "l", "text")  # a row a language is broadcast
 
     def run(batches):
         for b in batches:
@@ -149,7 +151,7 @@ def train(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE)
                 rows, marks = pa.array([i for i, _ in some]), presences([p for _, p in some]).astype(bool)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("u", "doc_id", "l")), pa.array([r.tobytes() for r in np.packbits(marks, axis=1)], pa.binary())], names=["u", "doc_id", "l", "x"])
 
-    got = texts.mapInArrow(run, "u double, doc_id bigint, l string, x binary").toPandas().sort_values(["u", "doc_id", "l", "x"])
+    got = texts.mapInArrow(run, f"u double, doc_id {docs.schema['doc_id'].dataType.simpleString()}, l string, x binary").toPandas().sort_values(["u", "doc_id", "l", "x"])
     if not len(got):
         return None
     return fit(np.frombuffer(b"".join(got.x), np.uint8).reshape(len(got), -1), list(got.l))
@@ -158,7 +160,9 @@ def train(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE)
 def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (0 to 1) of every whole text.
 
-    A null text and one without a letter give ``und`` with score 0, as does a missing model.
+    A null text and one without a letter give ``und`` with score 0, as does a missing model. Repeated rows
+    stay repeated, an empty table gives no rows, and a very long text is scored in all of its pieces.
+    Of languages with equal outputs the first by name is given.
     """
     bounded_batches(docs.sparkSession)
     if model:

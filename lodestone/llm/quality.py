@@ -14,16 +14,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, held_out
+from lodestone.llm.common import bounded_batches, held_out, materialised
 
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\x00-\x20]+")
 #: log2 of the number of weights.
 BITS = 18
-#: Labelled rows that training uses at most; they are chosen by a hash of their id.
-SAMPLE = 8192
+#: Labelled rows that training uses at most, chosen by a hash of their id, and bytes of their features.
+SAMPLE, SAMPLE_BYTES = 8192, 96 << 20
 #: n-grams of one text in a pass; longer texts are scored in pieces that are summed.
 PIECE = 1 << 18
 
@@ -116,11 +116,13 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, al
 SCALE = 10.0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """A model from at most ``sample`` labelled rows that aren't held out, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    """A model from at most ``sample`` labelled rows that aren't held out, in the order of a hash of the id.
+    Rows beyond ``sample_bytes`` of features, which very long texts can reach, are left out of the sample.
 
     The sample's ids are bounded, so they are broadcast; texts aren't shuffled. Rows with a null
-    id or label are no training rows. Without training rows the model scores every text 0.5.
+    id or label are no training rows. Without training rows, as with empty tables, the model scores every
+    text 0.5. Only the columns named here are read.
     """
     bounded_batches(docs.sparkSession)
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
@@ -136,8 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
                 names=["o", "doc_id", "y", "i", "x"],
             )
 
-    got = texts.mapInArrow(run, "o bigint, doc_id bigint, y int, i binary, x binary").toArrow()
-    got = got.sort_by([(c, "ascending") for c in ("o", "doc_id", "y", "i")])
+    found = materialised(texts.mapInArrow(run, f"o bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, i binary, x binary"), "features")
+    # one narrow row a sampled text: at most ``sample`` rows in this window
+    sizes = found.select("o", "doc_id", "y", F.xxhash64("i").alias("h"), (F.octet_length("i") + F.octet_length("x")).alias("b"))
+    before = sizes.withColumn("upto", F.sum("b").over(Window.orderBy("o", "doc_id", "y", "h").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= sample_bytes)
+    last = before.agg(F.max(F.struct("o", "doc_id", "y", "h")).alias("last")).first().last
+    kinds = f"struct<o:bigint,doc_id:{docs.schema['doc_id'].dataType.simpleString()},y:int,h:bigint>"
+    some = found.where(F.struct("o", "doc_id", "y", F.xxhash64("i").alias("h")) <= F.struct(*map(F.lit, last)).cast(kinds)) if last else found.limit(0)
+    got = some.toArrow().sort_by([(c, "ascending") for c in ("o", "doc_id", "y", "i")])
     columns = (got.column(c).to_pylist() for c in ("i", "x", "y"))
     return fit_ftrl([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y) for i, x, y in zip(*columns, strict=True)])
 
@@ -146,7 +154,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...
     """``keep`` columns, ``score`` (0 to 1) and ``predicted`` (1 from the threshold on) of every whole text.
     ``names`` renames the two where ``keep`` holds such columns.
 
-    A null text and one without tokens get the bias alone. Repeated rows stay repeated.
+    A null text and one without tokens get the bias alone. Repeated rows stay repeated; an empty table gives
+    no rows; a long text is scored whole, in pieces whose sums add up.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
