@@ -30,7 +30,7 @@ def share_of(key, wanted: int, total: int):
     large ``total`` is. ``key`` is a 64-bit hash column."""
     if total <= wanted:
         return F.lit(True)
-    return F.shiftrightunsigned(key, 2) < F.lit((wanted << 62) // total)
+    return F.shiftrightunsigned(key.cast("bigint"), 2) < F.lit((wanted << 62) // total)
 
 
 def held_out(doc_id: str = "doc_id"):

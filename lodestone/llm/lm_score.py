@@ -3,6 +3,9 @@
     S(w | v) = c(v, w) / c(v)     if c(v, w) >= min_count
              = alpha * c(w) / N   otherwise
 
+Counts hold the scored texts themselves, so with a ``min_count`` of 1 nothing would ever back off: 2 asks for
+another occurrence.
+
 A text's score is the mean of ln S over its words; the first word follows a start mark. The
 relations are n-gram counts, partitioned by hash, and the exploded n-grams of the texts:
 
@@ -14,7 +17,8 @@ relations are n-gram counts, partitioned by hash, and the exploded n-grams of th
 
 All three relations travel as compressed blocks of columns, one a batch and bucket, with equal
 n-grams of a batch merged: a bigram costs a few bytes and a very frequent one no more than another.
-Words are identified by 63-bit hashes. Which words are in the head comes from a bounded probe and
+Words are identified by 63-bit hashes, which are verified: the words of each hash are compared, and words
+that share one get numbers in the head. What else is in the head comes from a bounded probe and
 only decides where counts are looked up, not what they are.
 """
 
@@ -26,31 +30,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, opened, shut
+from lodestone.llm.common import bounded_batches, opened, share_of, shut
 
-ALPHA, MIN_COUNT = 0.4, 2
+ALPHA = 0.4
 #: Words in the head at most (two bytes a word, one code is the start mark), and documents that the probe reads (in expectation).
 HEAD, PROBE = 65_535, 4000
 START = 65_535
 TAIL = np.uint64(1 << 63)
 #: Partial sums and lookups that a task holds before it sends them.
 FLUSH = 1_000_000
+#: Words sharing a hash with another word that the head has room for; more are an error.
+CLASHES = 1000
 NO_ID = -(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def word_hash(word: bytes, bits: int = 63) -> int:
+    """The top bit marks a hash; with fewer than 63 bits, for tests, hashes clash."""
+    return xxhash.xxh64_intdigest(word) & ((1 << bits) - 1) | 1 << 63
+
+
 class Codes(dict):
     """word -> its number in the head, or its 63-bit hash with the top bit set; remembered up to a bound."""
 
-    def __init__(self, head: dict[int, int]):
+    def __init__(self, head: dict[int | bytes, int], bits: int = 63):
         super().__init__()
-        self.head = head
+        self.head, self.bits = head, bits
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 500_000:
             self.clear()
-        h = xxhash.xxh64_intdigest(word) | 1 << 63
-        code = self[word] = self.head.get(h, h)
+        h = word_hash(word, self.bits)
+        number = self.head.get(h)
+        if number is None:
+            number = self.head.get(word, h)  # words that share their hash have numbers of their own
+        code = self[word] = number
         return code
 
     def of(self, text: bytes | None) -> np.ndarray:
@@ -111,16 +125,19 @@ def bigram_blocks(ids: list[int], codes: list[np.ndarray], buckets: int):
 class Sums:
     """Sums of values by document, sent as blocks to the documents' buckets."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.size = buckets, [], 0
+    def __init__(self, buckets: int, flush: int = FLUSH):
+        self.buckets, self.flush, self.parts, self.size = buckets, flush, [], 0
 
     def add(self, ids: np.ndarray, values: np.ndarray, n: np.ndarray) -> None:
         if len(ids):
             self.parts.append((ids, values, n))
             self.size += len(ids)
-        if self.size > 4 * FLUSH and len(self.parts) > 1:
-            self.parts = [self.merged()]
-            self.size = len(self.parts[0][0])
+
+    def full(self):
+        """The blocks to send now: none while sums fit. What was sent starts anew; sums are added up later."""
+        if self.size > self.flush:
+            yield from self.blocks()
+            self.parts, self.size = [], 0
 
     def merged(self):
         ids, values, n = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
@@ -133,7 +150,7 @@ class Sums:
         by = np.argsort(_bucket(h, self.buckets), kind="stable")  # ids stay sorted inside
         ids, values, n, h = ids[by], values[by], n[by], h[by]
         for bucket, a, b in _slices(_bucket(h, self.buckets)):
-            yield bucket, 0, shut(np.diff(ids[a:b], prepend=0), values[a:b], n[a:b].astype(np.uint32))
+            yield bucket, 0, shut(np.diff(ids[a:b], prepend=0), values[a:b], n[a:b])
 
 
 class Lookups:
@@ -144,7 +161,7 @@ class Lookups:
 
     def add(self, words: np.ndarray, ids: np.ndarray, sign: int, count: np.ndarray) -> None:
         if len(words):
-            self.parts.append((words, ids, np.full(len(words), sign, np.int8), count.astype(np.uint32)))
+            self.parts.append((words, ids, np.full(len(words), sign, np.int8), count.astype(np.uint64)))
             self.size += len(words)
 
     def blocks(self):
@@ -225,13 +242,12 @@ def _rows(out, names=("bucket", "kind", "block")):
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=list(names))
 
 
-def head_words(docs: DataFrame, size: int = HEAD) -> list[int]:
+def head_words(docs: DataFrame, size: int = HEAD, bits: int = 63) -> list[int]:
     """Hashes of the commonest words of a probe of the documents."""
-    n = docs.count()
-    probe = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(min(1.0, PROBE / max(n, 1)) * (1 << 20)))
+    probe = docs.where(share_of(F.xxhash64("doc_id", "text"), PROBE, docs.count()))
 
     def run(batches):
-        codes = Codes({})
+        codes = Codes({}, bits)
         for b in batches:
             k, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(codes.of, b.column("text").cast(pa.binary()).to_pylist())]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c, pa.int64())], names=["k", "c"])
@@ -240,12 +256,38 @@ def head_words(docs: DataFrame, size: int = HEAD) -> list[int]:
     return [x.k % (1 << 64) for x in counts.orderBy(F.desc("c"), "k").limit(size).collect()]
 
 
-def head_counts(docs: DataFrame, head: dict[int, int]) -> tuple[np.ndarray, int]:
+def clashing_words(docs: DataFrame, bits: int = 63) -> list[bytes]:
+    """Words of the documents that share their hash with another word."""
+
+    def run(batches):
+        codes, sent = Codes({}, bits), set()
+        for b in batches:
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                codes.of(t)
+            new = [(w, h) for w, h in codes.items() if w not in sent]
+            sent.update(w for w, _ in new)
+            if len(sent) >= 500_000:
+                sent.clear(), codes.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([h for _, h in new], np.uint64).view(np.int64)), pa.array([w for w, _ in new], pa.binary())], names=["h", "word"])
+
+    words = docs.select("text").mapInArrow(run, "h bigint, word binary")
+    # first one number a hash: of two words under one hash, least and greatest differ
+    shared = words.groupBy("h").agg(F.min("word").alias("a"), F.max("word").alias("b")).where("a <> b").select("h")
+    shared = [x.h for x in shared.limit(CLASHES + 1).collect()]
+    if not shared:
+        return []
+    found = words.where(F.col("h").isin(shared)).select("word").distinct().limit(CLASHES + 1).collect()
+    if len(found) > CLASHES or len(shared) > CLASHES:
+        raise ValueError(f"over {CLASHES} words share their hash with another")
+    return sorted(bytes(x.word) for x in found)
+
+
+def head_counts(docs: DataFrame, head: dict[int | bytes, int], bits: int = 63) -> tuple[np.ndarray, int]:
     """Exact counts over all documents: by number in the head (the start mark: texts with words), and of all words."""
     shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches):
-        codes, counts, total = Codes(shared.value), np.zeros(HEAD + 1, np.int64), 0
+        codes, counts, total = Codes(shared.value, bits), np.zeros(HEAD + 1, np.int64), 0
         for b in batches:
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 c = codes.of(t)
@@ -264,24 +306,27 @@ def head_counts(docs: DataFrame, head: dict[int, int]) -> tuple[np.ndarray, int]
     return out, total
 
 
-def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, head: int = HEAD, buckets_a_partition: int = 8) -> DataFrame:
+def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = 1, head: int = HEAD, buckets_a_partition: int = 8, hash_bits: int = 63, flush: int = FLUSH) -> DataFrame:
     """doc_id, n_words and score (mean ln S) for every row of ``docs``; counts are over all of ``docs``.
 
     Rows with one id are scored as one document, and each of them carries its result. Rows with a
     null id and texts without words have a null score and n_words 0, but their words count. Other
-    columns are ignored. An empty table gives no rows.
+    columns are ignored. An empty table gives no rows. Very long texts are read whole.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, words_buckets = buckets_a_partition * partitions, 2 * partitions
     docs = docs.select("doc_id", "text")
-    numbers = {h: i for i, h in enumerate(head_words(docs, head))}
-    counts, total = head_counts(docs, numbers)
+    numbers = {w: i for i, w in enumerate(clashing_words(docs, hash_bits))}
+    clashing = {word_hash(w, hash_bits) for w in numbers}
+    common = [h for h in head_words(docs, head, hash_bits) if h not in clashing]
+    numbers |= {h: i for i, h in enumerate(common[: HEAD - len(numbers)], len(numbers))}
+    counts, total = head_counts(docs, numbers, hash_bits)
     shared = spark.sparkContext.broadcast((numbers, np.log(np.maximum(counts, 1)), total))
 
     def send(batches):
-        codes = Codes(shared.value[0])
+        codes = Codes(shared.value[0], hash_bits)
         for b in batches:
             ids = [NO_ID if i is None else i for i in b.column("doc_id").to_pylist()]
             found = bigram_blocks(ids, list(map(codes.of, b.column("text").cast(pa.binary()).to_pylist())), buckets)
@@ -289,19 +334,20 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, he
 
     def meet(batches):
         _, logs, total = shared.value
-        sums, lookups = Sums(words_buckets), Lookups(words_buckets)
+        sums, lookups = Sums(words_buckets, flush), Lookups(words_buckets)
 
         def handle(_, blocks):
             _meet_bigrams(blocks, sums, lookups, logs, total, alpha, min_count)
-            if lookups.size > FLUSH:
+            if lookups.size > flush:
                 yield _rows(lookups.blocks())
+            yield _rows(sums.full())
 
         yield from _grouped(batches, handle)
         yield _rows(lookups.blocks())
         yield _rows(sums.blocks())
 
     def look_up(batches):
-        sums = Sums(words_buckets)
+        sums = Sums(words_buckets, flush)
 
         def handle(key, blocks):
             if key % 2:
@@ -310,7 +356,8 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, he
                 for b in blocks:
                     ids, values, n = opened(b)
                     sums.add(np.cumsum(ids), values, n.astype(np.int64))
-            return ()
+                    yield _rows(sums.full())
+            yield _rows(sums.full())
 
         yield from _grouped(batches, handle)
         yield _rows(sums.blocks())

@@ -8,7 +8,7 @@ import pytest
 from lodestone.llm import lm_score as L
 
 
-def plain(rows):
+def plain(rows, least=2):
     docs = {}
     for k, (i, t) in enumerate(rows):
         docs.setdefault(("none", k) if i is None else i, []).append([w.decode() for w in (t or "").encode().lower().split()])
@@ -21,7 +21,7 @@ def plain(rows):
     total = sum(n for w, n in uni.items() if w is not None)
     out = {}
     for i, texts in docs.items():
-        s = [math.log(bi[p] / uni[p[0]]) if bi[p] >= 2 else math.log(0.4 * uni[p[1]] / total) for w in texts for p in zip([None, *w], w, strict=False)]
+        s = [math.log(bi[p] / uni[p[0]]) if bi[p] >= least else math.log(0.4 * uni[p[1]] / total) for w in texts for p in zip([None, *w], w, strict=False)]
         out[i] = (len(s), sum(s) / len(s) if s else None)
     return [(i, *(out[i] if i is not None else (0, None))) for i, _ in rows]
 
@@ -33,16 +33,47 @@ def sample():
     return rows + [(r.randint(8, 60), "\t".join(r.choice(vocab[: r.choice([5, 200])]) for _ in range(r.randint(0, 60)))) for _ in range(80)]
 
 
-@pytest.mark.parametrize("head", [65_535, 3, 0])
-def test_matches_brute_force(spark, monkeypatch, head):
-    monkeypatch.setattr(L, "FLUSH", 50)
-    df = spark.createDataFrame([(*x, "clash", 1.0) for x in sample()], "doc_id bigint, text string, block string, score double")
-    got = sorted(L.scores(df, head=head).collect(), key=str)
-    want = sorted(plain(sample()), key=str)
+def check(got, want):
     key = lambda x: (str(x[0]), x[1], x[2] or 0)
     for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert a.doc_id == b[0] and a.n_words == b[1]
-        assert (a.score is None) == (b[2] is None) and (b[2] is None or math.isclose(a.score, b[2], rel_tol=1e-9))
+        assert (a.score is None) == (b[2] is None) and (b[2] is None or math.isclose(a.score, b[2], rel_tol=1e-9, abs_tol=1e-12))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*x, "clash", 1.0) for x in rows], "doc_id bigint, text string, block string, score double")
+
+
+@pytest.mark.parametrize(("head", "least"), [(65_535, 1), (65_535, 2), (3, 2), (0, 1)])
+def test_matches_brute_force(spark, head, least):
+    check(L.scores(frame(spark, sample()), min_count=least, head=head, flush=50).collect(), plain(sample(), least))
+
+
+def test_words_that_share_a_hash_are_told_apart(spark):
+    taken = {}
+    for w in {w for _, t in sample() for w in (t or "").encode().lower().split()}:
+        taken.setdefault(L.word_hash(w, 8), []).append(w)
+    assert set(L.clashing_words(frame(spark, sample()), 8)) == {w for ws in taken.values() if len(ws) > 1 for w in ws}
+    check(L.scores(frame(spark, sample()), min_count=2, head=20, hash_bits=8).collect(), plain(sample()))
+
+
+def test_long_texts_and_a_probe_of_a_huge_table(spark):
+    from lodestone.llm.common import share_of
+
+    share = spark.range(1).select(share_of(L.F.lit(0), 4000, 10**10).alias("a"), share_of(L.F.lit(-1), 4000, 10**10).alias("b"), share_of(L.F.lit(-1), 10, 3).alias("c")).first()
+    assert (share.a, share.b, share.c) == (True, False, True)
+    rows = [(1, "one two three four " * 60_000), (2, "one two")]
+    check(L.scores(frame(spark, rows)).collect(), plain(rows, 1))
+
+
+def test_partial_sums_stay_bounded():
+    sums, sent, most = L.Sums(4, flush=100), [], 0
+    for i in range(1000):  # a thousand times more documents than fit
+        sums.add(np.arange(i * 100, i * 100 + 60), np.ones(60), np.ones(60, np.int64))
+        sent += list(sums.full())
+        most = max(most, sums.size)
+    sent += list(sums.blocks())
+    assert most <= 160 and sum(int(L.opened(b)[2].sum()) for _, _, b in sent) == 60_000
 
 
 def test_blocks_round_trip():
