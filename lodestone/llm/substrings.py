@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, materialised, opened, shut
+from lodestone.llm.common import bounded_batches, materialised, opened, share_of, shut
 
 WIDTH, GRAM = 13, 3
-#: Buckets a shuffle partition; a bucket is what a task holds in memory at once.
-BUCKETS_A_PARTITION = 8
+#: Buckets a shuffle partition at least, and bytes of text for each bucket and each partition; a bucket is
+#: what a task holds in memory at once.
+BUCKETS_A_PARTITION, BUCKET_BYTES, PARTITION_BYTES = 8, 4 << 20, 64 << 20
 #: Documents that the probe for hot minimisers reads at most (in expectation), and a minimiser's share that is hot.
 PROBE, HOT_SHARE = 2000, 1 / 2000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -71,15 +72,14 @@ def super_kmers(words: list[bytes], width: int, gram: int, hot: np.ndarray):
     return keys[starts], starts, np.diff(np.append(starts, len(keys)))
 
 
-def hot_minimisers(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
-    """Minimisers with over HOT_SHARE of the super-k-mers of a probe; at most 1 / HOT_SHARE of them.
+def hot_minimisers(docs: DataFrame, n: int, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
+    """Minimisers with over HOT_SHARE of the super-k-mers of a probe of the ``n`` documents; at most 1 / HOT_SHARE of them.
 
     The probe only plans the layout: any set, also an empty one, gives the same result.
     """
-    n = docs.count()
     if not n:
         return np.zeros(0, np.uint64)
-    probe = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, PROBE / n) * (1 << 20)))
+    probe = docs.where(share_of(F.xxhash64("doc_id"), PROBE, n))
 
     def run(batches):
         for b in batches:
@@ -191,10 +191,11 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, buckets
     ``docs``: doc_id, text_key, text. Rows with a null id own nothing and lose nothing.
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or BUCKETS_A_PARTITION * partitions
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    shared = spark.sparkContext.broadcast(hot_minimisers(docs, width, gram))
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size.bytes // PARTITION_BYTES)
+    buckets = buckets or max(BUCKETS_A_PARTITION * partitions, size.bytes // BUCKET_BYTES)
+    shared = spark.sparkContext.broadcast(hot_minimisers(docs, size.n, width, gram))
 
     def send(batches):
         for b in batches:
@@ -230,7 +231,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucke
     Words are runs without ASCII white space; a null text has none. A word goes if it lies in a
     window that also starts in a document with a smaller id, judged on the input. A row with a
     null id loses nothing. Rows that repeat an id lose the same words for the same text, and don't
-    count against each other. Other columns are ignored. An empty table gives no rows.
+    count against each other. Other columns are ignored. An empty table gives no rows. Very long texts
+    are read whole.
     """
     bounded_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")

@@ -49,7 +49,7 @@ def sample():
 def test_matches_brute_force(spark, monkeypatch, share):
     if not share:  # every minimiser with over 8 strings is split
         monkeypatch.setattr(S, "HOT_SHARE", 1e-3)
-        monkeypatch.setattr(S, "hot_minimisers", lambda docs, width, gram: np.sort(np.concatenate([S.super_kmers(t.encode().split(), 13, 3, np.zeros(0, np.uint64))[0] for _, t in sample() if t and len(t.split()) > 13])))
+        monkeypatch.setattr(S, "hot_minimisers", lambda docs, n, width, gram: np.sort(np.concatenate([S.super_kmers(t.encode().split(), 13, 3, np.zeros(0, np.uint64))[0] for _, t in sample() if t and len(t.split()) > 13])))
     df = spark.createDataFrame([(*x, "clash", 1) for x in sample()], "doc_id bigint, text string, bucket string, start int")
     got = S.without_repeats(df, buckets=7).collect()
     assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256, x.text) for x in got), key=str) == plain(sample())
