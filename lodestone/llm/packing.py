@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialised
+from lodestone.llm.token_rollup import Tokenizer, count_tokens
 
 #: Longest sequence, number of buckets and tokens of a batch, padding included.
 LONGEST, BUCKETS, BUDGET = 4096, 16, 65536
@@ -57,26 +58,28 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     return [*reversed([*out, lengths[j]])]
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-
-
-def pack(docs: DataFrame, length: Column | None = None, keep: tuple[str, ...] = ("doc_id",), longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(docs: DataFrame, length: Tokenizer | Column, keep: tuple[str, ...] = ("doc_id",), longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """One row per piece: ``keep`` columns, piece, start, length, bucket, batch, slot.
 
-    ``length`` counts the tokens of a row (default: words of ``text``, null: none). Piece p covers
-    tokens start .. start + length - 1. ``bucket`` is the padded length, ``batch`` numbers the
+    ``length`` is the tokenizer that counts the tokens of ``text`` (null: none), or a column with their
+    number (null: none). Piece p covers tokens start .. start + length - 1. ``bucket`` is the padded length, ``batch`` numbers the
     bucket's batches from 0 and ``slot`` the places in a batch; bucket * places <= budget (at least
     one place). A row without tokens gives one piece of length 0 without bucket, batch and slot.
-    Repeated rows stay repeated. An empty table gives no rows.
+    Repeated rows stay repeated, null ids are ids like others. An empty table gives no rows. Very long
+    texts are cut into pieces, none is left out. Which of equally long pieces share a batch may differ
+    from run to run.
 
     Only lengths and ids are shuffled. Places are numbered by shards, whose sizes add up to
-    offsets, so no bucket is sorted in one task.
+    offsets, so no bucket is sorted in one task; rows are dealt to shards by a number of their own,
+    so rows with one id, or with none, don't gather.
     """
-    n = word_count(F.col("text")) if length is None else length
-    counted = materialised(docs.select(*keep, n.cast("bigint").alias("_n")), "lengths")
+    if isinstance(length, Tokenizer):
+        sized = count_tokens(docs, length, list(keep)).select(*keep, F.col("n_tokens").alias("_n"))
+    else:
+        sized = docs.select(*keep, F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("bigint").alias("_n"))
+    counted = materialised(sized.withColumn("_row", F.monotonically_increasing_id()), "lengths")
     last = F.greatest(F.lit(0), F.ceil(F.col("_n") / longest).cast("int") - 1)
-    pieces = counted.select(*keep, "_n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = counted.select(*keep, "_n", "_row", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     pieces = pieces.withColumn("start", F.col("piece").cast("bigint") * longest)
     pieces = pieces.withColumn("length", F.least(F.lit(longest), F.col("_n") - F.col("start")).cast("int")).drop("_n")
     histogram = pieces.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()  # at most ``longest`` rows
@@ -90,11 +93,11 @@ def pack(docs: DataFrame, length: Column | None = None, keep: tuple[str, ...] =
         bucket = F.when(F.col("length") > low, b).otherwise(bucket)
         shards = F.when(F.col("length") > low, -(-here // SHARD)).otherwise(shards)
         rows += -(-here // SHARD)
-    placed = pieces.where("length > 0").withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64(*keep, "piece"), shards))
+    placed = pieces.where("length > 0").withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64("_row", "piece"), shards))
     sizes = placed.groupBy("bucket", "_shard").agg(F.count("*").alias("_size"))
     before = Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "_shard", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("bucket", "_shard").orderBy(*keep, "piece", "length")
+    inside = Window.partitionBy("bucket", "_shard").orderBy("_row", "piece")
     numbered = placed.withColumn("_at", F.row_number().over(inside) - 1).join(F.broadcast(offsets) if rows <= 4096 else offsets, ["bucket", "_shard"])
     place, room = F.col("_at") + F.col("_offset"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
     out = numbered.select(*keep, "piece", "start", "length", "bucket", F.floor(place / room).alias("batch"), (place % room).cast("int").alias("slot"))

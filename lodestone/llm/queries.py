@@ -98,7 +98,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(load(spark, sf_dir, "documents"))
+    return packing.pack(load(spark, sf_dir, "documents"), token_rollup.Tokenizer(TOKENIZERS, "byte_bpe_50k"))
 
 
 @query(r"""
@@ -157,4 +157,5 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.scores(load(spark, sf_dir, "documents"))
+    """Bigrams that occur once are no evidence: counts hold the scored texts themselves."""
+    return lm_score.scores(load(spark, sf_dir, "documents"), min_count=2)

@@ -4,8 +4,14 @@ from itertools import combinations
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import packing as P
+from lodestone.llm import token_rollup as T
+
+
+def words():
+    return F.regexp_count("text", F.lit(r"\S+"))
 
 
 def padding(lengths, counts, bounds):
@@ -29,7 +35,7 @@ def test_batches(spark, monkeypatch):
     rows = [(None, None, "x"), (1, "", "x"), (2, "one two  three\n", "x"), (2, "one two  three\n", "x"), (3, "w " * 1000, "x"), (None, "a b", "x")]
     rows += [(i, " ".join(["w"] * r.randint(1, 90)), "x") for i in range(10, 300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, bucket string")
-    got = P.pack(df, longest=64, buckets=4, budget=256).collect()
+    got = P.pack(df, words(), longest=64, buckets=4, budget=256).collect()
     want = Counter()
     for i, t, _ in rows:
         n = len((t or "").split())
@@ -55,5 +61,18 @@ def test_batches(spark, monkeypatch):
 
 def test_empty_and_wordless_tables(spark):
     schema = "doc_id bigint, text string"
-    assert P.pack(spark.createDataFrame([], schema)).collect() == []
-    assert [x.bucket for x in P.pack(spark.createDataFrame([(1, " ")], schema)).collect()] == [None]
+    assert P.pack(spark.createDataFrame([], schema), words()).collect() == []
+    assert [x.bucket for x in P.pack(spark.createDataFrame([(1, " ")], schema), words()).collect()] == [None]
+
+
+def test_token_lengths_and_many_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD", 10)
+    tokenizer = T.Tokenizer("/opt/tokenizers", "byte_bpe_50k")
+    texts = [None, "", *(f"some words no. {i} " * (1 + i % 40) for i in range(200))]
+    df = spark.createDataFrame([(None if i % 3 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = P.pack(df, tokenizer, longest=128, buckets=3, budget=512).collect()
+    count = T.Counter(tokenizer.read()).count
+    want = Counter(min(128, count(t or "") - 128 * p) for t in texts for p in range(max(1, -(-count(t or "") // 128))))
+    assert Counter(x.length for x in got) == want
+    slots = Counter((x.bucket, x.batch, x.slot) for x in got if x.length)
+    assert max(slots.values()) == 1 and all(b * (s + 1) <= 512 for b, _, s in slots)
