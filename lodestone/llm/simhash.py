@@ -45,7 +45,12 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
         return 0
     parts = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     n = max(1, len(words) - width + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
+    n = len(h)
     counts = np.zeros((8, 256), np.int64)
     for at in range(0, n, 1 << 16):
         b = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -97,6 +102,20 @@ def grid(r: int, n: int) -> list[int]:
     return [sum(c) for c in combinations(band_masks(g), g - r)]
 
 
+def cells(distinct: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(members, stars) of distinct fingerprints ``fp``: members (fp, sub, at, lo, hi) of the grid cells that
+    hold several, and links a, b of members to their cell's least and greatest fingerprint within ``distance``."""
+    masks = grid(distance, distinct.count())
+    t = unary_popcounts(F.col("fp"))
+    each = F.array(*(F.struct(F.lit(i).alias("sub"), t.bitwiseAND(F.lit(_signed(m))).alias("at")) for i, m in enumerate(masks)))
+    points = distinct.select("fp", F.explode(each).alias("cell")).select("fp", "cell.sub", "cell.at")
+    heads = points.groupBy("sub", "at").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
+    members = materialised(points.join(heads, ["sub", "at"]), "cells")
+    to_lo, to_hi = (F.bit_count(F.col("fp").bitwiseXOR(F.col(c))) <= distance for c in ("lo", "hi"))
+    stars = members.where(to_lo).select(F.col("fp").alias("a"), F.col("lo").alias("b")).unionByName(members.where(to_hi).select(F.col("fp").alias("a"), F.col("hi").alias("b")))
+    return members, stars.where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3, width: int = 3) -> DataFrame:
     """One row per row of ``docs``: its id, ``fp``, ``component_id`` (the least id reachable over links),
     ``text_key`` (hash of the text) and ``root`` (the component's least fingerprint).
@@ -109,15 +128,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     rows = materialised(fingerprints(keyed, keep=("doc_id", "text_key"), width=width), "fp")
     distinct = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    masks = grid(distance, distinct.count())
-    t = unary_popcounts(F.col("fp"))
-    each = F.array(*(F.struct(F.lit(i).alias("sub"), t.bitwiseAND(F.lit(_signed(m))).alias("at")) for i, m in enumerate(masks)))
-    points = distinct.select("fp", F.explode(each).alias("cell")).select("fp", "cell.sub", "cell.at")
-
-    heads = points.groupBy("sub", "at").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    members = materialised(points.join(heads, ["sub", "at"]), "cells")
-    to_lo, to_hi = (F.bit_count(F.col("fp").bitwiseXOR(F.col(c))) <= distance for c in ("lo", "hi"))
-    stars = members.where(to_lo).select(F.col("fp").alias("a"), F.col("lo").alias("b")).unionByName(members.where(to_hi).select(F.col("fp").alias("a"), F.col("hi").alias("b")))
+    members, stars = cells(distinct, distance)
     first = materialised(connected_components(stars), "first")
 
     # what the stars left apart: members outside the component of the cell's least member
@@ -138,10 +149,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(by_fp, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id", "text_key", "root")
 
 
-def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3) -> DataFrame:
+def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3, width: int = 3, similar: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the
-    least id (of several texts with that id, the one with the least hash; null ids come last)."""
-    return representatives(docs, near_duplicates(docs, text, doc_id, distance), text, doc_id)
+    least id (of several texts with that id, the one with the least hash; null ids come last).
+
+    With ``similar`` links are pairs whose shingle sets have a Jaccard similarity of 0.8 or more: those that
+    the fingerprints bring together and, since fingerprints miss most such pairs, all others as well.
+    """
+    if similar:
+        from lodestone.llm.jaccard import similar_texts
+
+        return representatives(docs, similar_texts(docs, text, doc_id, width, distance), text, doc_id)
+    return representatives(docs, near_duplicates(docs, text, doc_id, distance, width), text, doc_id)
 
 
 def representatives(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:

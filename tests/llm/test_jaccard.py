@@ -3,23 +3,12 @@ import random
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import jaccard
+from lodestone.llm import jaccard, simhash
+from tests_llm_plain import plain_survivors
 
 COLUMNS = "doc_id bigint, text string, root string"
 
 
-def plain_survivors(rows):
-    """Brute force over all pairs of rows."""
-    words = [(t or "").lower().split() for _, t in rows]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if label[i] != label[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
-                label = [label[j] if x == label[i] else x for x in label]
-    return sorted(min(rows[i][0] for i in range(len(rows)) if label[i] == k) for k in set(label))
-
-
 def documents():
     r = random.Random(5)
     words = [f"w{i}" for i in range(400)]
@@ -41,7 +30,7 @@ def test_survivors_match_brute_force_in_any_order(spark, monkeypatch, common, sm
     monkeypatch.setattr(jaccard, "COMMON", common)
     monkeypatch.setattr(jaccard, "SMALL", small)
     rows = documents()
-    got = jaccard.survivors(spark.createDataFrame([(*x, "clash") for x in rows], COLUMNS))
+    got = simhash.survivors(spark.createDataFrame([(*x, "clash") for x in rows], COLUMNS), width=5, similar=True)
     assert got.columns == ["doc_id", "text", "root"] and sorted(x.doc_id for x in got.collect()) == plain_survivors(rows)
 
 
@@ -52,4 +41,16 @@ def test_pipeline_stage_matches_brute_force(spark):
 
 
 def test_empty_table(spark):
-    assert jaccard.survivors(spark.createDataFrame([], COLUMNS)).collect() == []
+    assert simhash.survivors(spark.createDataFrame([], COLUMNS), width=5, similar=True).collect() == []
+
+
+def test_fingerprints_miss_pairs_that_the_stage_finds(spark):
+    """Pairs of similarity 0.8 to 0.95: a few bits find few of them, the stage finds all."""
+    r = random.Random(1)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for k in range(40):
+        text = r.choices(words, k=200)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[: 186 + k % 10]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(x.doc_id for x in simhash.survivors(df, width=5, similar=True).collect()) == [2 * k for k in range(40)]
+    assert simhash.survivors(df, width=5).count() > 50

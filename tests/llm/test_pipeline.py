@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 from lodestone.llm import quality
-from tests_llm_plain import plain_components, plain_contaminated, plain_fingerprint, plain_normal
+from tests_llm_plain import plain_contaminated, plain_normal, plain_survivors
 
 
 def tables(spark, path):
@@ -45,8 +45,8 @@ def test_stages_match_plain_versions(spark, tmp_path):
                 first.setdefault(plain_normal(x[1]), x)
             want = list(first.values())
         elif k == 2:
-            labels = plain_components([(x[0], plain_fingerprint(x[1])) for x in want])
-            want = [x for x, c in zip(want, labels, strict=True) if x[0] == c]
+            stay = plain_survivors(want)
+            want = [x for x in want if x[0] in stay]
         elif k == 3:
             want = [x for x in want if not plain_contaminated(x[1], [t for _, t in bench])]
         if k < 4:

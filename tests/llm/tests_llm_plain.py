@@ -53,3 +53,15 @@ def plain_contaminated(text, items, width=10):
         if any(tuple(w[a : a + n]) in windows for a in range(len(w) - n + 1)):
             return True
     return False
+
+
+def plain_survivors(rows):
+    """Brute force over all pairs of rows."""
+    words = [(r[1] or "").lower().split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    return sorted(min(rows[i][0] for i in range(len(rows)) if label[i] == k) for k in set(label))
