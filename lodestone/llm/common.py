@@ -25,6 +25,16 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return stored(df, label)[0]
 
 
+#: Rows of short columns (ids, hashes, digests) that are broadcast at most: some tens of megabytes.
+SMALL_SIDE = 250_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of short columns, for the small side of a join: broadcast if it has at most
+    SMALL_SIDE rows, so that the large side needn't move; joined with a shuffle beyond."""
+    return F.broadcast(df) if df.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else df
+
+
 def share_of(key, wanted: int, total: int):
     """Rows whose hash is in the first wanted / total of its range: about ``wanted`` of ``total`` rows, however
     large ``total`` is. ``key`` is a 64-bit hash column."""

@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialised
+from lodestone.llm.common import materialised, small_side
 
 WIDTH = 10
 #: What separates words: ASCII without letters and digits.
@@ -129,5 +129,5 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
     places, _ = occurrences(docs.select("doc_id", "text"), items, width)
-    hit = materialised(places.where("wid IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "hit")
+    hit = small_side(materialised(places.where("wid IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "hit"))
     return docs.join(hit, docs.doc_id.eqNullSafe(hit._id) & (F.xxhash64(docs.text) == hit._key), "left_anti")

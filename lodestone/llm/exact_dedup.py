@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialised
+from lodestone.llm.common import materialised, small_side
 
 #: Java pattern of a run of ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -100,10 +100,11 @@ def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    What goes is the smaller side of the join, an anti-join; texts move once.
+    What goes is the smaller side of the join, an anti-join; texts don't move while it is small and move
+    once beyond.
     """
     found = materialised(decisions(docs, text, doc_id), "decisions")
-    gone = found.where("NOT least").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha"))
+    gone = small_side(found.where("NOT least").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha")))
     marked = docs.withColumn("__sha", F.sha2(normalised(F.col(text)).cast("binary"), 256))
     stay = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
     if not found.where("least AND copies > 1").isEmpty():  # one id twice with one text
