@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, exact_dedup, langid, lm_score, packing, quality, simhash, substrings, token_rollup, url_filter
+from lodestone.llm import decontaminate, exact_dedup, langid, lm_score, packing, periodic, quality, simhash, substrings, token_rollup, url_filter
 from lodestone.llm.common import held_out, load, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigrams that occur once are no evidence: counts hold the scored texts themselves."""
     return lm_score.scores(load(spark, sf_dir, "documents"), min_count=2)
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, after loops are planted by the rule of its id, and the text without repetitions."""
+    found = periodic.collapse_runs(periodic.with_loops(load(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("best"), lines.alias("lines"), "collapsed")
+    return best.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
