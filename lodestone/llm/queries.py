@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, exact_dedup, langid, lm_score, packing, periodic, quality, simhash, substrings, token_rollup, url_filter
-from lodestone.llm.common import held_out, load, scratch_path
+from lodestone.llm import decontaminate, embeddings, exact_dedup, langid, lexical, lm_score, packing, periodic, quality, simhash, substrings, token_rollup, url_filter
+from lodestone.llm.common import held_out, load, materialised, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +173,43 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
         F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query(r"""
+    WITH split AS (
+        SELECT 'd' AS kind, doc_id AS id, text, row_number() OVER () AS r FROM documents
+        UNION ALL SELECT 'q', item_id, text, row_number() OVER () FROM benchmark
+    ), lists AS (
+        SELECT kind, id, r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                              '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM split
+    ), counts AS (
+        SELECT kind, id, r, n, term, count(*) AS tf FROM (SELECT kind, id, r, len(w) AS n, unnest(w) AS term FROM lists) GROUP BY kind, id, r, n, term
+    ), totals AS (
+        SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM lists WHERE kind = 'd' AND len(w) > 0
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+        FROM (SELECT term, count(*) AS df FROM counts WHERE kind = 'd' GROUP BY term), totals
+    ), scores AS (
+        SELECT q.id AS item_id, q.r AS item, d.id AS doc_id, CAST(sum(q.tf * weight * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * d.n * n_docs) // n_terms)))) AS BIGINT) AS score
+        FROM counts AS q JOIN counts AS d ON q.term = d.term AND q.kind = 'q' AND d.kind = 'd' JOIN weights ON weights.term = q.term, totals
+        GROUP BY q.id, q.r, d.id, d.r
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 20
+""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(materialised(lexical.build_index(load(spark, sf_dir, "documents")), "index"), load(spark, sf_dir, "benchmark"))
+
+
+@query(r"""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+    ), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = vec_id LEFT JOIN (SELECT a AS l, count(*) AS n FROM links GROUP BY a) ON l = vec_id
+""")
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(load(spark, sf_dir, "embeddings"))
