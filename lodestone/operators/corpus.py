@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators.ordering import hash_bucket, running
+from lodestone.operators.ordering import hash_bucket, range_bucket, running
+
+#: Rows of names and counts that are broadcast.
+SMALL_LIST = 100_000
 
 
 def with_text_columns(files: DataFrame, content: str = "content") -> DataFrame:
@@ -107,18 +110,48 @@ def developers(records: DataFrame, group: str, key: str, path: str, seed: int, t
     return marked.join(index, [group, "_part"]).drop("_part", "_module", "_by_module", "_by_chunk", "chunk")
 
 
+def picked_lines(content: str, per_file: int, stride: int, skip: int, least: int) -> Column:
+    """(line_no, target) of every stride-th usable line from line ``skip`` on, ``per_file`` at most. The walk stays
+    inside the row (higher-order functions), so files aren't shuffled."""
+    numbered = F.transform(X.split_lines(F.col(content)), lambda x, i: F.struct(i.alias("line_no"), x.alias("target")))
+    usable = F.filter(numbered, lambda x: (x["line_no"] >= skip) & X.is_usable_line(x["target"], least))
+    return F.slice(F.filter(usable, lambda _, i: i % stride == 0), 1, per_file)
+
+
+def prompted(files: DataFrame, file: str, content: str, picked: Column) -> DataFrame:
+    """(file, line_no, prompt, target) of the picked lines; a prompt is all of the file before the line."""
+    out = files.select(F.col(file).alias("file"), X.split_lines(F.col(content)).alias("_lines"), F.explode(picked).alias("x")).select("file", "_lines", "x.*")
+    return out.select("file", "line_no", F.concat(F.array_join(F.slice("_lines", F.lit(1), F.col("line_no")), "\n"), F.lit("\n")).alias("prompt"), "target")
+
+
 def next_line_examples(files: DataFrame, file: str, content: str, per_file: int, stride: int = 7, skip: int = 3, least: int = 4) -> DataFrame:
     """(file, line_no, prompt, target): every stride-th usable line from line ``skip`` on, at most ``per_file`` a file.
 
-    A usable line has ``least`` characters when stripped and is no comment. The walk stays inside
-    the row (higher-order functions), so files aren't shuffled.
+    A usable line has ``least`` characters when stripped and is no comment.
     """
-    lines = X.split_lines(F.col(content))
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("target")))
-    usable = F.filter(numbered, lambda x: (x["line_no"] >= skip) & X.is_usable_line(x["target"], least))
-    picked = F.slice(F.filter(usable, lambda _, i: i % stride == 0), 1, per_file)
-    out = files.select(F.col(file).alias("file"), lines.alias("_lines"), F.explode(picked).alias("x")).select("file", "_lines", "x.*")
-    return out.select("file", "line_no", F.concat(F.array_join(F.slice("_lines", F.lit(1), F.col("line_no")), "\n"), F.lit("\n")).alias("prompt"), "target")
+    return prompted(files, file, content, picked_lines(content, per_file, stride, skip, least))
+
+
+def first_examples(files: DataFrame, file: str, content: str, most: int, per_file: int | None = None, stride: int = 7, skip: int = 3, least: int = 4) -> DataFrame:
+    """The first ``most`` of the files' examples, files taken in the order of their paths' components and lines in
+    theirs (T02, T03). A file gives ``per_file`` at most, by default twice ceil(most / number of files).
+
+    Examples are counted file by file and the counts summed in ranges of the order, which chooses files and how
+    many lines each gives; prompts are built for those alone. Files whose ``content`` is null (not decodable) count
+    as files and give none. ``file`` tells files apart; its nulls count as files and give none.
+    """
+    if most < 1:
+        raise ValueError(f"most = {most}")
+    quota = per_file if per_file is not None else 2 * max(1, -(-most // max(1, files.count())))
+    picked = picked_lines(content, quota, stride, skip, least)
+    parts = F.split(F.col(file).cast("string"), "/")
+    sized = files.where(F.col(file).isNotNull() & F.col(content).isNotNull()).select(F.col(file).alias("_file"), parts.alias("_parts"), F.size(picked).alias("_many"))
+    placed = running(sized, [], ["_parts"], range_bucket(sized, F.col("_parts")), F.col("_many"))
+    chosen = placed.where((F.col("_at") < most) & (F.col("_many") > 0)).select("_file", F.least(F.col("_many"), F.lit(most) - F.col("_at")).cast("int").alias("_take"))
+    if most <= SMALL_LIST:
+        chosen = F.broadcast(chosen)  # at most ``most`` rows
+    met = files.join(chosen, F.col(file) == F.col("_file"))
+    return prompted(met, file, content, F.slice(picked, F.lit(1), F.col("_take")))
 
 
 #: Records of a group whose digest one task forms.

@@ -33,3 +33,23 @@ def running(rows: DataFrame, by: list[str], order: list[str], bucket: Column, si
     on = [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]
     met = placed.join(offsets, on)
     return met.withColumn(at, F.col("_inside") + F.col("_offset")).drop("_bucket", "_size", "_inside", "_offset", *names.values())
+
+
+#: Rows of a range about, ranges at most, and sampled keys a range.
+RANGE_ROWS, RANGES, KEYS_A_RANGE = 50_000, 512, 16
+
+
+def range_bucket(rows: DataFrame, key: Column) -> Column:
+    """A bucket for ``running`` when the order has no arithmetic: the number of bounds up to ``key``.
+
+    Bounds are taken from a sample of at most some RANGES * KEYS_A_RANGE keys, which the driver sorts. Any sample
+    gives right results; it only decides how even the ranges are. ``key`` must not be null.
+    """
+    n = rows.count()
+    ranges = min(RANGES, n // RANGE_ROWS + 1)
+    if ranges == 1:
+        return F.lit(0)
+    share = min(1.0, ranges * KEYS_A_RANGE / n)
+    keys = rows.select(key.alias("k")).where(F.shiftrightunsigned(F.xxhash64("k"), 1) < F.lit(int(share * (1 << 63)) - 1)).orderBy("k").collect()
+    bounds = [keys[len(keys) * i // ranges].k for i in range(1, ranges) if keys]
+    return F.size(F.filter(F.lit(bounds), lambda b: b <= key)) if bounds else F.lit(0)

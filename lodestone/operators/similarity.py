@@ -24,17 +24,6 @@ def weighted_mean(rows: DataFrame, by: list[str], vector: str, weight: str) -> D
     return long.groupBy(*by, "pos").agg((F.sum(F.col("_w") * F.col("x")) / F.sum("_w")).alias("mean"))
 
 
-def cosine_pairs(rows: DataFrame, key: str, vector: str, block: str) -> DataFrame:
-    """(block, i, j, cosine) for i <= j inside a block; a zero vector has cosine 0 with others and 1 with itself.
-
-    ``block`` is the equi-join key that bounds the work, such as a layer and module.
-    """
-    v = rows.select(F.col(block).alias("block"), F.col(key).alias("i"), F.col(vector).alias("a"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("na"))
-    u = v.select("block", F.col("i").alias("j"), F.col("a").alias("b"), F.col("na").alias("nb"))
-    cos = F.when(F.col("i") == F.col("j"), 1.0).when((F.col("na") <= 1e-12) | (F.col("nb") <= 1e-12), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("a"), F.col("b")) / (F.col("na") * F.col("nb")))))
-    return v.join(u, "block").where("i <= j").select("block", "i", "j", cos.alias("cosine"))
-
-
 def cohesion(units: DataFrame, label: str, vector: str) -> DataFrame:
     """Mean cosine of distinct pairs within labels and between labels (NaN if there is none).
 

@@ -153,6 +153,22 @@ def next_line_examples(spark, d):
     return out.select("file", "line_no", X.sha256(F.col("prompt")).alias("prompt_sha256"), "target")
 
 
+FIRST = 250
+
+
+@query(f"""WITH f AS (SELECT source || '/' || lang || '/' || doc_id AS file, string_split(text, chr(10)) AS w FROM documents), n AS (SELECT file, CASE WHEN w[-1] = '' THEN w[:-2] ELSE w END AS w FROM f),
+    x AS (SELECT file, w, unnest(range(0, len(w))) AS i FROM n), u AS (SELECT file, w, i, w[i + 1] AS target FROM x WHERE i >= 3),
+    v AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) - 1 AS s FROM u WHERE length(trim(target, ' ' || chr(9))) >= 4 AND NOT starts_with(trim(target, ' ' || chr(9)), '#')),
+    k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS q FROM v WHERE s % 7 = 0),
+    m AS (SELECT *, row_number() OVER (ORDER BY string_split(file, '/'), i) AS place FROM k WHERE q <= 2 * ceil({FIRST}.0 / (SELECT count(*) FROM documents)))
+    SELECT file, CAST(i AS INT) AS line_no, sha256(array_to_string(w[:i], chr(10)) || chr(10)) AS prompt_sha256, target FROM m WHERE place <= {FIRST}""")
+def first_examples(spark, d):
+    """The first examples over all files in path order: a limit over the concatenation, with a quota a file."""
+    files = load(spark, d, "documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("file"), "text")
+    out = C.first_examples(files, "file", "text", FIRST)
+    return out.select("file", "line_no", X.sha256(F.col("prompt")).alias("prompt_sha256"), "target")
+
+
 @query("""SELECT source, count(*) AS num_files, sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 9, '0') || chr(0) || sha256(text) || chr(10), '' ORDER BY doc_id)) AS shard_sha256 FROM documents GROUP BY source""")
 def shard_digest(spark, d):
     rows = load(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("k"), X.sha256(F.col("text")).alias("h"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import asof
 from lodestone.operators import registry_rules as G
 from lodestone.operators import validators as V
 from lodestone.plans.registry import query
@@ -39,6 +40,22 @@ def previous_version_asof(spark, d):
     return G.previous_versions(v.select("name", "version"), "name", "version").join(latest, "name")
 
 
+DAYS = "CAST(date_diff('day', DATE '1970-01-01', CAST({} AS DATE)) AS INT)"
+
+
+@query(f"""WITH ver AS (SELECT o_custkey AS name, {DAYS.format("o_orderdate")} AS version, max(o_orderkey) AS stored FROM orders GROUP BY 1, 2),
+    probe AS (SELECT l_orderkey, l_linenumber, o_custkey AS name, {DAYS.format("l_shipdate")} AS version FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT l_orderkey, l_linenumber, probe.version AS asked, ver.version AS previous_version, ver.stored FROM probe ASOF LEFT JOIN ver ON probe.name = ver.name AND probe.version > ver.version""")
+def asof_previous(spark, d):
+    """The last version that a customer had before each day of shipping: the days are versions that mostly aren't stored."""
+    day = lambda c: F.unix_date(F.to_date(c))
+    orders = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("name"), day("o_orderdate").alias("version"))
+    stored = orders.select("name", "version", F.col("o_orderkey").alias("stored"))
+    probes = load(spark, d, "lineitem").join(orders.select("o_orderkey", "name"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "name", day("l_shipdate").alias("version"))
+    out = asof.as_of(probes, stored, ["name"], "version", lambda at: F.floor(at / 64))
+    return out.select("l_orderkey", "l_linenumber", F.col("version").alias("asked"), F.col("found.version").alias("previous_version"), F.col("found.stored").alias("stored"))
+
+
 @query(f"""WITH {VER} SELECT name, max_by(CASE WHEN st = 'P' THEN greatest(version - 1, 1) ELSE version END, version) AS active_version, max(version) AS as_of, arg_max(o_orderkey, ts) FILTER (price > 100000) IS NOT NULL AS measured FROM ver GROUP BY 1""")
 def active_pointer(spark, d):
     v = versions(spark, d).withColumn("target", F.when(F.col("st") == "P", F.greatest(F.col("version") - 1, F.lit(1))).otherwise(F.col("version")))

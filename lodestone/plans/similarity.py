@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.operators import kernels as K
+from lodestone.operators import lowrank as L
 from lodestone.operators import similarity as M
 from lodestone.plans.registry import query
 from lodestone.sources.tables import load
@@ -17,7 +18,7 @@ VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE
     FROM v a JOIN v b ON a.label = b.label AND a.vec_id <= b.vec_id) SELECT block, i, j, round_even(c, 6) AS cosine FROM p""")
 def cosine_pairs(spark, d):
     """Cosines inside a label; the blocks stand for a (layer, module)."""
-    return M.cosine_pairs(load(spark, d, "embeddings"), "vec_id", "embedding", "label").withColumn("cosine", F.bround("cosine", 6))
+    return L.cosine_tiles(load(spark, d, "embeddings"), "vec_id", "embedding", "label").withColumn("cosine", F.bround("cosine", 6))
 
 
 @query(f"""WITH {VEC}, p AS (SELECT a.label = b.label AS same, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id)
@@ -91,7 +92,7 @@ PRODUCTS = f"""{VEC}, prod AS (SELECT vec_id, label, vec_id // 100 AS module, (1
 
 @query()
 def lowrank_svd(spark, d):
-    return K.low_rank_average(adapters(spark, d), ["label", "module"], 4)
+    return L.low_rank_average(adapters(spark, d), ["label", "module"], 4)
 
 
 @query(f"""WITH {PRODUCTS}, x AS (SELECT label, module, w, e.p, m[e.p] AS x, ff.a, ff.b FROM prod, (SELECT unnest(range(1, 65)) AS p) e, (SELECT 0 AS a, 0 AS b) ff),
@@ -103,10 +104,28 @@ def lowrank_svd(spark, d):
     SELECT label, count(*) AS n_modules, max(e) AS max_naive_error, round_even(avg(e), 5) AS mean_naive_error FROM err GROUP BY 1""")
 def aggregation_errors(spark, d):
     """Relative errors of the naive average against the exact one: greatest, mean and number of modules."""
-    per = K.low_rank_average(adapters(spark, d), ["label", "module"], 4)
+    per = L.low_rank_average(adapters(spark, d), ["label", "module"], 4)
     return per.groupBy("label").agg(F.count("*").alias("n_modules"), F.max("naive_error").alias("max_naive_error"), F.bround(F.avg("naive_error"), 5).alias("mean_naive_error"))
 
 
+CASES = "(SELECT unnest([4, 8]) AS rank_out) r"
+
+
+@query(f"""WITH {PRODUCTS}, x AS (SELECT label, module, p, sum(w * m[p]) / sum(w) AS x FROM prod, (SELECT unnest(range(1, 65)) AS p) e GROUP BY 1, 2, 3)
+    SELECT label, module, CAST(r.rank_out AS INT) AS rank_out, (8.0::DOUBLE + label) * r.rank_out / 4 AS alpha, round_even((8.0::DOUBLE + label) / 4 * sqrt(sum(x * x)), 4) AS update_norm FROM x, {CASES} GROUP BY label, module, r.rank_out""")
+def svd_rank_change(spark, d):
+    """Averages refactored to the adapters' rank and to another one: alpha follows the rank, so that the update
+    (alpha / rank) b a keeps its size. Its norm is put together from what was kept and the truncation error."""
+    rows = adapters(spark, d).withColumn("alpha", 8.0 + F.col("label"))
+    both = [L.low_rank_average(rows, ["label", "module"], rank, rescale=True) for rank in (4, 8)]
+    out = both[0].unionByName(both[1])
+    # rows of a are orthogonal, and their squared lengths are the singular values
+    values = F.transform(F.sequence(F.lit(0), F.col("rank") - 1), lambda r: F.aggregate(F.slice("a", r * 8 + 1, 8), F.lit(0.0), lambda s, x: s + x * x))
+    square = F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x)
+    whole = F.col("alpha") / F.col("rank") * F.sqrt(square / (1 - F.col("truncation_error") * F.col("truncation_error")))
+    return out.select("label", "module", F.col("rank").alias("rank_out"), "alpha", F.bround(whole, 4).alias("update_norm"))
+
+
 @query()
 def residual_accumulate(spark, d):
     """Per module: the start adapter (least id) plus the weighted residuals of the others over alpha = 0.5."""
@@ -114,7 +133,7 @@ def residual_accumulate(spark, d):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("adapter").to_dict("records")
         start, *rest = ((K.matrix(r, "a"), K.matrix(r, "b")) for r in rows)
-        a, b, error = K.accumulate(start, rest, [r["weight"] for r in rows[1:]], 0.5, 4) if rest else (*start, 0.0)
+        a, b, error = L.accumulate(start, rest, [r["weight"] for r in rows[1:]], 0.5, 4) if rest else (*start, 0.0)
         return pd.DataFrame([{"label": key[0], "module": key[1], "n_residuals": len(rest), "a": a.ravel(), "b": b.ravel(), "truncation_error": round(error, 6)}])
 
     return adapters(spark, d).groupBy("label", "module").applyInPandas(run, "label int, module int, n_residuals bigint, a array<double>, b array<double>, truncation_error double")
@@ -140,21 +159,21 @@ def gram_sql(starts: bool) -> str:
 @query(gram_sql(False))
 def factor_gram(spark, d):
     """Inner products of the clients' updates, from factors, summed over modules."""
-    return K.factor_gram(client_factors(spark, d)[0], ["module"]).withColumn("dot", F.bround("dot", 4))
+    return L.factor_gram(client_factors(spark, d)[0], ["module"]).withColumn("dot", F.bround("dot", 4))
 
 
 @query(gram_sql(True))
 def update_gram(spark, d):
     """The same of updates: adapters less the module's start adapter, where there is one."""
     rows, starts = client_factors(spark, d)
-    return K.factor_gram(rows, ["module"], starts).withColumn("dot", F.bround("dot", 4))
+    return L.factor_gram(rows, ["module"], starts).withColumn("dot", F.bround("dot", 4))
 
 
 @query()
 def kmeans_similarity(spark, d):
     """Clusters of the clients by the cosines of their updates; ids by first use."""
     rows, starts = client_factors(spark, d)
-    return K.cluster_by_gram(K.factor_gram(rows, ["module"], starts), 3)
+    return K.cluster_by_gram(L.factor_gram(rows, ["module"], starts), 3)
 
 
 @query()
@@ -182,7 +201,7 @@ def client_apply(spark, d):
 def recluster_step(spark, d):
     """Clients reclustered by their updates against the assignment by id modulo 3; a dry run and its application."""
     rows, starts = client_factors(spark, d)
-    gram = K.factor_gram(rows, ["module"], starts)
+    gram = L.factor_gram(rows, ["module"], starts)
     before = rows.select("adapter", (F.col("adapter") % 3).cast("int").alias("before")).distinct()
     return K.recluster(gram, before, 3)
 

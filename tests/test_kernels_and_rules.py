@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import kernels as K
+from lodestone.operators import lowrank as L
 from lodestone.operators import registry_rules as G
 from lodestone.operators import rounds as R
 from lodestone.operators import scoring as S
@@ -22,16 +23,16 @@ def test_low_rank_sum_is_the_best_truncation():
     exact = sum(x * b @ a for x, (a, b) in zip(c, f, strict=True))
     u, s, vt = np.linalg.svd(exact)
     for rank in (1, 3, 6):
-        a, b, error = K.low_rank_sum(f, c, rank)
+        a, b, error = L.low_rank_sum(f, c, rank)
         assert np.allclose(b @ a, (u[:, :rank] * s[:rank]) @ vt[:rank])
         assert math.isclose(error, math.sqrt((s[rank:] ** 2).sum() / (s**2).sum()), abs_tol=1e-12)
     with pytest.raises(ValueError):
-        K.low_rank_sum(f, c, 7)
+        L.low_rank_sum(f, c, 7)
 
 
 def test_accumulation_and_composition():
     start, *rest = factors(3, rank=2)
-    a, b, _ = K.accumulate(start, rest, [1.0, 3.0], 0.5, 6)
+    a, b, _ = L.accumulate(start, rest, [1.0, 3.0], 0.5, 6)
     want = start[1] @ start[0] + (rest[0][1] @ rest[0][0] / 4 + rest[1][1] @ rest[1][0] * 3 / 4) / 0.5
     assert np.allclose(b @ a, want)
     a, b = K.composed([(*start, 0.0), (*rest[0], 1.0)])
@@ -40,12 +41,6 @@ def test_accumulation_and_composition():
     assert np.allclose(b @ a, 0.25 * start[1] @ start[0] + rest[0][1] @ rest[0][0])
 
 
-def test_gram_from_factors():
-    f = factors(4)
-    flat = np.array([(b @ a).ravel() for a, b in f])
-    assert np.allclose(K.gram(f), flat @ flat.T)
-
-
 def test_kmeans_finds_planted_groups_and_alignment():
     centre = RNG.normal(size=(2, 16))
     x = np.repeat(centre, 5, 0) + 0.01 * RNG.normal(size=(10, 16))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import kernels as K
+from lodestone.operators import lowrank as L
 from lodestone.operators import validators as V
 from lodestone.operators.ordering import hash_bucket, running
 from lodestone.sources import files as S
@@ -152,7 +153,7 @@ def test_update_gram_subtracts_the_start(spark):
     starts = spark.createDataFrame([(1, 2, f[4][0].ravel().tolist(), f[4][1].ravel().tolist())], "module int, start_rank int, start_a array<double>, start_b array<double>")
     df = spark.createDataFrame(rows, "module int, adapter int, rank int, a array<double>, b array<double>")
     plain = [(b @ a).ravel() for a, b in f]
-    for r in K.factor_gram(df, ["module"], starts).collect():
+    for r in L.factor_gram(df, ["module"], starts).collect():
         assert np.isclose(r.dot, plain[r.i] @ plain[r.j] + (plain[r.i] - plain[4]) @ (plain[r.j] - plain[4]))
 
 
