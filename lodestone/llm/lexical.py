@@ -30,6 +30,8 @@ from lodestone.llm.common import SMALL_SIDE, bounded_batches, materialised, open
 TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text in a segment (a longer text is a segment of its own) and items that are searched together.
 SEGMENT_BYTES, ITEMS = 8 << 20, 256
+#: Segments that a task ranks one after another, where there are many.
+SEGMENTS = 64
 #: Documents between two looks at which lists must be merged.
 STEP = 1024
 INDEX = "segment bigint, term string, df bigint, total bigint, postings binary"
@@ -223,7 +225,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, item_id: str = "item
     asked = materialised(numbered.select("q", "t").mapInArrow(split, "q bigint, term string, n bigint"), "asked")
     small = asked.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE  # pairs of item and term
     near = F.broadcast if small else lambda df: df
-    all_docs, all_terms = index.where("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    all_docs, all_terms, segments = index.where("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
     df = index.select("term", "df").join(near(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * all_docs + 2) / (2 * F.col("df") + 1))).cast("bigint")
     block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
@@ -231,7 +233,9 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, item_id: str = "item
     users = materialised(users, "users")
     heads = index.where("term IS NULL").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "segment", F.lit(None).cast("bigint").alias("w"), F.lit(None).cast(users.schema["users"].dataType).alias("users"), "postings")
     lists = index.where("term IS NOT NULL").join(near(users), "term").select("block", "segment", "w", "users", "postings")
-    met = lists.unionByName(heads).repartition("block", "segment").sortWithinPartitions("block", "segment", "w")  # the head has a null weight and comes first
+    # postings are small for the work they cause, so tasks are counted in segments, not in bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments * blocks // SEGMENTS)
+    met = lists.unionByName(heads).repartition(tasks, "block", "segment").sortWithinPartitions("block", "segment", "w")  # the head has a null weight and comes first
 
     def rank(batches):
         heaps, of, now, segment = {}, None, None, None
