@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators.ordering import hash_bucket, range_bucket, running
+from lodestone.operators.ordering import hash_bucket, range_bucket, running, streamed_digest
 
 #: Rows of names and counts that are broadcast.
 SMALL_LIST = 100_000
@@ -154,21 +154,11 @@ def first_examples(files: DataFrame, file: str, content: str, most: int, per_fil
     return prompted(met, file, content, F.slice(picked, F.lit(1), F.col("_take")))
 
 
-#: Records of a group whose digest one task forms.
-DIGEST_LINES = 4_000_000
-
-
 def ordered_digest(records: DataFrame, group: str, key: str, digest: str) -> DataFrame:
-    """Digest of the group's ``key NUL digest LF`` lines in key order.
-
-    One digest over all lines of a group needs them in one place, so a group of over DIGEST_LINES records
-    (some 400 MB of lines) is an error, raised from counts before lines are gathered.
-    """
-    sizes = records.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    bound = sizes.select("_g", F.when(F.col("_n") > DIGEST_LINES, F.raise_error(F.lit(f"a group has over {DIGEST_LINES} records"))).otherwise(F.col("_n")).alias("_n"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(digest).alias("d"))))
-    line = F.transform(rows, lambda r: F.concat(r["k"], F.lit("\x00"), r["d"], F.lit("\n")))
-    return records.join(bound, F.col(group).eqNullSafe(F.col("_g"))).groupBy(group).agg(F.max("_n").alias("num_files"), X.sha256(F.array_join(line, "")).alias("shard_sha256"))
+    """``num_files`` and ``shard_sha256``, the digest of the group's ``key NUL digest LF`` lines in key order. Lines with a
+    null are counted but left out."""
+    line = F.concat(F.col(key), F.lit("\x00"), F.col(digest), F.lit("\n")).cast("binary")
+    return streamed_digest(records, [group], [key, digest], line).withColumnsRenamed({"n": "num_files", "digest": "shard_sha256"})
 
 
 def fixed_chunks(texts: DataFrame, group: str, order: str, tokens: str, length: int, keep_tail: bool, span: int = 4096) -> DataFrame:

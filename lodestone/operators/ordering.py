@@ -53,3 +53,82 @@ def range_bucket(rows: DataFrame, key: Column) -> Column:
     keys = rows.select(key.alias("k")).where(F.shiftrightunsigned(F.xxhash64("k"), 1) < F.lit(int(share * (1 << 63)) - 1)).orderBy("k").collect()
     bounds = [keys[len(keys) * i // ranges].k for i in range(1, ranges) if keys]
     return F.size(F.filter(F.lit(bounds), lambda b: b <= key)) if bounds else F.lit(0)
+
+
+def previous(rows: DataFrame, by: list[str], order: list[str], bucket: Column, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the ``value`` of the row before this one in its group (null for the first).
+
+    A range looks back inside itself; its first row gets the value that the range before ended with. ``bucket`` as
+    in ``running``; ``order`` tells rows apart.
+    """
+    cut = rows.withColumn("_bucket", bucket)
+    ends = cut.groupBy(*by, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    names = {c: f"_k{i}" for i, c in enumerate([*by, "_bucket"])}
+    carried = ends.select(*(F.col(c).alias(k) for c, k in names.items()), F.lag("_end").over(Window.partitionBy(*by).orderBy("_bucket")).alias("_carried"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    near = cut.withColumns({"_first": F.row_number().over(inside) == 1, "_lag": F.lag(value).over(inside)})
+    met = near.join(carried, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()])
+    return met.withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))).drop("_bucket", "_first", "_lag", "_carried", *names.values())
+
+
+#: Rows of a block that gets the rows before it.
+BLOCK = 4096
+
+
+def with_halo(placed: DataFrame, at: str, n: int, size: int = BLOCK) -> DataFrame:
+    """The rows of blocks of ``size`` places, each with the ``n`` rows before it: adds ``_block`` and ``_own``, false
+    for the rows lent to a block. ``at`` are the places of a group's rows without gaps, as ``running`` gives them."""
+    size = max(size, n)
+    block = F.floor(F.col(at) / size)
+    lent = F.when(F.col(at) % size >= size - n, F.struct((block + 1).alias("_block"), F.lit(False).alias("_own")))
+    each = F.array_compact(F.array(F.struct(block.alias("_block"), F.lit(True).alias("_own")), lent))
+    return placed.select("*", F.explode(each).alias("_e")).select("*", "_e._block", "_e._own").drop("_e")
+
+
+def streamed_digest(rows: DataFrame, by: list[str], order: list[str], piece: Column, between: bytes = b"") -> DataFrame:
+    """``by``, ``n`` (rows) and ``digest``: SHA-256, in hexadecimal, of a group's pieces in ``order``, joined by ``between``.
+
+    ``piece`` is binary; null pieces are counted but left out. A digest is a sequence by nature, so a group is
+    read by one task, but from sorted batches: the task holds a batch and the state of the hash, however large the
+    group. Groups without rows have no row.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    keyed = rows.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), piece.alias("piece"))
+    keys = [f"k{i}" for i in range(len(by))]
+    cut = keyed.repartition(*keys) if keys else keyed.repartition(1)
+    sorted_ = cut.sortWithinPartitions(*keys, *(f"o{i}" for i in range(len(order)))).select(*keys, "piece")
+    fields = [f.name for f in sorted_.schema.fields if f.name != "piece"]
+
+    def run(batches):
+        now, h, n, some = None, None, 0, False
+
+        def out(kinds):
+            return pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(now, kinds, strict=True)), pa.array([n], pa.int64()), pa.array([h.hexdigest()])], names=[*fields, "n", "digest"])
+
+        for b in batches:
+            kinds = [b.schema.field(c).type for c in fields]
+            columns = [b.column(c).to_pylist() for c in fields]
+            heads = list(zip(*columns, strict=True)) if columns else [()] * b.num_rows
+            pieces = b.column("piece").to_pylist()
+            start = 0
+            while start < len(pieces):
+                key = heads[start]
+                stop = len(pieces) if heads[-1] == key else next(i for i in range(start, len(pieces)) if heads[i] != key)
+                if key != now:
+                    if h is not None:
+                        yield out(kinds)
+                    now, h, n, some = key, hashlib.sha256(), 0, False
+                live = [p for p in pieces[start:stop] if p is not None]
+                if live:
+                    h.update((between if some else b"") + between.join(live))
+                    some = True
+                n += stop - start
+                start = stop
+        if h is not None:
+            yield out(kinds)
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sorted_.schema.fields if f.name != "piece"), "n bigint", "digest string"])
+    return sorted_.mapInArrow(run, schema).withColumnsRenamed(dict(zip(keys, by, strict=True)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.ordering import running
+from lodestone.operators.ordering import previous, running
 
 
 def last_write(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -104,12 +104,13 @@ def promotion_reasons(delta: Column, band: Column, base_guard: Column, cand_guar
     )
 
 
-def token_buckets(requests: DataFrame, client: str, ts: str, order: str, capacity: float, rate: float, ttl_s: float | None = None) -> DataFrame:
+def token_buckets(requests: DataFrame, client: str, ts: str, order: str, capacity: float, rate: float, ttl_s: float | None = None, span_s: int = 86_400) -> DataFrame:
     """``allowed`` for each request of a client, by a token bucket that starts full.
 
     A bucket that is idle for capacity / rate seconds is full again, and one that is idle for ``ttl_s``
     is dropped and starts anew, full. So a client's requests fall into runs, cut at such pauses, that
-    don't depend on each other; runs, not clients, are dealt to tasks, which walk them in order.
+    don't depend on each other; runs, not clients, are dealt to tasks, which walk them in order. Pauses are found
+    and runs numbered in ranges of ``span_s`` seconds, so a client's requests aren't gathered for that either.
     """
     cols = requests.select(client, ts, order)
     pause = min(capacity / rate, ttl_s if ttl_s is not None else float("inf")) * 1e6
@@ -126,9 +127,11 @@ def token_buckets(requests: DataFrame, client: str, ts: str, order: str, capacit
             yield pdf.assign(allowed=out)[[client, order, "allowed"]]
 
     micros = cols.withColumn(ts, F.unix_micros(F.col(ts).cast("timestamp")))
-    w = Window.partitionBy(client).orderBy(ts, order)
-    fresh = F.coalesce((F.col(ts) - F.lag(ts).over(w) >= pause).cast("int"), F.lit(0))
-    runs = micros.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    span = F.floor(F.col(ts) / (span_s * 1_000_000))
+    looked = previous(micros, [client], [ts, order], span, ts, "_before")
+    fresh = F.coalesce((F.col(ts) - F.col("_before") >= pause).cast("int"), F.lit(0))
+    marked = looked.withColumn("_fresh", fresh)
+    runs = running(marked, [client], [ts, order], span, F.col("_fresh")).withColumn("_run", F.col("_at") + F.col("_fresh"))
     kinds = {f.name: f.dataType.simpleString() for f in cols.schema}
     dealt = runs.repartition(client, "_run").sortWithinPartitions(client, "_run", ts, order)
     return dealt.mapInPandas(run, f"`{client}` {kinds[client]}, `{order}` {kinds[order]}, allowed boolean")

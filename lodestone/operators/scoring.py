@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.ordering import running
+from lodestone.operators.ordering import BLOCK, running, streamed_digest, with_halo
 
 Z_95 = 1.959963984540054
 
@@ -75,53 +73,44 @@ def guard_noise(outcomes: DataFrame, passed: str, tolerance: float, full: int, g
     )
 
 
-def bootstrap_ci(values: DataFrame, by: str, value: str, resamples: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Percentile bootstrap interval of the mean of each group.
+def opening(n: Column, share: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n * F.lit(share)).cast("int"))
 
-    The values of a group are first reduced to counts of distinct values, so that resampling draws
-    from a multinomial whose size does not grow with equal values; distinct values of one group are
-    held by one task.
+
+def loss_curves(steps: DataFrame, by: str, order: list[str], loss: str, bucket: Column, share: float = 0.2) -> DataFrame:
+    """Means of the first and last ceil(share * n) steps, OLS slope, and whether the loss fell on both counts.
+
+    Steps get their places from ranges of the order (``bucket``, see ``running``); means and slope are sums, so no
+    key's steps are gathered.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(value)
-        x, n = pdf[value].to_numpy(float), pdf["_n"].to_numpy(np.int64)
-        total = int(n.sum())
-        rng = np.random.default_rng(seed)
-        means = np.sort(rng.multinomial(total, n / total, resamples) @ x / total)
-        lo, hi = math.floor(alpha / 2 * (resamples - 1)), math.ceil((1 - alpha / 2) * (resamples - 1))
-        return pd.DataFrame({by: [key[0]], "n": [total], "mean": [float((x * n).sum() / total)], "lo": [float(means[lo])], "hi": [float(means[hi])]})
-
-    kind = values.schema[by].dataType.simpleString()
-    return counts.groupBy(by).applyInPandas(run, f"`{by}` {kind}, n bigint, mean double, lo double, hi double")
-
-
-def loss_curves(steps: DataFrame, by: str, order: list[str], loss: str, share: float = 0.2) -> DataFrame:
-    """Means of the first and last ceil(share * n) steps, OLS slope, and whether the loss fell on both counts."""
-    w = Window.partitionBy(by)
-    s = steps.select(by, F.col(loss).alias("_y"), (F.row_number().over(w.orderBy(*order)) - 1).cast("double").alias("_x"), F.count("*").over(w).alias("_n"))
-    s = s.withColumn("_w", F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(share)).cast("int")))
-    head, tail = F.avg(F.when(F.col("_x") < F.col("_w"), F.col("_y"))), F.avg(F.when(F.col("_x") >= F.col("_n") - F.col("_w"), F.col("_y")))
-    slope = F.coalesce(F.regr_slope("_y", "_x"), F.lit(0.0))
+    s = running(steps.select(by, *order, F.col(loss).alias("_y")), [by], order, bucket).withColumn("_w", opening(F.col("_n"), share))
+    x = F.col("_at").cast("double")
+    head, tail = F.avg(F.when(x < F.col("_w"), F.col("_y"))), F.avg(F.when(x >= F.col("_n") - F.col("_w"), F.col("_y")))
+    slope = F.coalesce(F.regr_slope("_y", x), F.lit(0.0))
     return s.groupBy(by).agg(
-        F.count("*").alias("n_steps"), F.first("_w").alias("window_steps"), F.bround(head, 4).alias("first_window"), F.bround(tail, 4).alias("last_window"),
+        F.count("*").alias("n_steps"), F.max("_w").alias("window_steps"), F.bround(head, 4).alias("first_window"), F.bround(tail, 4).alias("last_window"),
         F.bround(slope, 6).alias("loss_slope"), ((tail < head) & (slope < 0)).alias("loss_decreased"),
     )
 
 
-def diverging(steps: DataFrame, by: str, order: list[str], loss: str, factor: float, ceiling: float, share: float = 0.2) -> DataFrame:
-    """Steps after the opening window whose loss exceeds ``factor`` times its mean, and any over ``ceiling``."""
-    w = Window.partitionBy(by)
-    s = steps.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_w", F.greatest(F.lit(1), F.ceil(F.count("*").over(w) * F.lit(share)).cast("int")))
-    s = s.withColumn("_ref", F.avg(F.when(F.col("_i") <= F.col("_w"), F.col(loss))).over(w))
-    bad = (F.col(loss) > ceiling) | ((F.col("_i") > F.col("_w")) & (F.col(loss) > F.col("_ref") * factor))
-    return s.where(bad).drop("_i", "_w", "_ref")
+def diverging(steps: DataFrame, by: str, order: list[str], loss: str, factor: float, ceiling: float, bucket: Column, share: float = 0.2) -> DataFrame:
+    """Steps after the opening window whose loss exceeds ``factor`` times its mean, and any over ``ceiling``.
+
+    The opening mean is an aggregation over the steps' places, one row a key, and joined back.
+    """
+    s = running(steps, [by], order, bucket).withColumn("_w", opening(F.col("_n"), share))
+    ref = s.where(F.col("_at") < F.col("_w")).groupBy(F.col(by).alias("_by")).agg(F.avg(loss).alias("_ref"))
+    met = s.join(ref, F.col(by).eqNullSafe(F.col("_by")), "left")
+    bad = (F.col(loss) > ceiling) | ((F.col("_at") >= F.col("_w")) & (F.col(loss) > F.col("_ref") * factor))
+    return met.where(bad).drop("_at", "_n", "_w", "_ref", "_by")
 
 
-def rolling_mean(steps: DataFrame, by: str, order: list[str], value: str, n: int) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(1 - n, 0)
-    return steps.withColumn("rolling_mean", F.avg(value).over(w))
+def rolling_mean(steps: DataFrame, by: str, order: list[str], value: str, n: int, bucket: Column, block: int = BLOCK) -> DataFrame:
+    """``rolling_mean``: the mean of the last ``n`` steps. Steps are cut into blocks of places, and each block is lent
+    the n - 1 steps before it, so a key's steps are averaged by as many tasks as it has blocks."""
+    placed = running(steps, [by], order, bucket).drop("_n")
+    w = Window.partitionBy(by, "_block").orderBy("_at").rowsBetween(1 - n, 0)
+    return with_halo(placed, "_at", n - 1, block).withColumn("rolling_mean", F.avg(value).over(w)).where("_own").drop("_at", "_block", "_own")
 
 
 def latency_stats(samples: DataFrame, by: str, value: str, places: int = 2) -> DataFrame:
@@ -170,20 +159,34 @@ def criteria_scores(rows: DataFrame, key: str, scores: str, weights: dict[str, f
     return rows.select(key, total.alias("_s")).groupBy(key).agg(F.bround(F.avg("_s"), 4).alias("score")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-#: Tasks of a benchmark whose solved ids one row lists.
-ANCHOR_TASKS = 1_000_000
-
-
 def anchor(results: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
     """One row: tasks, solved ones, pass rates of ``base`` and ``plus``, frozen tasks without a result, results
-    outside the frozen set, and the digest of the solved ids in order, comma-joined. A benchmark has
-    at most ANCHOR_TASKS tasks; more are an error."""
+    outside the frozen set, and the digest of the solved ids in order, comma-joined (of nothing: null)."""
     there = results.withColumn("_there", F.lit(1)).join(frozen.select(key).distinct().withColumn("_frozen", F.lit(1)), key, "full_outer")
-    ids = F.array_sort(F.collect_list(F.when(F.col("base"), F.col(key))))
     share = lambda c: F.bround(F.avg(F.when(F.col("_there") == 1, F.coalesce(F.col(c), F.lit(False)).cast("int"))), 6)
-    size = there.agg(F.count("*").alias("_size")).select(F.when(F.col("_size") > ANCHOR_TASKS, F.raise_error(F.lit(f"over {ANCHOR_TASKS} tasks"))).otherwise(F.col("_size")).alias("_size"))
-    one = there.join(F.broadcast(size)).where("_size >= 0").agg(  # one row is broadcast
+    one = there.agg(
         F.count("_there").alias("n_tasks"), F.count_if("base").alias("n_solved"), share("base").alias("base_pass"), share("plus").alias("plus_pass"),
-        F.count_if(F.col("_there").isNull()).alias("missing"), F.count_if(F.col("_frozen").isNull()).alias("extra"), ids.alias("_ids"),
+        F.count_if(F.col("_there").isNull()).alias("missing"), F.count_if(F.col("_frozen").isNull()).alias("extra"),
     )
-    return one.withColumn("anchor_sha256", F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ",").cast("binary"), 256)).drop("_ids")
+    solved = streamed_digest(results.where("base"), [], [key], F.col(key).cast("string").cast("binary"), b",").select(F.col("digest").alias("anchor_sha256"))
+    return one.join(F.broadcast(solved), how="left")  # one row each
+
+
+def task_order(key: Column) -> Column:
+    """Tasks by the number after their last slash; those without one come last, by name."""
+    tail = F.regexp_extract(key, "(?:^|/)([0-9]{1,18})$", 1)
+    return F.struct(F.when(tail != "", tail.cast("bigint")).otherwise(1 << 30).alias("number"), key.alias("name"))
+
+
+def anchor_tasks(outcomes: DataFrame, frozen: DataFrame, key: str, passed: str) -> DataFrame:
+    """A row a task in the order of ``task_order``: ``place`` (from 0), samples, passed ones, pass@1 and ``solved`` (any
+    sample passed). Outcomes that don't cover exactly the frozen tasks are an error."""
+    per = outcomes.groupBy(key).agg(F.count("*").alias("n_samples"), F.count_if(passed).alias("n_passed"))
+    wanted = frozen.select(F.col(key).alias("_frozen")).distinct()
+    both = per.join(wanted, F.col(key) == F.col("_frozen"), "full_outer")
+    wrong = F.raise_error(F.concat(F.lit("outcomes do not match the frozen tasks: "), F.coalesce(F.col(key), F.col("_frozen"))))
+    known = both.withColumn(key, F.when(F.col(key).isNotNull() & F.col("_frozen").isNotNull(), F.col(key)).otherwise(wrong)).drop("_frozen")
+    ordered = known.withColumn("_o", task_order(F.col(key))).select("*", F.col("_o.number").alias("_number"))
+    placed = running(ordered, [], ["_o"], F.floor(F.col("_number") / 4096))
+    rate = pass_at_k(F.col("n_samples"), F.col("n_passed"), F.lit(1))
+    return placed.select(F.col("_at").alias("place"), key, "n_samples", "n_passed", F.bround(rate, 9).alias("pass_at_1"), (F.col("n_passed") > 0).alias("solved"))

@@ -245,3 +245,12 @@ def anchor_scores(spark, d):
     one side only, and the digest of the solved ids in order."""
     labels = load(spark, d, "labels")
     return S.anchor(labels.where("doc_id % 9 <> 0").select("doc_id", (F.col("quality") == 1).alias("base"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("plus")), labels.where("doc_id % 10 <> 0").select("doc_id"), "doc_id")
+
+
+@query("""WITH t AS (SELECT 'suite-' || doc_id % 3 || '/' || (doc_id % 40) AS task, doc_id, n_chars % 3 = 0 AS passed FROM documents), p AS (SELECT task, count(*) AS n, count(*) FILTER (passed) AS c FROM t GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY CAST(string_split(task, '/')[2] AS BIGINT), task) - 1 AS place, task, n AS n_samples, c AS n_passed, round_even(c / n, 9) AS pass_at_1, c > 0 AS solved FROM p""")
+def anchor_tasks(spark, d):
+    """Every task of an anchor in its order, with the samples it was scored on."""
+    task = F.concat(F.lit("suite-"), F.col("doc_id") % 3, F.lit("/"), F.col("doc_id") % 40)
+    t = load(spark, d, "documents").select(task.alias("task"), (F.col("n_chars") % 3 == 0).alias("passed"))
+    return S.anchor_tasks(t, t.select("task").distinct(), "task", "passed")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators import bootstrap as B
 from lodestone.operators import scoring as S
 from lodestone.plans.registry import query
 from lodestone.sources.tables import load
@@ -65,12 +66,33 @@ def guard_noise_report(spark, d):
     return S.guard_noise(load(spark, d, "labels"), "quality", 0.02, 164, [0.05, 0.1, 0.2])
 
 
-@query()
+NORMAL = """abs(lo - (mean - 1.96 * se)) <= 0.4 * se AND abs(hi - (mean + 1.96 * se)) <= 0.4 * se"""
+
+
+def against_normal(intervals, deviations):
+    """Whether both bounds lie within 0.4 standard errors of the normal interval, which they come near to for large groups."""
+    met = intervals.join(deviations, "what").withColumn("se", F.col("sd") / F.sqrt("n"))
+    return met.select("what", "n", F.bround("mean", 6).alias("mean"), F.expr(NORMAL).alias("near_normal"))
+
+
+@query("""SELECT event_type AS what, count(*) AS n, round_even(avg(value), 6) AS mean, true AS near_normal FROM events GROUP BY 1""")
 def bootstrap_ci(spark, d):
-    """Intervals of both outcomes and of their paired difference."""
-    labels = load(spark, d, "labels")
-    stacked = labels.select(F.explode(F.array(F.struct(F.lit("baseline").alias("what"), F.col("quality").cast("double").alias("x")), F.struct(F.lit("candidate").alias("what"), F.col("toxic").cast("double").alias("x")), F.struct(F.lit("difference").alias("what"), (F.col("quality") - F.col("toxic")).cast("double").alias("x")))).alias("r"))
-    return S.bootstrap_ci(stacked.select("r.*"), "what", "x")
+    """Bootstrap intervals of the mean of each kind of event, held against the closed form."""
+    v = load(spark, d, "events").select(F.col("event_type").alias("what"), "value")
+    return against_normal(B.bootstrap_ci(v, "what", "value"), v.groupBy("what").agg(F.stddev_pop("value").alias("sd")))
+
+
+@query("""SELECT p_partkey % 2 AS what, count(*) AS n, round_even(avg(p_retailprice / 100 - p_size), 6) AS mean, true AS near_normal FROM part GROUP BY 1""")
+def paired_bootstrap_ci(spark, d):
+    """The same of paired differences: two scores of every part."""
+    p = load(spark, d, "part").select((F.col("p_partkey") % 2).alias("what"), F.col("p_partkey").alias("item"), F.col("p_size").cast("double").alias("b"), (F.col("p_retailprice") / 100).alias("c"))
+    side = lambda c: p.select("what", "item", F.col(c).alias("score"))
+    return against_normal(B.paired_bootstrap_ci(side("b"), side("c"), "what", "item", "score"), p.groupBy("what").agg(F.stddev_pop(F.col("c") - F.col("b")).alias("sd")))
+
+
+def day():
+    """Ranges of events: the day."""
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
 
 
 @query("""WITH s AS (SELECT user_id, value AS y, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::DOUBLE AS x, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -78,19 +100,19 @@ def bootstrap_ci(spark, d):
     a AS (SELECT user_id, count(*) AS n_steps, any_value(w) AS window_steps, avg(y) FILTER (x < w) AS f, avg(y) FILTER (x >= n - w) AS l, coalesce(regr_slope(y, x), 0.0) AS b FROM w GROUP BY 1)
     SELECT user_id, n_steps, window_steps, round_even(f, 4) AS first_window, round_even(l, 4) AS last_window, round_even(b, 6) AS loss_slope, l < f AND b < 0 AS loss_decreased FROM a""")
 def loss_curve(spark, d):
-    return S.loss_curves(load(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+    return S.loss_curves(load(spark, d, "events"), "user_id", ["ts", "event_id"], "value", day())
 
 
 @query("""SELECT event_id, user_id, round_even(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling_mean FROM events""")
 def rolling_loss(spark, d):
-    return S.rolling_mean(load(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 10).select("event_id", "user_id", F.bround("rolling_mean", 6).alias("rolling_mean"))
+    return S.rolling_mean(load(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 10, day()).select("event_id", "user_id", F.bround("rolling_mean", 6).alias("rolling_mean"))
 
 
 @query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, greatest(1, CAST(ceil(count(*) OVER (PARTITION BY user_id) * 0.2::DOUBLE) AS INT)) AS w FROM events),
     r AS (SELECT *, avg(value) FILTER (i <= w) OVER (PARTITION BY user_id) AS ref FROM s)
     SELECT event_id, user_id, value FROM r WHERE value > 150 OR (i > w AND value > ref * 3)""")
 def diverging_steps(spark, d):
-    return S.diverging(load(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 3.0, 150.0).select("event_id", "user_id", "value")
+    return S.diverging(load(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 3.0, 150.0, day()).select("event_id", "user_id", "value")
 
 
 @query("""WITH s AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
