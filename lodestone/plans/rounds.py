@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import rounds as R
 from lodestone.plans.registry import query
+from lodestone.sources.scratch import scratch_path
 from lodestone.sources.tables import load
+from lodestone.streaming import limiter
+from lodestone.streaming.state import drained
 
 START = "2024-01-01"
 UP = """up AS (SELECT event_id, ts, user_id AS client_id, user_id % 4 AS cluster_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS round_id,
@@ -229,16 +232,32 @@ def oldest_k(spark, d):
     return uploads(spark, d).groupBy("client_id").agg(F.max("ts").alias("last_fill")).orderBy("last_fill", "client_id").limit(10)
 
 
-@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+BUCKETS = """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     b AS (SELECT user_id, event_id, us, i, 3.0::DOUBLE AS t FROM r WHERE i = 1 UNION ALL
           SELECT r.user_id, r.event_id, r.us, r.i, CASE WHEN r.us - b.us >= 7200000000 THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, CASE WHEN b.t >= 1 THEN b.t - 1 ELSE b.t END + ((r.us / 1e6::DOUBLE) - (b.us / 1e6::DOUBLE)) * (1 / 7200.0::DOUBLE)) END
           FROM b JOIN r ON r.user_id = b.user_id AND r.i = b.i + 1)
-    SELECT user_id, event_id, t >= 1 AS allowed FROM b""")
+    SELECT user_id, event_id, t >= 1 AS allowed FROM b"""
+
+
+@query(BUCKETS)
 def token_bucket(spark, d):
     """Three requests at once and one every two hours; a bucket idle for two hours is dropped and starts full."""
     return R.token_buckets(load(spark, d, "events"), "user_id", "ts", "event_id", 3.0, 1 / 7200, ttl_s=7200.0)
 
 
+@query(BUCKETS)
+def stream_token_bucket(spark, d):
+    """The same from a stream over the stored events, stopped after the first half of the time and taken up again."""
+    events = load(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    half = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    root = scratch_path(spark, "limiter")
+    for part in (F.col("ts") < half, F.col("ts") >= half):
+        events.where(part).write.mode("append").parquet(f"{root}/in")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        drained(limiter.token_buckets(arriving, "user_id", "ts", "event_id", 3.0, 1 / 7200, ttl_s=7200.0), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
 @query(f"""WITH {UP}, m AS (SELECT cluster_id, round_id, max(value) / 100 AS epsilon FROM up GROUP BY 1, 2), c AS (SELECT *, sum(epsilon) OVER (PARTITION BY cluster_id ORDER BY round_id) AS spent FROM m)
     SELECT cluster_id, count(*) FILTER (spent <= 8) AS rounds_within, round_even(coalesce(max(spent) FILTER (spent <= 8), 0), 6) AS spent, min(round_id) FILTER (spent > 8) AS stops_at FROM c GROUP BY 1""")
 def privacy_budget_stop(spark, d):

@@ -8,11 +8,15 @@ the same rows. Clusters are independent; the events of one are a sequence by nat
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from lodestone.streaming.state import use_rocksdb
 
 CAPACITY, MIN_CLIENTS = 64, 3
 OUT = "cluster_id bigint, event_id bigint, round_id bigint, status int, pending int"
@@ -49,13 +53,6 @@ class Cluster:
             return 200
         return 422
 
-    def dump(self) -> tuple[int, int, str]:
-        return self.round_id, self.active, json.dumps({str(k): v for k, v in self.uploads.items()})
-
-    @classmethod
-    def load(cls, round_id: int, active: int, uploads: str) -> Cluster:
-        return cls(round_id, {int(k): tuple(v) for k, v in json.loads(uploads).items()}, active)
-
 
 COLUMNS = ["cluster_id", "event_id", "round_id", "status", "pending"]
 
@@ -84,14 +81,30 @@ def replay(events: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, OUT)
 
 
-def stream(events: DataFrame) -> DataFrame:
-    """The same over a stream; a micro-batch must not hold events that are older than what came before."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+class Rounds(StatefulProcessor):
+    """A value state of the round and the active version, and a map state of the uploads by client."""
 
-    def step(key, pdfs, state):
-        cluster = Cluster.load(*state.get) if state.exists else Cluster()
-        out = _walk(cluster, key[0], pd.concat(list(pdfs)))
-        state.update(cluster.dump())
-        yield out
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "round_id long, active long")
+        self.uploads = handle.getMapState("uploads", "client long", "examples long, base long")
 
-    return events.groupBy("cluster_id").applyInPandasWithState(step, OUT, "round_id long, active long, uploads string", "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = {k[0]: (v[0], v[1]) for k, v in self.uploads.iterator()}
+        round_id, active = self.head.get() if self.head.exists() else (0, 0)
+        state = Cluster(round_id, dict(before), active)
+        yield _walk(state, key[0], pd.concat(list(rows)))
+        self.head.update((state.round_id, state.active))
+        for client in before.keys() - state.uploads.keys():
+            self.uploads.removeKey((client,))
+        for client, upload in state.uploads.items():
+            if before.get(client) != upload:  # only what has changed is written
+                self.uploads.updateValue((client,), upload)
+
+    def close(self) -> None:
+        pass
+
+
+def stream(events: DataFrame) -> DataFrame:
+    """The same over a stream; a micro-batch must not hold events that are older than what came before."""
+    use_rocksdb(events.sparkSession)
+    return events.groupBy("cluster_id").transformWithStateInPandas(statefulProcessor=Rounds(), outputStructType=StructType.fromDDL(OUT), outputMode="append", timeMode="none")

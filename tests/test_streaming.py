@@ -1,7 +1,12 @@
+import random
+
 from pyspark.sql import functions as F
 
+from lodestone.operators import rounds as R
+from lodestone.streaming import limiter
 from lodestone.streaming import rounds as S
 from lodestone.streaming import windows as W
+from lodestone.streaming.state import drained
 
 SCHEMA = "cluster_id bigint, ts timestamp, event_id bigint, kind string, client_id bigint, lag bigint, num_examples bigint"
 
@@ -43,3 +48,32 @@ def test_windows(spark):
     rows = spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", "a") for m in (0, 5, 10, 40)], "t string, k string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.n for r in W.windowed_counts(rows, "t", ["k"], "30 minutes", "1 minute").collect()) == [1, 3]
     assert sorted(r.n for r in W.sessions(rows, "t", ["k"], "6 minutes", "1 minute").collect()) == [1, 3]
+
+
+def requests(spark):
+    r = random.Random(1)
+    rows = [(r.choice("xxxy"), float(t), i) for i, t in enumerate(sorted(r.choice([r.randint(0, 200), r.randint(500, 600)]) for _ in range(300)))]
+    return rows, spark.createDataFrame(rows, "c string, t double, i int").withColumn("t", F.timestamp_seconds("t"))
+
+
+def test_limiter_over_restarts_equals_the_batch(spark, tmp_path):
+    rows, df = requests(spark)
+    cuts = [0, 90, 170, 300]
+    cuts = [next(i for i in range(c, 301) if i in (0, 300) or rows[i][1] != rows[i - 1][1]) for c in cuts]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        df.where((F.col("i") >= a) & (F.col("i") < b)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        arriving = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        drained(limiter.token_buckets(arriving, "c", "t", "i", 4.0, 0.2, 60.0), f"{tmp_path}/out", f"{tmp_path}/ck")
+    got = {x.i: x.allowed for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {x.i: x.allowed for x in R.token_buckets(df, "c", "t", "i", 4.0, 0.2, ttl_s=60.0).collect()}
+    assert got == want and len(got) == 300 and set(got.values()) == {True, False}
+
+
+def test_idle_buckets_are_cleared(spark, tmp_path):
+    df = spark.createDataFrame([("old", 0.0, 1), ("new", 1000.0, 2), ("new", 1001.0, 3)], "c string, t double, i int").withColumn("t", F.timestamp_seconds("t"))
+    for i in (1, 2, 3):
+        df.where(F.col("i") == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    drained(limiter.token_buckets(arriving, "c", "t", "i", 2.0, 0.1, 60.0), f"{tmp_path}/out", f"{tmp_path}/ck")
+    state = spark.read.format("statestore").option("stateVarName", "bucket").load(f"{tmp_path}/ck")
+    assert [r.key.c for r in state.select("key").collect()] == ["new"]
