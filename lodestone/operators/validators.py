@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Limits of an adapter, and what a request's fields may hold.
 RANK_CAP, NORM_ERROR, NORM_WARNING = 16, 100.0, 80.0
-NAME = r"^[A-Za-z0-9][A-Za-z0-9._#-]{0,63}$"
-CLIENT = r"^[a-zA-Z0-9-]{1,64}$"
+NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$(?!\n)"
+CLIENT = r"^[a-zA-Z0-9-]{1,64}$(?!\n)"
 
 
 def problems(*checks: Column) -> Column:

@@ -161,12 +161,14 @@ def compat_groups(spark, d):
     return g.select("l_orderkey", F.array_join(problems, ",").alias("problems"), subset.alias("subset"), ((F.col("n") >= 3) & (F.col("n") % 2 == 1)).alias("due"))
 
 
-@query("""WITH s AS (SELECT *, CASE WHEN s_suppkey % 9 = 0 THEN s_acctbal + 0.5 WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS inner_epsilon FROM supplier)
-    SELECT s_suppkey, regexp_matches(s_name, '^[A-Za-z0-9][A-Za-z0-9._#-]{0,63}$') AS name_ok, regexp_matches(s_name, '^[a-zA-Z0-9-]+$') AND length(s_name) <= 64 AS id_ok,
+@query("""WITH s AS (SELECT *, CASE s_suppkey % 8 WHEN 0 THEN s_name WHEN 1 THEN '.hidden' WHEN 2 THEN 'web_' || s_suppkey || '.v1' WHEN 3 THEN '' WHEN 4 THEN repeat('n', 64) WHEN 5 THEN repeat('n', 65) WHEN 6 THEN 'a b' ELSE 'c-' || s_suppkey END AS name, CASE WHEN s_suppkey % 9 = 0 THEN s_acctbal + 0.5 WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS inner_epsilon FROM supplier)
+    SELECT s_suppkey, regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$') AS name_ok, regexp_matches(name, '^[a-zA-Z0-9-]+$') AND length(name) <= 64 AS id_ok,
     array_to_string(list_filter([CASE WHEN s_acctbal < 0 THEN 'negative' END, CASE WHEN s_acctbal / 10000 NOT BETWEEN 0 AND 1 THEN 'range' END, CASE WHEN inner_epsilon <> s_acctbal THEN 'epsilon_mismatch' END], lambda x: x IS NOT NULL), ',') AS problems FROM s""")
 def contract_validators(spark, d):
-    """Balances as epsilons, given at two places; every ninth differs, and some are given once."""
-    b, k, name = F.col("s_acctbal"), F.col("s_suppkey"), F.col("s_name")
+    """Names of eight kinds, most of them invalid, and balances as epsilons, given at two places; every ninth differs, and some are given once."""
+    b, k = F.col("s_acctbal"), F.col("s_suppkey")
+    kinds = [F.col("s_name"), F.lit(".hidden"), F.concat(F.lit("web_"), k, F.lit(".v1")), F.lit(""), F.lit("n" * 64), F.lit("n" * 65), F.lit("a b"), F.concat(F.lit("c-"), k)]
+    name = F.get(F.array(*kinds), (k % 8).cast("int"))
     inner = F.when(k % 9 == 0, b + 0.5).when(k % 5 != 0, b)
     found = V.problems(V.domain(b, 0, name="negative"), V.domain(b / 10000, 0, 1), V.reconciled(b, inner))
     return load(spark, d, "supplier").select("s_suppkey", name.rlike(V.NAME).alias("name_ok"), name.rlike(V.CLIENT).alias("id_ok"), F.array_join(found, ",").alias("problems"))

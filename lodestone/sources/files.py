@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.sources.commit import swap_file
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
@@ -38,17 +39,8 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
-    """Replace ``path`` by one JSON document. It is written beside the target and then renamed, so a reader
-    sees the old one or the new one."""
-    jvm = spark.sparkContext._jvm
-    at, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(part, True)
-    out.write(bytearray(json.dumps(document, indent=2, ensure_ascii=False).encode()))
-    out.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    fs.rename(part, at)
+    """Replace ``path`` by one JSON document, in one step: a reader sees the old one or the new one."""
+    swap_file(spark, path, json.dumps(document, indent=2, ensure_ascii=False).encode())
 
 
 def read_runs(spark: SparkSession, root: str, schema: str, experiment: str | None = None) -> DataFrame:
