@@ -11,9 +11,10 @@ from lodestone.operators import similarity as M
 from lodestone.operators import validators as V
 from lodestone.plans.registry import query
 from lodestone.sources import files as S
+from lodestone.sources import tensor_files as TF
 from lodestone.sources import tensors as T
 from lodestone.sources import versions as R
-from lodestone.sources.scratch import scratch_path
+from lodestone.sources.scratch import scratch_path, stored
 from lodestone.sources.tables import load
 
 
@@ -87,6 +88,38 @@ def tensor_file_scan(spark, d):
     return rows.select("file", layer.alias("layer"), module.alias("module"), part.alias("part"), F.size("data").alias("n"), F.bround(total, 4).alias("total"))
 
 
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+    SELECT 'adapter-' || vec_id // 40 AS folder, CAST(vec_id % 40 AS INT) AS layer, part, 4 AS r, 32 AS n, round_even(list_sum(CASE WHEN part = 'lora_A' THEN e[1:32] ELSE e[33:64] END), 4) AS total
+    FROM v, (SELECT unnest(['lora_A', 'lora_B']) AS part) p WHERE vec_id % 40 < 10 AND label % 2 = 0""")
+def adapter_folder_scan(spark, d):
+    """Vectors written as adapter folders, a layer each; of the folders only the first ten layers of one module are read."""
+    root = scratch_path(spark, "adapters")
+    v = load(spark, d, "embeddings").select(F.concat(F.lit("adapter-"), F.floor(F.col("vec_id") / 40)).alias("folder"), (F.col("vec_id") % 40).alias("layer"), F.when(F.col("label") % 2 == 0, "q_proj").otherwise("v_proj").alias("module"), "embedding")
+    name = lambda part: F.concat(F.lit(f"{TF.PREFIX}.layers."), "layer", F.lit(f".{TF.SEGMENT}."), "module", F.lit(f".{part}.weight"))
+    sides = F.array(F.struct(name("lora_A").alias("name"), F.array(F.lit(4), F.lit(8)).alias("shape"), F.slice("embedding", 1, 32).alias("data")), F.struct(name("lora_B").alias("name"), F.array(F.lit(8), F.lit(4)).alias("shape"), F.slice("embedding", 33, 32).alias("data")))
+    tensors = v.select("folder", F.explode(sides).alias("t")).select("folder", "t.*")
+    configs = v.select("folder", F.lit('{"r": 4, "lora_alpha": 8}').alias("config")).distinct()
+    stored(TF.write_adapters(tensors, configs, root), "manifest")
+    back = TF.read_adapters(spark, root, "r int, lora_alpha double").where("layer < 10 AND module = 'q_proj'")
+    return back.select("folder", "layer", "part", F.col("config.r").alias("r"), F.size("data").alias("n"), F.bround(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("""WITH t AS (SELECT vec_id // 20 AS file, CAST(vec_id % 20 // 4 + CASE WHEN vec_id // 20 % 3 = 1 AND vec_id % 20 >= 8 THEN 1 ELSE 0 END AS INT) AS layer, CASE WHEN vec_id % 2 = 0 THEN 'q_proj' ELSE 'v_proj' END AS module,
+        vec_id % 4 < 2 AS first, CASE WHEN vec_id // 20 % 5 = 2 AND vec_id % 20 = 7 THEN 16 ELSE 8 END AS rank FROM embeddings WHERE NOT (vec_id // 20 % 4 = 3 AND vec_id % 20 = 5)),
+    f AS (SELECT file, count(DISTINCT layer) AS n_layers, max(layer) AS last, count(DISTINCT module) AS m, list_sort(list(DISTINCT module)) AS modules, min(rank) AS rank, max(rank) AS most, count(*) AS n_tensors FROM t GROUP BY 1)
+    SELECT file, n_layers, array_to_string(modules, ',') AS modules, rank, n_tensors, array_to_string(list_filter([CASE WHEN n_layers <= last THEN 'missing_layers' END, CASE WHEN rank <> most THEN 'mixed_rank' END, CASE WHEN n_tensors <> 2 * n_layers * m THEN 'count' END], lambda x: x IS NOT NULL), ',') AS problems FROM f""")
+def adapter_structure(spark, d):
+    """Twenty vectors name the tensors of a file; some files lack a layer or a tensor, or mix ranks."""
+    i, file = F.col("vec_id") % 20, F.floor(F.col("vec_id") / 20)
+    layer = F.floor(i / 4) + F.when((file % 3 == 1) & (i >= 8), 1).otherwise(0)
+    part, rank = F.when(F.col("vec_id") % 4 < 2, "lora_A").otherwise("lora_B"), F.when((file % 5 == 2) & (i == 7), 16).otherwise(8)
+    name = F.concat(F.lit("layers."), layer, F.lit("."), F.when(F.col("vec_id") % 2 == 0, "q_proj").otherwise("v_proj"), F.lit("."), part, F.lit(".weight"))
+    shape = F.when(part == "lora_A", F.array(rank, F.lit(64))).otherwise(F.array(F.lit(64), rank))
+    t = load(spark, d, "embeddings").where(~((file % 4 == 3) & (i == 5))).select(file.alias("file"), name.alias("name"), shape.alias("shape"))
+    out = TF.described(TF.renamed(t, ["file"], "name", "long"), ["file"])
+    return out.select("file", "n_layers", F.array_join("modules", ",").alias("modules"), "rank", "n_tensors", F.array_join("problems", ",").alias("problems"))
+
+
 UPLOAD = """u AS (SELECT event_id, event_id % 2 = 0 AS nested, event_id % 7 <> 0 AS has_client, event_id % 11 <> 0 AS whole_rank, event_id % 13 <> 0 AS has_modules, event_id % 17 <> 0 AS is_object FROM events)"""
 
 

@@ -14,14 +14,9 @@ LARGEST_HEADER = 100 << 20
 ITEM = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2, "I8": 1, "U8": 1, "BOOL": 1}
 
 
-def header(data: bytes) -> dict:
-    """The tensors of a file by name; ValueError if they do not tile its data without gaps."""
-    if len(data) < 8:
-        raise ValueError("shorter than its header's length")
-    n = int.from_bytes(data[:8], "little")
-    if n > min(LARGEST_HEADER, len(data) - 8):
-        raise ValueError("header longer than the file")
-    head = json.loads(data[8 : 8 + n])
+def entries(text: bytes, size: int) -> tuple[dict, dict]:
+    """(tensors by name, metadata) of a header's text; ValueError if the tensors do not tile ``size`` bytes without gaps."""
+    head = json.loads(text)
     if not isinstance(head, dict):
         raise ValueError("header is no object")
     found = {k: v for k, v in head.items() if k != "__metadata__"}
@@ -34,9 +29,19 @@ def header(data: bytes) -> dict:
         if begin != at or end - begin != ITEM[t["dtype"]] * int(np.prod(t["shape"], dtype=np.int64)):
             raise ValueError(f"{name} does not tile the data")
         at = end
-    if at != len(data) - 8 - n:
+    if at != size:
         raise ValueError("data left over")
-    return found
+    return found, head.get("__metadata__") or {}
+
+
+def header(data: bytes) -> dict:
+    """The tensors of a file by name; ValueError if they do not tile its data without gaps."""
+    if len(data) < 8:
+        raise ValueError("shorter than its header's length")
+    n = int.from_bytes(data[:8], "little")
+    if n > min(LARGEST_HEADER, len(data) - 8):
+        raise ValueError("header longer than the file")
+    return entries(data[8 : 8 + n], len(data) - 8 - n)[0]
 
 
 def is_valid(data: bytes) -> bool:
@@ -68,10 +73,15 @@ def tensor_rows(files: DataFrame, key: str, content: str) -> DataFrame:
 
 def to_file(tensors: dict[str, np.ndarray]) -> bytes:
     """Canonical bytes: names in order, float32, header padded to 8."""
-    at, head, parts = 0, {}, []
+    return packed_file(tensors)
+
+
+def packed_file(tensors: dict[str, np.ndarray], metadata: dict[str, str] | None = None) -> bytes:
+    """As ``to_file``, with metadata (texts by name) before the tensors."""
+    at, head, parts = 0, {"__metadata__": dict(sorted(metadata.items()))} if metadata else {}, []
     for name in sorted(tensors):
         raw = np.ascontiguousarray(tensors[name], "<f4").tobytes()
-        head[name] = {"dtype": "F32", "shape": list(tensors[name].shape), "data_offsets": [at, at + len(raw)]}
+        head[name] = {"dtype": "F32", "shape": list(np.shape(tensors[name])), "data_offsets": [at, at + len(raw)]}
         parts.append(raw)
         at += len(raw)
     text = json.dumps(head, separators=(",", ":")).encode()
