@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import similarity as M
 from lodestone.operators import validators as V
+from lodestone.operators.schema_check import contract_report
 from lodestone.plans.registry import query
 from lodestone.sources import files as S
 from lodestone.sources import tensor_files as TF
@@ -139,6 +140,36 @@ def upload_validators(spark, d):
     return load(spark, d, "events").select("event_id", F.array_join(V.upload_problems(doc), ",").alias("problems"))
 
 
+CONTRACT = {
+    "type": "object",
+    "required": ["client_id", "round", "hparams"],
+    "properties": {
+        "client_id": {"type": "string"},
+        "round": {"type": "integer", "minimum": 0},
+        "hparams": {"type": "object", "required": ["rank"], "properties": {"rank": {"type": "integer", "maximum": 16}}},
+        "target_modules": {"type": "array", "minItems": 1, "items": {"enum": ["q_proj", "v_proj"]}},
+    },
+}
+
+
+@query("""WITH e AS (SELECT event_id AS i, event_id % 4 = 0 AS note, event_id % 6 = 0 AS alpha, CASE WHEN event_id % 17 = 0 THEN ['document root must be an object, not array'] ELSE list_filter([
+        CASE WHEN event_id % 7 = 0 THEN 'schema[<root>]: lacks client_id' END, CASE WHEN event_id % 5 = 0 THEN 'schema[round]: below 0' END,
+        CASE WHEN event_id % 11 = 0 THEN 'schema[hparams/rank]: is string, not integer' WHEN event_id % 20 > 16 THEN 'schema[hparams/rank]: above 16' END,
+        CASE WHEN event_id % 13 = 0 THEN 'schema[target_modules]: holds fewer than 1' WHEN event_id % 3 = 0 THEN 'schema[target_modules/1]: is none of ["q_proj", "v_proj"]' END], lambda x: x IS NOT NULL) END AS errors FROM events)
+    SELECT i AS event_id, array_to_string(errors, '; ') AS errors, CASE WHEN len(errors) > 0 OR NOT (note OR alpha) THEN '' ELSE 're-serialisation drift on field(s): ' || CASE WHEN note AND alpha THEN 'alpha, note' WHEN alpha THEN 'alpha' ELSE 'note' END END AS warnings FROM e""")
+def contract_documents(spark, d):
+    """Documents against a JSON schema and a round trip: members that lack, have the wrong type or value, or get lost."""
+    i = F.col("event_id")
+    client = F.when(i % 7 != 0, F.concat(F.lit('"client_id": "'), F.col("user_id"), F.lit('", '))).otherwise("")
+    rank = F.when(i % 11 == 0, '"eight"').otherwise((i % 20).cast("string"))
+    modules = F.when(i % 13 == 0, "[]").when(i % 3 == 0, '["q_proj", "x"]').otherwise('["v_proj"]')
+    more = F.concat(F.when(i % 4 == 0, ', "note": "x"').otherwise(""), F.when(i % 6 == 0, ', "alpha": 1.5').otherwise(', "alpha": 2'))
+    document = F.concat(F.lit("{"), client, F.lit('"round": '), F.when(i % 5 == 0, -1).otherwise(i % 9), F.lit(', "hparams": {"rank": '), rank, F.lit('}, "target_modules": '), modules, more, F.lit("}"))
+    rows = load(spark, d, "events").select("event_id", F.when(i % 17 == 0, "[1, 2]").otherwise(document).alias("document"))
+    out = contract_report(rows, "document", CONTRACT, "client_id string, round int, hparams struct<rank:int>, target_modules array<string>, alpha int")
+    return out.select("event_id", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
+
+
 @query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN '/etc/x' WHEN 2 THEN 'a/../b' WHEN 3 THEN 'C:\\x' ELSE 'a/b' || page_id END AS path FROM pages)
     SELECT page_id, CASE WHEN path = '' THEN 'empty' WHEN contains(path, '..') THEN 'traversal' WHEN starts_with(path, '/') OR starts_with(path, 'C:') THEN 'absolute' END AS problem FROM p""")
 def request_paths(spark, d):
