@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +90,33 @@ def cluster_vectors(rows: DataFrame, key: str, vector: str, k: int, seed: int =
 
 
 def agreement(rows: DataFrame, a: str, b: str, k: int) -> DataFrame:
-    """One row: the greatest share of rows with equal labels (0 .. k - 1) over all renamings of ``a``; k <= 6.
+    """One row: the greatest share of rows with equal labels (0 .. k - 1) over all renamings of ``a``; k <= 8.
     Rows count once, in a table of k * k cells; the renamings are tried on that table."""
-    if not 1 <= k <= 6:
+    if not 1 <= k <= 8:
         raise ValueError(f"k = {k}")
     table = rows.groupBy(a, b).agg(F.count("*").alias("n"))
-    names = F.array(*(F.array(*map(F.lit, p)) for p in permutations(range(k))))
-    each = table.select(a, b, "n", F.posexplode(names).alias("p", "to"))
+    each = table.select(a, b, "n", F.posexplode(_renamings(k)).alias("p", "to"))
     hits = F.sum(F.when(F.element_at("to", (F.col(a) + 1).cast("int")) == F.col(b), F.col("n")).otherwise(0))
     return each.groupBy("p").agg((hits / F.sum("n")).alias("s"), F.sum("n").alias("n")).agg(F.max("s").alias("agreement"), F.max("n").alias("n_rows"))
+
+
+def _renamings(k: int) -> Column:
+    """All permutations of 0 .. k - 1: each shorter one with the next number put in at every place."""
+
+    def longer(shorter: Column, n: int) -> Column:
+        put = lambda p, i: F.concat(F.slice(p, F.lit(1), i), F.array(F.lit(n)), F.slice(p, i + 1, F.lit(n)))
+        return F.flatten(F.transform(shorter, lambda p: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: put(p, i))))
+
+    out = F.array(F.array(F.lit(0)))
+    for n in range(1, k):
+        out = longer(out, n)
+    return out
+
+
+def compare_partitions(rows: DataFrame, vector: str, dynamic: str, warm: str) -> DataFrame:
+    """One row comparing two labelings of the same vectors (A34): ``agreement`` (the share with the same id in both, no renaming),
+    ``ari``, and cohesion and separation of each (NaN if there is no such pair)."""
+    same = rows.agg(F.avg(F.col(dynamic).eqNullSafe(F.col(warm)).cast("double")).alias("agreement"))
+    of = lambda label, name: cohesion(rows, label, vector).select(F.col("cohesion").alias(f"{name}_cohesion"), F.col("separation").alias(f"{name}_separation"))
+    # one row each
+    return same.join(F.broadcast(adjusted_rand(rows, dynamic, warm))).join(F.broadcast(of(dynamic, "dynamic"))).join(F.broadcast(of(warm, "warm_start")))

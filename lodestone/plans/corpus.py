@@ -9,6 +9,7 @@ from lodestone.functions import text as X
 from lodestone.operators import balance as B
 from lodestone.operators import corpus as C
 from lodestone.operators import scoring as S
+from lodestone.operators.compose import checked_lookup
 from lodestone.plans.registry import query
 from lodestone.sources.tables import load
 
@@ -254,3 +255,10 @@ def anchor_tasks(spark, d):
     task = F.concat(F.lit("suite-"), F.col("doc_id") % 3, F.lit("/"), F.col("doc_id") % 40)
     t = load(spark, d, "documents").select(task.alias("task"), (F.col("n_chars") % 3 == 0).alias("passed"))
     return S.anchor_tasks(t, t.select("task").distinct(), "task", "passed")
+
+
+@query("""SELECT d.source, count(*) AS n_tasks, sum(quality)::BIGINT AS n_solved, round_even(avg(quality), 4) AS pass_at_1 FROM labels l JOIN documents d USING (doc_id) GROUP BY 1""")
+def checked_scores(spark, d):
+    """The same where every label must have its document: an unknown id would end the query with an error."""
+    met = checked_lookup(load(spark, d, "labels"), load(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return met.groupBy("source").agg(F.count("*").alias("n_tasks"), F.sum("quality").alias("n_solved"), F.bround(F.avg("quality"), 4).alias("pass_at_1"), F.count("doc_id").alias("_n")).drop("_n")

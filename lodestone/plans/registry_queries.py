@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import asof
+from lodestone.operators import compose as P
 from lodestone.operators import registry_rules as G
 from lodestone.operators import validators as V
 from lodestone.plans.registry import query
@@ -115,16 +116,85 @@ COMP = """comp AS (SELECT l_orderkey AS name, l_linenumber AS version, l_partkey
     t AS (SELECT name, version, part, cn, CASE WHEN cn = part AND cv = before THEN after ELSE cv END AS cv, ln, CASE WHEN ln = part AND lv = before THEN after ELSE lv END AS lv FROM act JOIN mv ON cn = part AND cv = before OR ln = part AND lv = before)
     SELECT t.name, t.version AS from_version, t.part, t.cn || '.' || t.cv || '+' || t.ln || '.' || t.lv AS target, (SELECT max(c.version) FROM comp c WHERE c.name = t.name AND c.cn = t.cn AND c.cv = t.cv AND c.ln = t.ln AND c.lv = t.lv) AS reuse_version FROM t""")
 def cascade_plan(spark, d):
+    out, _ = cascade_steps(spark, d)
+    return out.withColumn("target", provenance_text(F.col("target")))
+
+
+def provenance_text(t):
+    return F.concat(t["cluster_name"].cast("string"), F.lit("."), t["cluster_version"].cast("string"), F.lit("+"), t["client_name"].cast("string"), F.lit("."), t["client_version"].cast("string"))
+
+
+def cascade_steps(spark, d):
+    """(steps, stored composites) when every even part moves from its first to its second version."""
     prov = F.struct((F.col("l_partkey") % 50).alias("cluster_name"), (F.col("l_linenumber") % 3).cast("int").alias("cluster_version"), (F.col("l_suppkey") % 50 + 100).alias("client_name"), (F.col("l_quantity").cast("int") % 4).alias("client_version"))
     first = F.struct("l_partkey", "l_suppkey", "l_quantity")  # the table repeats some keys
     lines = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(first).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
     comp = lines.select(F.col("l_orderkey").alias("name"), F.col("l_linenumber").alias("version"), prov.alias("prov"))
     active = comp.groupBy("name").agg(F.max_by(F.struct("version", "prov"), "version").alias("a")).select("name", "a.*")
     moves = spark.range(0, 150).where("id % 2 = 0").select(F.col("id").alias("part"), F.lit(1).alias("before"), F.lit(2).alias("after"))
-    out = G.cascade(active, comp, moves)
-    t = F.col("target")
-    text = F.concat(t["cluster_name"].cast("string"), F.lit("."), t["cluster_version"].cast("string"), F.lit("+"), t["client_name"].cast("string"), F.lit("."), t["client_version"].cast("string"))
-    return out.withColumn("target", text)
+    return G.cascade(active, comp, moves), comp
+
+
+@query(f"""WITH {COMP}, act AS (SELECT * FROM comp QUALIFY row_number() OVER (PARTITION BY name ORDER BY version DESC) = 1),
+    mv AS (SELECT i AS part, 1 AS before, 2 AS after FROM range(0, 150) t(i) WHERE i % 2 = 0),
+    t AS (SELECT name, version, part, cn, CASE WHEN cn = part AND cv = before THEN after ELSE cv END AS cv, ln, CASE WHEN ln = part AND lv = before THEN after ELSE lv END AS lv FROM act JOIN mv ON cn = part AND cv = before OR ln = part AND lv = before),
+    r AS (SELECT t.*, (SELECT max(c.version) FROM comp c WHERE c.name = t.name AND c.cn = t.cn AND c.cv = t.cv AND c.ln = t.ln AND c.lv = t.lv) AS reuse, (SELECT max(c.version) FROM comp c WHERE c.name = t.name) AS last FROM t),
+    n AS (SELECT name, cn, cv, ln, lv, row_number() OVER (PARTITION BY name ORDER BY cn, cv, ln, lv) AS k FROM (SELECT DISTINCT name, cn, cv, ln, lv FROM r WHERE reuse IS NULL)),
+    z AS (SELECT r.name, r.version AS from_version, coalesce(reuse, last + k) AS to_version, reuse IS NULL AS rebuilt, r.cn || '.' || r.cv || '+' || r.ln || '.' || r.lv AS target FROM r LEFT JOIN n ON r.name = n.name AND r.cn = n.cn AND r.cv = n.cv AND r.ln = n.ln AND r.lv = n.lv)
+    SELECT *, 'promote' AS action, 'cascade v' || from_version || ' -> v' || to_version || ': part moved' AS reason FROM z""")
+def cascade_apply(spark, d):
+    """The log of a cascade: every composite that moves, to a version that is there or to a new one."""
+    steps, stored = cascade_steps(spark, d)
+    return P.apply_cascade(steps, stored, "promote", "part moved").withColumn("target", provenance_text(F.col("target")))
+
+
+@query(f"""WITH {VER}, d AS (SELECT name, version - 1 AS version, o_orderkey AS seq, CASE WHEN st = 'F' THEN 'promote' ELSE 'rollback' END AS action FROM ver WHERE version > 1 AND st <> 'P'),
+    a AS (SELECT name, max(version) FILTER (st = 'F') AS active FROM ver GROUP BY 1), g AS (SELECT name, version, string_agg(action || ':' || seq, ',' ORDER BY seq) AS made FROM d GROUP BY 1, 2)
+    SELECT ver.name, ver.version, coalesce(ver.version = active, false) AS is_active, coalesce(made, '') AS decisions FROM ver LEFT JOIN a ON ver.name = a.name LEFT JOIN g ON ver.name = g.name AND ver.version = g.version""")
+def version_history(spark, d):
+    """Every version with the decisions about it, made when the next one came."""
+    v = versions(spark, d)
+    made = v.where("version > 1 AND st <> 'P'").select("name", (F.col("version") - 1).alias("version"), F.col("o_orderkey").alias("seq"), F.when(F.col("st") == "F", "promote").otherwise("rollback").alias("action"))
+    active = v.groupBy("name").agg(F.max(F.when(F.col("st") == "F", F.col("version"))).alias("active"))
+    out = P.version_history(v.select("name", "version"), made, active)
+    return out.withColumn("decisions", F.array_join(F.transform("decisions", lambda x: F.concat(x["action"], F.lit(":"), x["seq"])), ","))
+
+
+@query(f"""WITH {VER}, c AS (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY version) AS previous_version, CASE WHEN o_orderkey % 13 <> 0 THEN round_even(price / 1e6, 4) - 0.1 END AS delta, 0.05::DOUBLE AS band,
+        CASE WHEN o_orderkey % 11 <> 0 THEN 0.5::DOUBLE END AS base, round_even(0.44 + (o_orderkey % 10) / 100, 2) AS cand FROM ver),
+    k AS (SELECT *, coalesce(delta > band AND base - cand <= 0.02, false) AS good, CASE WHEN delta IS NULL THEN 'no baseline_in_project supplied — cannot confirm improvement' WHEN delta > band THEN printf('edit_similarity +%.4f clears noise band %.4f', delta, band) ELSE printf('edit_similarity delta %.4f does not clear noise band %.4f', delta, band) END
+        || '; ' || CASE WHEN base IS NULL THEN 'HumanEval guard metrics missing on candidate or baseline' WHEN base - cand <= 0.02 THEN printf('HumanEval pass@1 drop %.4f within 0.02 tolerance', base - cand) ELSE printf('HumanEval pass@1 dropped %.4f, exceeds 0.02 tolerance', base - cand) END AS why FROM c)
+    SELECT o_orderkey, CASE WHEN good THEN 'promote' WHEN previous_version IS NOT NULL THEN 'rollback' END AS action, CASE WHEN good THEN version ELSE previous_version END AS active_version_after,
+           CASE WHEN good THEN 'promoted: ' || why WHEN previous_version IS NOT NULL THEN 'rolled back: ' || why ELSE 'rollback indicated (' || why || ') but there is no previous version to roll back to' END AS reason FROM k""")
+def promotion_decisions(spark, d):
+    """The promotion rule for every version as a candidate; first versions that fail have nothing to roll back to."""
+    v = G.previous_versions(versions(spark, d), "name", "version")
+    k = F.col("o_orderkey")
+    c = v.select("o_orderkey", "version", "previous_version", F.when(k % 13 != 0, F.bround(F.col("price") / 1e6, 4) - 0.1).alias("delta"), F.lit(0.05).alias("band"), F.when(k % 11 != 0, 0.5).alias("base_guard"), F.bround(0.44 + (k % 10) / 100, 2).alias("cand_guard"))
+    return P.decide(c, refuse=False).select("o_orderkey", "action", "active_version_after", "reason")
+
+
+@query("""WITH r AS (SELECT o_custkey % 40 AS experiment, o_orderkey AS run, CASE o_orderstatus WHEN 'P' THEN 'running' ELSE CASE WHEN o_custkey % 40 < 20 OR o_orderkey % 50 > 0 THEN 'completed' ELSE 'failed' END END AS status FROM orders),
+    e AS (SELECT experiment, count(*) AS n_runs, count(*) FILTER (status <> 'completed') AS n_unfinished, min(run) FILTER (status <> 'completed') AS first_unfinished FROM r GROUP BY 1) SELECT *, n_unfinished = 0 AS can_freeze FROM e""")
+def sweep_freeze(spark, d):
+    """Which experiments may be frozen: those without unfinished runs."""
+    return P.freezable(sweep_runs(spark, d))
+
+
+def sweep_runs(spark, d):
+    o = F.col("o_orderstatus")
+    done = (F.col("o_custkey") % 40 < 20) | (F.col("o_orderkey") % 50 > 0)
+    return load(spark, d, "orders").select((F.col("o_custkey") % 40).alias("experiment"), F.col("o_orderkey").alias("run"), F.when(o == "P", "running").when(done, "completed").otherwise("failed").alias("status"))
+
+
+@query("""WITH r AS (SELECT o_custkey % 40 AS experiment, o_orderkey AS run, CASE o_orderstatus WHEN 'P' THEN 'running' ELSE CASE WHEN o_custkey % 40 < 20 OR o_orderkey % 50 > 0 THEN 'completed' ELSE 'failed' END END AS status FROM orders),
+    u AS (SELECT o_custkey % 40 AS experiment, o_orderkey + o_orderkey % 2 AS run FROM orders)
+    SELECT u.experiment, u.run, CASE WHEN u.experiment % 3 = 0 THEN 'frozen' WHEN EXISTS (SELECT 1 FROM r WHERE r.experiment = u.experiment AND r.run = u.run AND status = 'completed') THEN 'completed' ELSE 'written' END AS verdict FROM u""")
+def sweep_updates(spark, d):
+    """Updates of runs: refused where the experiment is frozen or the run completed."""
+    runs = sweep_runs(spark, d)
+    updates = load(spark, d, "orders").select((F.col("o_custkey") % 40).alias("experiment"), (F.col("o_orderkey") + F.col("o_orderkey") % 2).alias("run"))
+    return P.update_verdicts(runs, updates, runs.where("experiment % 3 = 0").select("experiment"))
 
 
 @query("""SELECT r.r_name AS region, n.s AS seed FROM region r CROSS JOIN (SELECT DISTINCT n_nationkey % 7 AS s FROM nation) n WHERE NOT EXISTS (SELECT 1 FROM nation x JOIN region y ON x.n_regionkey = y.r_regionkey WHERE y.r_name = r.r_name AND x.n_nationkey % 7 = n.s)""")

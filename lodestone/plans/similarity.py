@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lodestone.operators import compose as C
 from lodestone.operators import kernels as K
 from lodestone.operators import lowrank as L
 from lodestone.operators import similarity as M
@@ -212,3 +213,38 @@ def partition_agreement(spark, d):
     """The share of rows on which two partitions agree after the best renaming of one."""
     rows = load(spark, d, "embeddings").select((F.col("label") % 3).alias("a"), (F.col("vec_id") % 3).alias("b"))
     return M.agreement(rows, "a", "b", 3).withColumn("agreement", F.bround("agreement", 9))
+
+
+@query(f"""WITH {VEC}, l AS (SELECT *, label % 4 AS a, CASE WHEN vec_id % 5 = 0 THEN vec_id % 4 ELSE label % 4 END AS b FROM v), t AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY 1, 2),
+    s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS ij, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM t GROUP BY a)) AS sa, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM t GROUP BY b)) AS sb, (SELECT sum(n) FROM t) AS n),
+    p AS (SELECT x.a = y.a AS same_a, x.b = y.b AS same_b, list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) AS c FROM l x JOIN l y ON x.vec_id <> y.vec_id)
+    SELECT (SELECT round_even(avg((a = b)::INT), 9) FROM l) AS agreement, (SELECT round_even((ij - sa * sb / (n * (n - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2)), 9) FROM s) AS ari,
+           round_even(avg(c) FILTER (same_a), 6) AS dynamic_cohesion, round_even(avg(c) FILTER (NOT same_a), 6) AS dynamic_separation, round_even(avg(c) FILTER (same_b), 6) AS warm_start_cohesion, round_even(avg(c) FILTER (NOT same_b), 6) AS warm_start_separation FROM p""")
+def warm_start_comparison(spark, d):
+    """A clustering against the assignment it started from: the same ids, the adjusted Rand index, and how well each groups the vectors."""
+    a = F.col("label") % 4
+    rows = load(spark, d, "embeddings").select("embedding", a.alias("a"), F.when(F.col("vec_id") % 5 == 0, F.col("vec_id") % 4).otherwise(a).alias("b"))
+    out = M.compare_partitions(rows, "embedding", "a", "b")
+    names = ("dynamic_cohesion", "dynamic_separation", "warm_start_cohesion", "warm_start_separation")
+    return out.select(F.bround("agreement", 9).alias("agreement"), F.bround("ari", 9).alias("ari"), *(F.bround(c, 6).alias(c) for c in names))
+
+
+@query(f"""WITH {VEC}, p AS (SELECT vec_id // 10 AS key, vec_id % 2 AS part, 'm' || (vec_id % 10) // 2 AS module, CASE WHEN vec_id % 2 = 0 THEN CASE WHEN (vec_id // 10) % 5 = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END ELSE 1.0::DOUBLE END AS c, CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 2 END AS r, e FROM v WHERE vec_id % 7 <> 0),
+    n AS (SELECT key, count(*) FILTER (c <> 0) AS live, min(part) AS first FROM p GROUP BY 1),
+    k AS (SELECT p.*, coalesce(sum(r) OVER (PARTITION BY key, module ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(r) OVER (PARTITION BY key, module) AS rank FROM p JOIN n USING (key) WHERE c <> 0 OR (live = 0 AND part = first)),
+    a AS (SELECT key, module, rank, sum((before * 8 + i) * e[i]) AS x FROM k, (SELECT unnest(range(1, 33)) AS i) WHERE i <= r * 8 GROUP BY 1, 2, 3),
+    b AS (SELECT key, module, sum((((i - 1) // r) * rank + before + (i - 1) % r + 1) * e[32 + i] * c) AS x FROM k, (SELECT unnest(range(1, 33)) AS i) WHERE i <= r * 8 GROUP BY 1, 2)
+    SELECT key, module, CAST(rank AS INT) AS rank, round_even(a.x, 4) AS a_sum, round_even(b.x, 4) AS b_sum FROM a JOIN b USING (key, module)""")
+def compose_modules(spark, d):
+    """A cluster's and a client's adapters put together, module by module; some modules have one part alone, and some
+    clusters count nothing. Sums are weighted by place, so order shows."""
+    i, e = F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double"))
+    key = F.floor(i / 10)
+    even = i % 2 == 0
+    rank = F.when(even, 4).otherwise(2)
+    parts = load(spark, d, "embeddings").where("vec_id % 7 <> 0").select(
+        key.alias("key"), (i % 2).alias("part"), F.concat(F.lit("m"), F.floor((i % 10) / 2)).alias("module"), F.when(~even, 1.0).when(key % 5 == 0, 0.0).otherwise(0.5).alias("coefficient"),
+        rank.alias("rank"), F.slice(e, F.lit(1), rank * 8).alias("a"), F.slice(e, F.lit(33), rank * 8).alias("b"),
+    )
+    placed = lambda c: F.bround(F.aggregate(F.transform(c, lambda x, at: x * (at + 1)), F.lit(0.0), lambda s, x: s + x), 4)
+    return C.compose(parts, ["key"]).select("key", "module", "rank", placed("a").alias("a_sum"), placed("b").alias("b_sum"))

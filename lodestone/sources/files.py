@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import warnings
 from dataclasses import MISSING, fields, is_dataclass
 from typing import get_type_hints
 
@@ -53,13 +54,27 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def discover(spark: SparkSession, root: str, name: str = "*.py", subpaths: list[str] | None = None) -> DataFrame:
-    """(path, length, content) of the files below a folder whose name fits; path is relative to it.
+def discover(spark: SparkSession, root: str, name: str | list[str] = "*.py", subpaths: list[str] | None = None) -> DataFrame:
+    """(path, length, content) of the files below a folder whose name fits one of the globs; path is relative to it. A file
+    that several globs or overlapping ``subpaths`` find counts once.
 
-    ``subpaths`` reads those folders only; one that isn't there is an error.
+    ``subpaths`` reads those folders only; one that isn't there is skipped with a warning, and if none is there the whole
+    folder is read.
     """
     root = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load([f"{root}/{s}" for s in subpaths] if subpaths else root)
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = []
+    for s in subpaths or []:
+        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{s}")
+        if fs.exists(at) and fs.getFileStatus(at).isDirectory():
+            there.append(s.strip("/"))
+        else:
+            warnings.warn(f"{root}/{s} does not exist and is skipped", stacklevel=2)
+    outer = sorted({s for s in there if not any(s != o and s.startswith(f"{o}/") for o in there)})  # folders inside others are read with those
+    globs = [name] if isinstance(name, str) else name
+    glob = globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load([f"{root}/{s}" for s in outer] if outer else root)
     clean = root.split(":", 1)[-1]
     relative = F.regexp_replace("path", rf"^.*?\Q{clean}\E/", "")
     return found.select(relative.alias("path"), "length", "content")
