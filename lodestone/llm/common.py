@@ -43,6 +43,20 @@ def share_of(key, wanted: int, total: int):
     return F.shiftrightunsigned(key.cast("bigint"), 2) < F.lit((wanted << 62) // total)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def no_clash(keep, results: tuple[str, ...]) -> None:
+    """An error if a column to keep is named like a result."""
+    if clash := sorted({c.lower() for c in keep} & set(results)):
+        raise ValueError(f"columns {clash} can't be kept beside results of that name; rename them first")
+
+
 def held_out(doc_id: str = "doc_id"):
     """The contract's hold-out: crc32 of the id as text leaves 2 modulo 4. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

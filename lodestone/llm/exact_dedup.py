@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialised, small_side
+from lodestone.llm.common import free_name, materialised, small_side
 
 #: Java pattern of a run of ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -104,9 +104,10 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     once beyond.
     """
     found = materialised(decisions(docs, text, doc_id), "decisions")
-    gone = small_side(found.where("NOT least").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha")))
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    stay = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
+    sha, gone_id, gone_sha = (free_name(docs, n) for n in ("_sha", "_gone_id", "_gone_sha"))
+    gone = small_side(found.where("NOT least").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)))
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    stay = marked.join(gone, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha)), "left_anti")
     if not found.where("least AND copies > 1").isEmpty():  # one id twice with one text
-        stay = stay.dropDuplicates([doc_id, "__sha"])
-    return stay.drop("__sha")
+        stay = stay.dropDuplicates([doc_id, sha])
+    return stay.drop(sha)

@@ -13,6 +13,7 @@ characters: marks of a whole long text would fill the slots and make all languag
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,13 @@ LANDMARKS, LANDMARKS_EACH = 128, 4
 PER_LANGUAGE = 600
 #: Characters of a piece at most, pieces of a long training text, and rows of marks that are held at a time.
 PIECE, TRAIN_PIECES, BLOCK = 2048, 4, 256
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (category L); numerals such as superscripts, fractions and Roman ones aren't."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in WORDLIKE.finditer(text))
 
 
 def presence(text: str | None, row: np.ndarray) -> None:
@@ -65,7 +71,7 @@ def pieces(text: str | None) -> list[str]:
 def training_pieces(text: str | None) -> list[str]:
     """Up to TRAIN_PIECES pieces with a letter, spread over the text; without a letter the first piece."""
     every = pieces(text)
-    some = [p for p in every if LETTER.search(p)] or every[:1]
+    some = [p for p in every if has_letter(p)] or every[:1]
     return [some[i * len(some) // min(TRAIN_PIECES, len(some))] for i in range(min(TRAIN_PIECES, len(some)))]
 
 
@@ -83,7 +89,7 @@ def outputs(texts: list[str | None], weights: np.ndarray, bias: np.ndarray) -> n
 
     for i, text in enumerate(texts):
         for p in pieces(text):
-            if LETTER.search(p):
+            if has_letter(p):
                 block.append(p), owner.append(i), size.append(len(p))
                 if len(block) == BLOCK:
                     score()
@@ -175,7 +181,7 @@ def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> Data
     def run(batches):
         for b in batches:
             texts, model = b.column("_text").to_pylist(), shared.value
-            lettered = [bool(t and model and LETTER.search(t)) for t in texts]
+            lettered = [bool(t and model and has_letter(t)) for t in texts]
             if model and texts:
                 weights, bias, names = model
                 r = outputs(texts, weights, bias)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialised
+from lodestone.llm.common import materialised, no_clash
 from lodestone.llm.token_rollup import Tokenizer, count_tokens
 
 #: Longest sequence, number of buckets and tokens of a batch, padding included.
@@ -73,6 +73,7 @@ def pack(docs: DataFrame, length: Tokenizer | Column, keep: tuple[str, ...] = ("
     offsets, so no bucket is sorted in one task; rows are dealt to shards by a number of their own,
     so rows with one id, or with none, don't gather.
     """
+    no_clash(keep, ("piece", "start", "length", "bucket", "batch", "slot"))
     if isinstance(length, Tokenizer):
         sized = count_tokens(docs, length, list(keep)).select(*keep, F.col("n_tokens").alias("_n"))
     else:

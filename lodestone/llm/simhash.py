@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, connected_components, materialised, small_side
+from lodestone.llm.common import bounded_batches, connected_components, free_name, materialised, small_side
 
 SEED = 42
 LOW_BITS = 0x5555555555555555
@@ -168,11 +168,12 @@ def representatives(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -
     links = materialised(found.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "text_key").alias("who"), "root"), "links")
     groups = links.groupBy("root").agg(F.min("who").alias("rep"), F.count("*").alias("n")).where("n > 1").select("root", "rep")
     members = links.join(groups, "root")
-    gone = small_side(materialised(members.where("who <> rep").select(F.col("who.id").alias("_id"), F.col("who.text_key").alias("_key")).distinct(), "gone"))
-    key = F.xxhash64(docs[text])
-    stay = docs.join(gone, docs[doc_id].eqNullSafe(gone._id) & (key == gone._key), "left_anti")
+    gone_id, gone_key = free_name(docs, "_gone_id"), free_name(docs, "_gone_key")
+    gone = small_side(materialised(members.where("who <> rep").select(F.col("who.id").alias(gone_id), F.col("who.text_key").alias(gone_key)).distinct(), "gone"))
+    stay = docs.join(gone, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_key)), "left_anti")
     if not members.where("who = rep").groupBy("root").count().where("count > 1").isEmpty():  # one id twice with one text
-        stay = stay.withColumn("__key", F.xxhash64(text)).dropDuplicates([doc_id, "__key"]).drop("__key")
+        name = free_name(docs, "_key")
+        stay = stay.withColumn(name, F.xxhash64(text)).dropDuplicates([doc_id, name]).drop(name)
     return stay
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, remove
+from lodestone.llm.common import bounded_batches, no_clash, remove
 
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -87,6 +87,7 @@ def count_tokens(rows: DataFrame, tokenizer: Tokenizer, keep: list[str], text: s
     """
     bounded_batches(rows.sparkSession)
     shared, pattern = rows.sparkSession.sparkContext.broadcast(tokenizer.read()), tokenizer.pattern
+    no_clash(keep, ("n_chars", "n_tokens"))
     kept = rows.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", n_chars bigint, n_tokens bigint"
 
