@@ -136,3 +136,13 @@ def matches_glob(path: Column, globs: list[str]) -> Column:
     for g in globs:
         hit = hit | path.rlike(glob_pattern(g))
     return hit
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share with one decimal; ``N/A`` of nothing or where nothing counts."""
+    return F.when((part == 0) | (whole == 0), "N/A").otherwise(F.format_string("%.1f%%", 100.0 * part / F.nullif(whole, F.lit(0))))
+
+
+def privacy_label(epsilon: Column, delta: str = "1e-05") -> Column:
+    """A null epsilon means that privacy is off."""
+    return F.when(epsilon.isNull(), "DP off").otherwise(F.format_string(f"epsilon=%.2f delta={delta}", epsilon))

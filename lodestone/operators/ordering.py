@@ -103,10 +103,12 @@ def streamed_digest(rows: DataFrame, by: list[str], order: list[str], piece: Col
     fields = [f.name for f in sorted_.schema.fields if f.name != "piece"]
 
     def run(batches):
-        now, h, n, some = None, None, 0, False
+        now, h, n, some, done = None, None, 0, False, []
 
         def out(kinds):
-            return pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(now, kinds, strict=True)), pa.array([n], pa.int64()), pa.array([h.hexdigest()])], names=[*fields, "n", "digest"])
+            columns = list(zip(*done, strict=True))
+            done.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, [*kinds, pa.int64(), pa.string()], strict=True))], names=[*fields, "n", "digest"])
 
         for b in batches:
             kinds = [b.schema.field(c).type for c in fields]
@@ -119,7 +121,9 @@ def streamed_digest(rows: DataFrame, by: list[str], order: list[str], piece: Col
                 stop = len(pieces) if heads[-1] == key else next(i for i in range(start, len(pieces)) if heads[i] != key)
                 if key != now:
                     if h is not None:
-                        yield out(kinds)
+                        done.append((*now, n, h.hexdigest()))
+                        if len(done) == 4096:
+                            yield out(kinds)
                     now, h, n, some = key, hashlib.sha256(), 0, False
                 live = [p for p in pieces[start:stop] if p is not None]
                 if live:
@@ -128,7 +132,27 @@ def streamed_digest(rows: DataFrame, by: list[str], order: list[str], piece: Col
                 n += stop - start
                 start = stop
         if h is not None:
+            done.append((*now, n, h.hexdigest()))
             yield out(kinds)
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sorted_.schema.fields if f.name != "piece"), "n bigint", "digest string"])
     return sorted_.mapInArrow(run, schema).withColumnsRenamed(dict(zip(keys, by, strict=True)))
+
+
+#: Rows of a group whose pieces are gathered.
+GATHER = 10_000
+
+
+def text_digest(rows: DataFrame, by: list[str], order: str, between: str, gather: int = GATHER) -> DataFrame:
+    """``by``, ``n``, ``first`` and ``digest``: SHA-256 of a group's texts in their order, joined by ``between``. Groups of up to
+    ``gather`` rows are sorted as arrays; larger ones are streamed in order, so none is gathered."""
+    names = {c: f"_g{i}" for i, c in enumerate(by)}
+    sizes = rows.groupBy(*(F.col(c).alias(k) for c, k in names.items())).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    met = rows.join(sizes, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()])
+    small = met.where(F.col("_n") <= gather).groupBy(*by).agg(F.max("_n").alias("n"), F.min("_first").alias("first"), F.sha2(F.array_join(F.array_sort(F.collect_list(order)), between).cast("binary"), 256).alias("digest"))
+    if sizes.where(F.col("_n") > gather).isEmpty():
+        return small
+    large = streamed_digest(met.where(F.col("_n") > gather), by, [order], F.col(order).cast("binary"), between.encode())
+    firsts = sizes.select(*(F.col(k) for k in names.values()), F.col("_first").alias("first"))
+    large = large.join(firsts, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]).select(*by, "n", "first", "digest")
+    return small.unionByName(large)

@@ -14,6 +14,14 @@ def last_write(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+def keyed_upserts(rows: DataFrame, by: str, key: str, seq: str) -> DataFrame:
+    """The last row of every (``by``, ``key``) with ``position``, the place (from 1) at which the key first came (W16). A
+    window holds the keys of one ``by``, not their rows."""
+    rest = [c for c in rows.columns if c not in (by, key)]
+    last = rows.groupBy(by, key).agg(F.min(seq).alias("_first"), F.max_by(F.struct(*rest), seq).alias("_r"))
+    return last.select(by, key, "_r.*", F.row_number().over(Window.partitionBy(by).orderBy("_first", key)).alias("position"))
+
+
 def arrival_offsets(uploads: DataFrame, by: list[str], ts: str) -> DataFrame:
     """Seconds since the first arrival of the round."""
     first = uploads.groupBy(*by).agg(F.min(ts).alias("_first"))

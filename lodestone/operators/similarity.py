@@ -113,6 +113,18 @@ def _renamings(k: int) -> Column:
     return out
 
 
+def align_labels(rows: DataFrame, label: str, reference: str, k: int) -> DataFrame:
+    """``rows`` with ``aligned``: ``label`` (0 .. k - 1, k <= 8) under the renaming that agrees with ``reference`` on most rows, the
+    first in order on ties (A35). Renamings are tried on the table of k * k counts, and one row, the best, is joined."""
+    if not 1 <= k <= 8:
+        raise ValueError(f"k = {k}")
+    table = rows.groupBy(F.col(label).alias("_a"), F.col(reference).alias("_b")).agg(F.count("*").alias("_n"))
+    each = table.select("_a", "_b", "_n", F.explode(_renamings(k)).alias("_to"))
+    hits = each.groupBy("_to").agg(F.sum(F.when(F.get("_to", F.col("_a").cast("int")) == F.col("_b"), F.col("_n")).otherwise(0)).alias("_hits"))
+    best = hits.agg(F.min_by("_to", F.struct((-F.col("_hits")).alias("h"), "_to")).alias("_best"))
+    return rows.join(F.broadcast(best)).withColumn("aligned", F.get("_best", F.col(label).cast("int"))).drop("_best")
+
+
 def compare_partitions(rows: DataFrame, vector: str, dynamic: str, warm: str) -> DataFrame:
     """One row comparing two labelings of the same vectors (A34): ``agreement`` (the share with the same id in both, no renaming),
     ``ari``, and cohesion and separation of each (NaN if there is no such pair)."""

@@ -112,3 +112,17 @@ def union_of(sources: dict[str, DataFrame]) -> DataFrame:
         tagged = tagged.unionByName(empty.where("e is not null").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in tagged.schema)))
         out = tagged if out is None else out.unionByName(tagged)
     return out
+
+
+def sweep_problems(size: Column, unexplained: Column, cost: Column, cap: float, override: float, budget: float) -> Column:
+    """A sweep point over its compute cap, over the cap's override without a reason, and over the budget (P20)."""
+    return problems(F.when(size > cap, "cap"), F.when((size > override) & unexplained, "override_without_reason"), F.when(cost > budget, "budget"))
+
+
+def group_compatibility(rows: DataFrame, by: str, kind: str, base: str, alpha: str, wanted: list[str]) -> DataFrame:
+    """A row a group (P10, P11, U06): ``n``, ``problems`` (``mixed_kind``, ``mixed_base``, ``alpha``: not all close to each other) and
+    ``subset``, whether all its kinds are among ``wanted``."""
+    close = F.max(alpha) - F.min(alpha) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(F.max(alpha))
+    g = rows.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct(kind).alias("_kinds"), F.countDistinct(base).alias("_bases"), close.alias("_close"), F.count_if(~F.col(kind).isin(*wanted)).alias("_others"))
+    found = problems(F.when(F.col("_kinds") > 1, "mixed_kind"), F.when(F.col("_bases") > 1, "mixed_base"), F.when(~F.col("_close"), "alpha"))
+    return g.select(by, "n", found.alias("problems"), (F.col("_others") == 0).alias("subset"))

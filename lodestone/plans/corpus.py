@@ -205,12 +205,9 @@ def basis_breakdown(spark, d):
 def masked_summary(spark, d):
     per = load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "es").alias("es"))
     whole = per.agg(F.sum("n").alias("all"))
-    share = F.when(F.col("es") == 0, "N/A").otherwise(F.format_string("%.1f%%", 100.0 * F.col("es") / F.col("n")))
     epsilon = F.when(F.col("source") != "src0", F.col("n") / 7.0)
-    privacy = F.when(epsilon.isNull(), "DP off").otherwise(F.format_string("epsilon=%.2f delta=1e-05", epsilon))
-    return per.join(F.broadcast(whole)).select(
-        "source", F.lit(None).cast("string").alias("content"), F.format_string("%d files, %.1f%% of %d", "n", 100.0 * F.col("n") / F.col("all"), "all").alias("headline"), share.alias("es_share"), privacy.alias("privacy")
-    )
+    headline = F.format_string("%d files, %s of %d", "n", X.percent(F.col("n"), F.col("all")), "all")
+    return per.join(F.broadcast(whole)).select("source", F.lit(None).cast("string").alias("content"), headline.alias("headline"), X.percent(F.col("es"), F.col("n")).alias("es_share"), X.privacy_label(epsilon).alias("privacy"))
 
 
 @query("""WITH j AS (SELECT l.doc_id, d.source, l.quality FROM labels l JOIN documents d USING (doc_id)),

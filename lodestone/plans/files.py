@@ -12,6 +12,7 @@ from lodestone.operators import validators as V
 from lodestone.operators.schema_check import contract_report
 from lodestone.plans.registry import query
 from lodestone.sources import files as S
+from lodestone.sources import packs as PK
 from lodestone.sources import tensor_files as TF
 from lodestone.sources import tensors as T
 from lodestone.sources import versions as R
@@ -70,6 +71,16 @@ def pack_verify(spark, d):
     return R.verify_pack(manifest, docs.join(labels.select("doc_id", "toxic"), "doc_id").select(name, edited.alias("content")))
 
 
+@query("""SELECT source || '/' || doc_id || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS num_bytes, sha256(text) AS sha256, 'whole' AS status FROM documents""")
+def pack_archive(spark, d):
+    """All documents packed into archives, read back from them and held against the manifest."""
+    root = scratch_path(spark, "pack")
+    files = load(spark, d, "documents").select(F.concat_ws("/", "source", F.concat("doc_id", F.lit(".txt"))).alias("path"), F.col("text").cast("binary").alias("content"))
+    PK.write_pack(files, root, archives=4)
+    back = R.pack_manifest(PK.read_pack(spark, root))
+    return back.join(PK.verified_pack(spark, root), "path", "left").withColumn("status", F.coalesce("status", F.lit("whole")))
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
     SELECT vec_id AS file, CAST(vec_id % 12 AS INT) AS layer, 'q_proj' AS module, part, 32 AS n, round_even(list_sum(CASE WHEN part = 'A' THEN e[1:32] ELSE e[33:64] END), 4) AS total
     FROM v, (SELECT unnest(['A', 'B']) AS part) p""")

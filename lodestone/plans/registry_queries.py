@@ -9,6 +9,7 @@ from lodestone.operators import asof
 from lodestone.operators import compose as P
 from lodestone.operators import registry_rules as G
 from lodestone.operators import validators as V
+from lodestone.operators.ordering import text_digest
 from lodestone.plans.registry import query
 from lodestone.sources.tables import load
 
@@ -87,8 +88,8 @@ def edges(spark, d):
 
 @query(f"""WITH {EDGE} SELECT target, kind, count(*) AS n_parents, min(source) AS first_parent, sha256(string_agg(source, ',' ORDER BY source)) AS parents_sha256 FROM e GROUP BY 1, 2""")
 def lineage_graph(spark, d):
-    parents = F.array_sort(F.collect_list("source"))
-    return edges(spark, d).groupBy("target", "kind").agg(F.count("*").alias("n_parents"), F.min("source").alias("first_parent"), F.sha2(F.array_join(parents, ",").cast("binary"), 256).alias("parents_sha256"))
+    """Parents of every node: how many, the first, and the digest of all in order; a node may have any number of them."""
+    return text_digest(edges(spark, d), ["target", "kind"], "source", ",").withColumnsRenamed({"n": "n_parents", "first": "first_parent", "digest": "parents_sha256"})
 
 
 @query("""WITH n AS (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, CASE WHEN l_quantity > 25 THEN l_quantity END AS qty FROM lineitem)
@@ -102,10 +103,14 @@ def lineage_nodes(spark, d):
 
 @query(f"""WITH {EDGE} SELECT c.target AS node, count(DISTINCT p.source) AS n_grandparents, count(*) AS n_paths FROM e p JOIN e c ON p.target = c.source WHERE p.kind = 'trained_on' GROUP BY 1""")
 def graph_parents(spark, d):
+    """Paths are counted by multiplication: a part's number of parents is added up over its children. Only the distinct
+    grandparents need the pairs, which combine before they are shuffled."""
     e = edges(spark, d)
     up = e.where("kind = 'trained_on'").select(F.col("source").alias("grandparent"), F.col("target").alias("mid"))
     down = e.where("kind = 'aggregated_into'").select(F.col("source").alias("mid"), F.col("target").alias("node"))
-    return up.join(down, "mid").groupBy("node").agg(F.countDistinct("grandparent").alias("n_grandparents"), F.count("*").alias("n_paths"))
+    paths = down.join(up.groupBy("mid").agg(F.count("*").alias("n")), "mid").groupBy("node").agg(F.sum("n").alias("n_paths"))
+    old = up.join(down, "mid").select("node", "grandparent").distinct().groupBy("node").agg(F.count("*").alias("n_grandparents"))
+    return old.join(paths, "node").select("node", "n_grandparents", "n_paths")
 
 
 COMP = """comp AS (SELECT l_orderkey AS name, l_linenumber AS version, l_partkey % 50 AS cn, CAST(l_linenumber % 3 AS INT) AS cv, l_suppkey % 50 + 100 AS ln, CAST(l_quantity::INT % 4 AS INT) AS lv FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1)"""
@@ -205,8 +210,8 @@ def sweep_cross_antijoin(spark, d):
 
 @query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 40 THEN 'cap' END, CASE WHEN p_size > 45 AND p_brand LIKE '%1%' THEN 'override_without_reason' END, CASE WHEN p_retailprice * p_size > 50000 THEN 'budget' END], lambda x: x IS NOT NULL), ',') AS violations FROM part""")
 def sweep_caps(spark, d):
-    rules = F.array(F.when(F.col("p_size") > 40, "cap"), F.when((F.col("p_size") > 45) & F.col("p_brand").contains("1"), "override_without_reason"), F.when(F.col("p_retailprice") * F.col("p_size") > 50000, "budget"))
-    return load(spark, d, "part").select("p_partkey", F.array_join(F.array_compact(rules), ",").alias("violations"))
+    found = V.sweep_problems(F.col("p_size"), F.col("p_brand").contains("1"), F.col("p_retailprice") * F.col("p_size"), cap=40, override=45, budget=50_000)
+    return load(spark, d, "part").select("p_partkey", F.array_join(found, ",").alias("violations"))
 
 
 @query("""SELECT o_orderkey, CAST(date_diff('day', TIMESTAMP '1997-01-01', o_orderdate) AS BIGINT) AS days_remaining, date_diff('day', TIMESTAMP '1997-01-01', o_orderdate) <= 30 AS needs_renewal, o_orderdate < TIMESTAMP '1997-01-01' AS expired FROM orders""")
@@ -224,11 +229,9 @@ def lora_scaling(spark, d):
 @query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linestatus) AS st, max(l_tax) - min(l_tax) <= 1e-8 + 1e-5 * abs(max(l_tax)) AS close, list_sort(list(DISTINCT l_returnflag)) AS f FROM lineitem GROUP BY 1)
     SELECT l_orderkey, array_to_string(list_filter([CASE WHEN flags > 1 THEN 'mixed_kind' END, CASE WHEN st > 1 THEN 'mixed_base' END, CASE WHEN NOT close THEN 'alpha' END], lambda x: x IS NOT NULL), ',') AS problems, len(list_filter(f, lambda x: x NOT IN ('A', 'R'))) = 0 AS subset, n >= 3 AND n % 2 = 1 AS due FROM g""")
 def compat_groups(spark, d):
-    close = F.max("l_tax") - F.min("l_tax") <= F.lit(1e-8) + F.lit(1e-5) * F.abs(F.max("l_tax"))
-    g = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_returnflag").alias("flags"), F.countDistinct("l_linestatus").alias("st"), close.alias("close"), F.collect_set("l_returnflag").alias("f"))
-    problems = F.array_compact(F.array(F.when(F.col("flags") > 1, "mixed_kind"), F.when(F.col("st") > 1, "mixed_base"), F.when(~F.col("close"), "alpha")))
-    subset = F.size(F.array_except("f", F.array(F.lit("A"), F.lit("R")))) == 0
-    return g.select("l_orderkey", F.array_join(problems, ",").alias("problems"), subset.alias("subset"), ((F.col("n") >= 3) & (F.col("n") % 2 == 1)).alias("due"))
+    g = V.group_compatibility(load(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linestatus", "l_tax", ["A", "R"])
+    due = (F.col("n") >= 3) & (F.col("n") % 2 == 1)
+    return g.select("l_orderkey", F.array_join("problems", ",").alias("problems"), "subset", due.alias("due"))
 
 
 @query("""WITH s AS (SELECT *, CASE s_suppkey % 8 WHEN 0 THEN s_name WHEN 1 THEN '.hidden' WHEN 2 THEN 'web_' || s_suppkey || '.v1' WHEN 3 THEN '' WHEN 4 THEN repeat('n', 64) WHEN 5 THEN repeat('n', 65) WHEN 6 THEN 'a b' ELSE 'c-' || s_suppkey END AS name, CASE WHEN s_suppkey % 9 = 0 THEN s_acctbal + 0.5 WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS inner_epsilon FROM supplier)

@@ -196,8 +196,7 @@ def feed_pivot(spark, d):
     SELECT run_id, benchmark, value, row_number() OVER (PARTITION BY run_id ORDER BY first_seen) AS position FROM f""")
 def upsert_results(spark, d):
     k = uploads(spark, d).select((F.col("client_id") % 20).alias("run_id"), F.col("event_type").alias("benchmark"), "value", "event_id")
-    f = k.groupBy("run_id", "benchmark").agg(F.min("event_id").alias("first_seen"), F.max_by("value", "event_id").alias("value"))
-    return f.select("run_id", "benchmark", "value", F.row_number().over(Window.partitionBy("run_id").orderBy("first_seen")).alias("position"))
+    return R.keyed_upserts(k, "run_id", "benchmark", "event_id").drop("event_id")
 
 
 @query(f"""WITH {UP} SELECT event_type, value >= 10 AS success, count(*) AS n FROM up GROUP BY GROUPING SETS ((event_type, value >= 10), (event_type), ())""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.operators import compose as C
@@ -130,14 +129,7 @@ def svd_rank_change(spark, d):
 @query()
 def residual_accumulate(spark, d):
     """Per module: the start adapter (least id) plus the weighted residuals of the others over alpha = 0.5."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("adapter").to_dict("records")
-        start, *rest = ((K.matrix(r, "a"), K.matrix(r, "b")) for r in rows)
-        a, b, error = L.accumulate(start, rest, [r["weight"] for r in rows[1:]], 0.5, 4) if rest else (*start, 0.0)
-        return pd.DataFrame([{"label": key[0], "module": key[1], "n_residuals": len(rest), "a": a.ravel(), "b": b.ravel(), "truncation_error": round(error, 6)}])
-
-    return adapters(spark, d).groupBy("label", "module").applyInPandas(run, "label int, module int, n_residuals bigint, a array<double>, b array<double>, truncation_error double")
+    return L.accumulated(adapters(spark, d), ["label", "module"], 0.5, 4)
 
 
 CLIENTS = 24
@@ -195,7 +187,7 @@ def client_apply(spark, d):
         schedule = K.budget_schedule(row["n"], 2 * row["n"], 4, 7)
         return {"adapter": row["adapter"], "label": row["label"], "rank": a.shape[0], "adapter_sha256": K.adapter_hash({"a": a, "b": b}), "n_batches": len(schedule)}
 
-    return K.apply_rows(rows.join(F.broadcast(cluster), "label"), compose, "adapter bigint, label int, rank bigint, adapter_sha256 string, n_batches bigint")
+    return K.apply_rows(rows.join(cluster, "label"), compose, "adapter bigint, label int, rank bigint, adapter_sha256 string, n_batches bigint")
 
 
 @query()

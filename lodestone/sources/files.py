@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators.ordering import range_bucket, running
 from lodestone.sources.commit import swap_file
 
 
@@ -86,6 +87,18 @@ def sorted_texts(spark: SparkSession, root: str, name: str = "*.py") -> DataFram
     return files.where("text is not null").orderBy(F.split("path", "/"))
 
 
+def numbered_paths(rows: DataFrame, path: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, their place (from 0) in the order of paths, parts compared one by one."""
+    parts = F.split(path, "/")
+    return running(rows.withColumn("_parts", parts), [], ["_parts"], range_bucket(rows, parts), at=name).drop("_parts", "_n")
+
+
+def config_digest(config: Column, swept: tuple[str, ...] = ()) -> Column:
+    """``config_hash`` for a column of maps of texts, without the keys that a sweep sets."""
+    kept = F.map_filter(config, lambda k, _: ~k.isin(*swept)) if swept else config
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept)))).cast("binary"), 256)
+
+
 def read_corpus(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
     """Corpus records, each with its required columns; a corpus without records is an error when it is read."""
     from lodestone.operators.validators import union_of

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,32 @@ def read_adapter(spark: SparkSession, path: str, config_schema: str) -> DataFram
     return tensor_rows(rows, "config", "tensors").withColumn("config", parsed)
 
 
+def encoded(rows: DataFrame, values: str, data: str = "data") -> DataFrame:
+    """``rows`` with ``values`` replaced by ``data``, its base64 text as little-endian float32; null stays null."""
+    rest = [c for c in rows.columns if c != values]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
+
+    def run(batches):
+        for b in batches:
+            texts = [None if v.as_py() is None else base64.b64encode(np.asarray(v.values, "<f4").tobytes()).decode() for v in b.column(values)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, data])
+
+    return rows.select(*rest, values).mapInArrow(run, f"{kinds}, `{data}` string")
+
+
+def decoded(rows: DataFrame, data: str) -> DataFrame:
+    """``rows`` with the base64 texts in ``data`` as arrays of their float32 values; a text of another size is an error."""
+    rest = [c for c in rows.columns if c != data]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
+
+    def run(batches):
+        for b in batches:
+            values = [None if t is None else np.frombuffer(base64.b64decode(t, validate=True), "<f4").astype(float) for t in b.column(data).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(values, pa.list_(pa.float64()))], names=[*rest, data])
+
+    return rows.select(*rest, data).mapInArrow(run, f"{kinds}, `{data}` array<double>")
+
+
 def base64_fits(data: Column, shape: Column, item: int = 4) -> Column:
     """Whether a base64 payload has the size that its shape asks for."""
     n = F.aggregate(shape, F.lit(1).cast("bigint"), lambda a, x: a * x)
