@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,9 +146,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     last = before.agg(F.max(F.struct("o", "doc_id", "y", "h")).alias("last")).first().last
     kinds = f"struct<o:bigint,doc_id:{docs.schema['doc_id'].dataType.simpleString()},y:int,h:bigint>"
     some = found.where(F.struct("o", "doc_id", "y", F.xxhash64("i").alias("h")) <= F.struct(*map(F.lit, last)).cast(kinds)) if last else found.limit(0)
-    got = some.toArrow().sort_by([(c, "ascending") for c in ("o", "doc_id", "y", "i")])
-    columns = (got.column(c).to_pylist() for c in ("i", "x", "y"))
-    return fit_ftrl([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y) for i, x, y in zip(*columns, strict=True)])
+    got = some.toArrow()
+    i, x, y = (got.column(c) for c in ("i", "x", "y"))
+    order = pc.sort_indices(got, sort_keys=[(c, "ascending") for c in ("o", "doc_id", "y", "i")]).to_pylist()
+    # rows are views of the collected table: the driver holds it once
+    model = fit_ftrl([(np.frombuffer(i[k].as_buffer(), np.int32), np.frombuffer(x[k].as_buffer(), np.float32), y[k].as_py()) for k in order])
+    del got, i, x, y
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
