@@ -31,17 +31,28 @@ TOKENIZERS = "/opt/tokenizers"
 
 @query()
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted under one tokenizer version and then recounted under another, each batch
-    committed and replayed, and the ledger compacted. What the first version counted adds up to nothing."""
+    """The ledger's whole life over all documents, whose texts are read and counted once, under both tokenizer versions:
+    inserted, revised (moved to another source) and revised back, deleted, inserted again, and recounted from the first
+    version to the second. Each batch is committed and replayed, and the ledger compacted in between. What the first
+    version counted adds up to nothing."""
     old, new = (token_rollup.Tokenizer(TOKENIZERS, v) for v in ("byte_bpe_multi_50k", "byte_bpe_50k"))
-    docs, ledger = load(spark, sf_dir, "documents"), token_rollup.Ledger(spark, scratch_path(spark, "ledger"))
-    insert = F.lit("insert").alias("op")
-    before = (F.lit(None).cast("string").alias(f"old_{c}") for c in ("source", "lang", "text"))
-    inserted = token_rollup.deltas(token_rollup.signed_rows(docs.select(insert, "source", "lang", "text", *before)), old)
-    for batch, rows in (("insert", inserted), ("recount", token_rollup.recounted(docs, old, new))):
+    ledger = token_rollup.Ledger(spark, scratch_path(spark, "ledger"))
+    counted = materialised(token_rollup.count_versions(load(spark, sf_dir, "documents"), [old, new], ["source", "lang"]), "counts")
+    what = ("n_chars", "n_tokens")
+    here = {"source": F.col("source"), "lang": F.col("lang")} | {c: F.col(c) for c in what}
+    moved = here | {"source": F.concat(F.lit("moved/"), "source")}
+
+    def change(op: str, before: dict, after: dict) -> DataFrame:
+        rows = counted.select(F.lit(op).alias("op"), *(c.alias(n) for n, c in after.items()), *(c.alias(f"old_{n}") for n, c in before.items()))
+        return token_rollup.summed(token_rollup.signed_rows(rows, what), {old.version: F.lit(1), new.version: F.lit(0)})
+
+    recount = token_rollup.summed(counted.withColumn("sign", F.lit(1)), {old.version: F.lit(-1), new.version: F.lit(1)})
+    batches = {"insert": change("insert", here, here), "move": change("revise", here, moved), "back": change("revise", moved, here), "delete": change("delete", here, here), "again": change("insert", here, here), "recount": recount}
+    for batch, rows in batches.items():
         for _ in range(2):  # the replay finds the batch committed
             ledger.commit(batch, rows)
-        ledger.compact()
+        if batch in ("back", "recount"):
+            ledger.compact()
     return ledger.totals()
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded_batches, no_clash, remove
@@ -80,57 +80,71 @@ class Counter:
         return total + len(self.encode(text[at:] if at else text))
 
 
-def count_tokens(rows: DataFrame, tokenizer: Tokenizer, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, n_chars and n_tokens of every whole text; a null text counts as empty.
+def count_versions(rows: DataFrame, tokenizers: list[Tokenizer], keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, n_chars and ``n_tokens``, an array with the tokens under each tokenizer, of every whole text, which is
+    read once for all of them; a null text counts as empty.
 
     Repeated rows stay, an empty table gives no rows, a batch holds at most 32 MB of text or one text.
     """
     bounded_batches(rows.sparkSession)
-    shared, pattern = rows.sparkSession.sparkContext.broadcast(tokenizer.read()), tokenizer.pattern
     no_clash(keep, ("n_chars", "n_tokens"))
+    shared, patterns = rows.sparkSession.sparkContext.broadcast([t.read() for t in tokenizers]), [t.pattern for t in tokenizers]
     kept = rows.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", n_chars bigint, n_tokens bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", n_chars bigint, n_tokens array<bigint>"
 
     def run(batches):
-        counter = Counter(shared.value, pattern)
+        counters = [Counter(data, pattern) for data, pattern in zip(shared.value, patterns, strict=True)]
         for b in batches:
             texts = [t or "" for t in b.column("_text").to_pylist()]
-            counts = [pa.array([len(t) for t in texts], pa.int64()), pa.array([counter.count(t) for t in texts], pa.int64())]
+            counts = [pa.array([len(t) for t in texts], pa.int64()), pa.array([[c.count(t) for c in counters] for t in texts], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *counts], names=[*keep, "n_chars", "n_tokens"])
 
     return kept.mapInArrow(run, schema)
 
 
-def signed_rows(changes: DataFrame) -> DataFrame:
-    """(sign, source, lang, text) of a change table.
+def count_tokens(rows: DataFrame, tokenizer: Tokenizer, keep: list[str], text: str = "text") -> DataFrame:
+    """As ``count_versions`` for one tokenizer, with its number of tokens as ``n_tokens``."""
+    return count_versions(rows, [tokenizer], keep, text).withColumn("n_tokens", F.get("n_tokens", F.lit(0)))
+
+
+def signed_rows(changes: DataFrame, payload: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(sign, source, lang and ``payload``) of a change table.
 
-    ``changes``: op (insert, delete, revise), source, lang, text after the change and old_source,
-    old_lang, old_text before it. An insert adds the new row, a delete takes the old one away, a
-    revision does both. Any other op, null included, is an error.
+    ``changes``: op (insert, delete, revise), source, lang and the payload after the change and old_source, old_lang and
+    old_ payload before it. An insert adds the new row, a delete takes the old one away, a revision does both.
+    Any other op, null included, is an error. The payload is the text, or what was counted of it.
     """
     op = F.when(F.col("op").isin("insert", "delete", "revise"), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("op", F.lit("null")))))
-    new = F.struct(F.lit(1).alias("sign"), F.col("source"), F.col("lang"), F.col("text"))
-    old = F.struct(F.lit(-1).alias("sign"), F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), F.col("old_text").alias("text"))
+    names = ("source", "lang", *payload)
+    new = F.struct(F.lit(1).alias("sign"), *(F.col(c) for c in names))
+    old = F.struct(F.lit(-1).alias("sign"), *(F.col(f"old_{c}").alias(c) for c in names))
     sides = F.when(op == "insert", F.array(new)).when(op == "delete", F.array(old)).otherwise(F.array(old, new))
     return changes.select(F.explode(sides).alias("r")).select("r.*")
 
 
+def summed(counted: DataFrame, versions: dict[str, Column]) -> DataFrame:
+    """Signed totals by source, lang and tokenizer of counted rows (sign, source, lang, n_chars, n_tokens as an array).
+    ``versions`` names the tokenizers in the order of the arrays, each with the sign it counts with; 0 leaves it out."""
+    each = F.array(*(F.struct(F.lit(name).alias("tokenizer"), sign.alias("by"), F.get("n_tokens", F.lit(at)).alias("n")) for at, (name, sign) in enumerate(versions.items())))
+    rows = counted.select("source", "lang", "sign", "n_chars", F.explode(each).alias("v")).select("source", "lang", "v.tokenizer", (F.col("sign") * F.col("v.by")).alias("sign"), "n_chars", F.col("v.n").alias("n_tokens"))
+    sums = [F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_chars")).alias("n_chars"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")]
+    return rows.groupBy(*KEYS).agg(*sums).where("n_docs <> 0 OR n_chars <> 0 OR n_tokens <> 0")
+
+
 def deltas(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """Signed totals by source, lang and tokenizer. Null keys form groups of their own; zero deltas go.
 
     Sums are formed before the shuffle, so a source with a third of all rows costs no more than another.
     An empty table gives no rows.
     """
-    counted = count_tokens(rows, tokenizer, ["sign", "source", "lang"]).withColumn("tokenizer", F.lit(tokenizer.version))
-    sums = [F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_chars")).alias("n_chars"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")]
-    return counted.groupBy(*KEYS).agg(*sums).where("n_docs <> 0 OR n_chars <> 0 OR n_tokens <> 0")
+    return summed(count_versions(rows, [tokenizer], ["sign", "source", "lang"]), {tokenizer.version: F.lit(1)})
 
 
 def recounted(docs: DataFrame, old: Tokenizer, new: Tokenizer) -> DataFrame:
     """Deltas that move documents (source, lang, text) from one tokenizer version to another, as one batch:
-    what ``old`` counted goes, what ``new`` counts comes."""
-    gone = deltas(docs.select(F.lit(-1).alias("sign"), "source", "lang", "text"), old)
-    return gone.unionByName(deltas(docs.select(F.lit(1).alias("sign"), "source", "lang", "text"), new))
+    what ``old`` counted goes, what ``new`` counts comes. Texts are read once."""
+    counted = count_versions(docs.select(F.lit(1).alias("sign"), "source", "lang", "text"), [old, new], ["sign", "source", "lang"])
+    return summed(counted, {old.version: F.lit(-1), new.version: F.lit(1)})
 
 
 class Ledger:

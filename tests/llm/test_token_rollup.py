@@ -98,3 +98,28 @@ def test_recount_moves_totals_between_versions(spark, path):
     ledger.compact()
     assert not ledger.commit("b", T.recounted(docs, other, TOK))
     assert Counter(map(tuple, ledger.totals().collect())) == plain(rows)
+
+
+def test_versions_are_counted_in_one_pass(spark):
+    old, new = (T.Tokenizer("/opt/tokenizers", v) for v in ("byte_bpe_multi_50k", "byte_bpe_50k"))
+    rows = spark.createDataFrame([(1, "s", "en", "some text here"), (1, "s", "en", None), (-1, None, "de", "ein Text, ein Wort")], "sign int, source string, lang string, text string")
+    both = T.count_versions(rows, [old, new], ["sign"])
+    for at, t in enumerate((old, new)):
+        one = T.count_tokens(rows, t, ["sign"])
+        assert sorted((r.n_chars, r.n_tokens) for r in one.collect()) == sorted((r.n_chars, r.n_tokens[at]) for r in both.collect())
+    counted = T.count_versions(rows, [old, new], ["sign", "source", "lang"])
+    assert sorted(map(str, T.summed(counted, {old.version: F.lit(1), new.version: F.lit(0)}).collect())) == sorted(map(str, T.deltas(rows, old).collect()))
+
+
+def test_the_query_ends_with_the_second_version_alone(spark, tmp_path):
+    from lodestone.llm.queries import op1_token_counts
+
+    docs = [(i, None if i == 3 else f"text number {i} " * (i % 5), ["en", "de", None][i % 3], ["a", "b", None][i % 4 % 3]) for i in range(40)]
+    spark.createDataFrame([(*d, 7) for d in docs], "doc_id bigint, text string, lang string, source string, n_tokens int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang): (r.tokenizer, r.n_docs, r.n_chars, r.n_tokens) for r in op1_token_counts(spark, str(tmp_path)).collect()}
+    count = T.Counter(T.Tokenizer("/opt/tokenizers", "byte_bpe_50k").read()).count
+    want = {}
+    for _, text, lang, source in docs:
+        _, n, c, t = want.get((source, lang), ("", 0, 0, 0))
+        want[source, lang] = ("byte_bpe_50k", n + 1, c + len(text or ""), t + count(text or ""))
+    assert got == want
