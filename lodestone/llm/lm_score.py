@@ -41,7 +41,8 @@ TAIL = np.uint64(1 << 63)
 FLUSH = 1_000_000
 #: Words sharing a hash with another word that the head has room for; more are an error.
 CLASHES = 1000
-NO_ID = -(1 << 63)
+#: Bytes of text for a bucket, which a task holds at once, and for a shuffle partition, at least as many as the session has.
+BUCKET_BYTES, PARTITION_BYTES = 4 << 20, 64 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -306,6 +307,18 @@ def head_counts(docs: DataFrame, head: dict[int | bytes, int], bits: int = 63) -
     return out, total
 
 
+def unused_id(docs: DataFrame, least: int | None, greatest: int | None) -> int:
+    """A number that stands for null ids and is no id of ``docs``: one beside the ids, or the first one between them."""
+    if least is None or least > -(1 << 63):
+        return -(1 << 63)
+    if greatest < (1 << 63) - 1:
+        return (1 << 63) - 1
+    i = 0
+    while not docs.where(F.col("doc_id") == i).isEmpty():
+        i += 1
+    return i
+
+
 def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = 1, head: int = HEAD, buckets_a_partition: int = 8, hash_bits: int = 63, flush: int = FLUSH) -> DataFrame:
     """doc_id, n_words and score (mean ln S) for every row of ``docs``; counts are over all of ``docs``.
 
@@ -315,9 +328,11 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = 1, head: int
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, words_buckets = buckets_a_partition * partitions, 2 * partitions
     docs = docs.select("doc_id", "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min("doc_id"), F.max("doc_id")).first()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size[0] // PARTITION_BYTES)
+    buckets, words_buckets = max(buckets_a_partition * partitions, size[0] // BUCKET_BYTES), 2 * partitions
+    no_id = unused_id(docs, size[1], size[2])
     numbers = {w: i for i, w in enumerate(clashing_words(docs, hash_bits))}
     clashing = {word_hash(w, hash_bits) for w in numbers}
     common = [h for h in head_words(docs, head, hash_bits) if h not in clashing]
@@ -328,7 +343,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = 1, head: int
     def send(batches):
         codes = Codes(shared.value[0], hash_bits)
         for b in batches:
-            ids = [NO_ID if i is None else i for i in b.column("doc_id").to_pylist()]
+            ids = [no_id if i is None else i for i in b.column("doc_id").to_pylist()]
             found = bigram_blocks(ids, list(map(codes.of, b.column("text").cast(pa.binary()).to_pylist())), buckets)
             yield _rows((k, 0, v) for k, v in found)
 
@@ -378,5 +393,5 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = 1, head: int
     met = sent.mapInArrow(meet, kinds).withColumn("bucket", F.col("bucket") * 2 + F.col("kind"))
     looked = met.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(look_up, kinds)
     added = looked.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "id bigint, n bigint, s double")
-    joined = docs.select("doc_id").join(added, (F.col("doc_id") == F.col("id")) & (F.col("id") != NO_ID), "left")
+    joined = docs.select("doc_id").join(added, (F.col("doc_id") == F.col("id")) & (F.col("id") != no_id), "left")
     return joined.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_words"), F.col("s").alias("score"))

@@ -84,3 +84,10 @@ def test_blocks_round_trip():
 
 def test_empty_table(spark):
     assert L.scores(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+@pytest.mark.parametrize("ids", [[-(2**63), 2, None], [-(2**63), 2**63 - 1, None], [-(2**63), 2**63 - 1, 0, 1, None], [None, None, 5]])
+def test_every_id_is_a_legal_one(spark, ids):
+    df = spark.createDataFrame([(i, "one two three one two four") for i in ids], "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.score is not None) for r in L.scores(df).collect())
+    assert got == sorted((str(i), 0 if i is None else 6, i is not None) for i in ids)
