@@ -8,8 +8,10 @@ vector meet it in the cell where it lives, and cells join independently. Cells a
 small or a split no longer helps. Cells are compared in tiles of bounded size, by matrix products in double
 precision; a tile gives a count a vector and a spanning star of the links, never pairs.
 
-Copies of a vector are one vector with a number of copies. A ball of at most r / 2 around a pivot needs no
-comparison inside: all of it is linked.
+Copies of a vector are one vector with a number of copies. Vectors within r / 2 of their pivot, the cell's ball,
+are all linked by the triangle inequality: they are counted by a sum and joined by a star, not compared. With what
+lies beyond r of the ball's edge they have no link and aren't compared either. Pivots of a split are more than r / 2
+apart, so a group of near copies gets one pivot and is such a ball, however large: its cost is linear.
 """
 
 from __future__ import annotations
@@ -67,9 +69,23 @@ def _split(state: DataFrame, crowded: DataFrame, r: float, cell: int, fan: int,
     share = F.shiftrightunsigned(rank, 1) < F.lit(float(1 << 63)) * F.least(F.lit(1.0), (4 * F.col("fan") + 16) / F.col("lives"))
     first = F.row_number().over(Window.partitionBy("cell").orderBy("rank", "node"))
     here = here.withColumn("rank", rank)
-    chosen = here.where(share).withColumn("at", first).where("at <= fan").groupBy("cell").agg(F.collect_list("vec").alias("pivots"))
+    chosen = here.where(share).withColumn("at", first).where("at <= 4 * fan + 16").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("rank", "vec"))).alias("s"))
     one = here.groupBy("cell").agg(F.array(F.min_by("vec", "rank")).alias("one"))  # should the share be empty
-    pivots = materialised(one.join(chosen, "cell", "left").select("cell", F.coalesce("pivots", "one").alias("pivots")), "pivots")
+    sampled = one.join(chosen, "cell", "left").join(small_side(crowded.select("cell", "fan")), "cell").select("cell", "fan", F.coalesce(F.transform("s", lambda x: x["vec"]), "one").alias("pivots"))
+
+    def apart(batches):
+        for b in batches:
+            out = []
+            for fan, sample in zip(b.column("fan").to_pylist(), b.column("pivots"), strict=True):
+                x, kept = unit_rows(sample.values), [0]
+                for i in range(1, len(x)):
+                    if len(kept) < fan and _distances(x[i : i + 1], x[kept]).min() > r / 2:
+                        kept.append(i)
+                out.append(sample.values.take(pa.array(kept)).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("cell"), pa.array(out, b.column("pivots").type)], names=["cell", "pivots"])
+
+    kind = state.schema["vec"].dataType.simpleString()
+    pivots = materialised(sampled.mapInArrow(apart, f"cell string, pivots array<{kind}>"), "pivots")
     reach = 2 * r + SLACK
 
     def deal(batches):
@@ -149,50 +165,56 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
 
     state = nodes.select(F.concat("label", F.lit("|"), F.size("vec")).alias("cell"), "node", "vec", "copies", F.lit(True).alias("home"), F.lit(2.0).alias("far"))
     settled, before = [], None
+    ball, near = F.col("far") <= r / 2 - SLACK, F.col("far") <= 3 * r / 2 + SLACK
+    home = F.col("home")
     for level in range(DEPTH + 1):
-        counts = state.groupBy("cell").agg(F.count_if("home").alias("lives"), F.max(F.when(F.col("home"), F.col("far"))).alias("radius"), F.count("*").alias("n"))
-        # a cell that a split has hardly made smaller, or a ball whose vectors are all linked, isn't split again
-        parent = F.regexp_replace("cell", "/[0-9]+$", "")
-        useful = F.lit(True) if before is None else F.col("lives") <= 0.9 * F.col("was")
+        # members of the ball, of the shell that links can reach from it, and of all but the ball; of each those that live here
+        kinds = {"ball": ball, "shell": ~ball & near, "rest": ~ball}
+        counts = state.groupBy("cell").agg(
+            *(F.count_if(k).alias(n) for n, k in kinds.items()), *(F.count_if(k & home).alias(f"{n}_lives") for n, k in kinds.items()), F.count_if(home).alias("lives"),
+            F.sum(F.when(ball, F.col("copies"))).alias("ball_copies"), F.min(F.when(ball, F.col("node"))).alias("ball_root"),
+        )
+        # a cell whose vectors outside the ball a split has hardly made fewer isn't split again
         if before is not None:
-            counts = counts.withColumn("parent", parent).join(small_side(before), "parent", "left").drop("parent")
+            counts = counts.withColumn("parent", F.regexp_replace("cell", "/[0-9]+$", "")).join(small_side(before), "parent", "left").drop("parent")
+            useful = F.col("rest_lives") <= 0.9 * F.col("was")
         else:
-            counts = counts.withColumn("was", F.lit(None).cast("bigint"))
-        more = (F.col("lives") > cell) & (F.col("radius") > r / 2) & useful
-        counts = materialised(counts.withColumn("more", more if level < DEPTH else F.lit(False)), "cells")
-        settled.append(state.join(small_side(counts.where("NOT more AND lives > 0").select("cell", "lives", "n", "radius")), "cell"))
+            useful = F.lit(True)
+        more = (F.col("rest_lives") > cell) & useful if level < DEPTH else F.lit(False)
+        counts = materialised(counts.withColumn("more", more), "cells")
+        settled.append(state.join(small_side(counts.where("NOT more AND lives > 0").drop("more", "was")), "cell"))
         crowded = counts.where("more")
         if crowded.isEmpty():
             break
-        before = crowded.select(F.col("cell").alias("parent"), F.col("lives").alias("was"))
+        before = crowded.select(F.col("cell").alias("parent"), F.col("rest_lives").alias("was"))
         state = materialised(_split(state, crowded, r, cell, fan, level), "state")
 
     members = settled[0]
     for s in settled[1:]:
         members = members.unionByName(s)
-    tiles = [F.ceil(F.col(c) / tile).cast("int") for c in ("lives", "n")]
-    mine = [F.pmod(F.xxhash64("node", F.lit(7)), t).cast("int") for t in tiles]
-    whole = lambda t: F.sequence(F.lit(0), t - 1)
-    left = members.where("home").select("*", mine[0].alias("i"), F.explode(whole(tiles[1])).alias("j"), F.lit(True).alias("asks"))
-    right = members.select("*", F.explode(whole(tiles[0])).alias("i"), mine[1].alias("j"), F.lit(False).alias("asks"))
-    both = left.unionByName(right).select("cell", "i", "j", "asks", "node", "vec", "copies", "home", "far", "radius")
-    ball = r / 2 - SLACK
+    # inside the ball all is linked
+    inside = members.where(ball & (F.col("ball_lives") > 0)).select("node", F.when(home, F.col("ball_copies") - F.col("copies")).otherwise(0).alias("links"), F.col("ball_root").alias("root"))
+    # tiles: the ball against its shell, both ways, and all but the ball against itself
+    slots = lambda n: F.ceil(F.col(n) / tile).cast("int")
+    mine = lambda t: F.pmod(F.xxhash64("node", F.lit(7)), t).cast("int")
+    every = lambda t: F.explode(F.sequence(F.lit(0), t - 1))
+    both = None
+    for number, (asks, answers) in enumerate((("ball", "shell"), ("shell", "ball"), ("rest", "rest"))):
+        i, j = slots(f"{asks}_lives"), slots(answers)
+        there = members.where((i > 0) & (j > 0))
+        left = there.where(kinds[asks] & home).select("*", mine(i).alias("i"), every(j).alias("j"), F.lit(True).alias("asks"))
+        right = there.where(kinds[answers]).select("*", every(i).alias("i"), mine(j).alias("j"), F.lit(False).alias("asks"))
+        part = left.unionByName(right).select("cell", F.lit(number).alias("pair"), "i", "j", "asks", "node", "vec", "copies")
+        both = part if both is None else both.unionByName(part)
 
     def meet(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("asks").to_pylist())
         vec = table.column("vec").combine_chunks()
-        node, copies, home, far = (table.column(c).to_numpy() for c in ("node", "copies", "home", "far"))
+        node, copies = (table.column(c).to_numpy() for c in ("node", "copies"))
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         nodes, links, roots = [], [], []
         if len(a) and len(b):
-            x, y = unit_rows(vec.take(pa.array(a))), unit_rows(vec.take(pa.array(b)))
-            inside = home[b] & (far[b] <= ball)  # with those of the asking side that lie in the ball too, linked by the triangle inequality
-            hit = np.zeros((len(a), len(b)), bool)
-            sure = far[a] <= ball
-            hit[np.ix_(sure, inside)] = True
-            for p, q in ((sure, ~inside), (~sure, np.ones(len(b), bool))):
-                if p.any() and q.any():
-                    hit[np.ix_(p, q)] = linked(x[p], y[q], cosine)
+            hit = linked(unit_rows(vec.take(pa.array(a))), unit_rows(vec.take(pa.array(b))), cosine)
             hit &= node[a][:, None] != node[b][None, :]
             n = hit @ copies[b]
             nodes.append(node[a][n > 0])
@@ -206,7 +228,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
         cat = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))
         return pa.table({"node": cat(nodes), "links": cat(links), "root": cat(roots)})
 
-    met = materialised(both.groupBy("cell", "i", "j").applyInArrow(meet, "node bigint, links bigint, root bigint"), "met")
+    met = materialised(both.groupBy("cell", "pair", "i", "j").applyInArrow(meet, "node bigint, links bigint, root bigint").unionByName(inside), "met")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = materialised(connected_components(met.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")
     found = nodes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

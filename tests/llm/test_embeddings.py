@@ -26,7 +26,7 @@ def plain(rows, cosine=0.93):
     return sorted(out, key=str)
 
 
-def sample(n=500, dim=12, seed=0):
+def sample(n=400, dim=12, seed=0):
     r = np.random.default_rng(seed)
     centres = r.normal(size=(14, dim))
     rows = []
@@ -43,7 +43,7 @@ def sample(n=500, dim=12, seed=0):
     return rows
 
 
-@pytest.mark.parametrize("cell, fan, tile", [(2048, 32, 2048), (30, 8, 16), (10, 3, 7)])
+@pytest.mark.parametrize("cell, fan, tile", [(2048, 32, 2048), (12, 4, 7)])
 def test_matches_brute_force(spark, cell, fan, tile):
     rows = sample()
     df = spark.createDataFrame([(*x, "clash") for x in rows], "vec_id bigint, embedding array<float>, label int, cell string").repartition(3)
@@ -52,14 +52,25 @@ def test_matches_brute_force(spark, cell, fan, tile):
     assert sorted(map(tuple, got.collect()), key=str) == plain(rows)
 
 
-def test_dense_ball_is_split_no_further_and_stays_linear(spark):
+def test_groups_of_near_copies_and_their_surroundings(spark):
+    """Two groups, one of them with vectors that link to some of it only, among unrelated vectors."""
     r = np.random.default_rng(2)
-    centre = r.normal(size=16)
-    rows = [(i, (centre + 0.01 * r.normal(size=16)).astype(np.float32).tolist(), "a/1") for i in range(900)] + [(1000 + i, r.normal(size=16).astype(np.float32).tolist(), "a/1") for i in range(300)]
+    centre = r.normal(size=(2, 32))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    rows = [(i, (centre[i % 3 % 2] + 0.012 * r.normal(size=32)).astype(np.float32).tolist(), "a/1") for i in range(900)]
+    rows += [(1000 + i, r.normal(size=32).astype(np.float32).tolist(), "a/1") for i in range(200)]
+    rows += [(2000 + i, (centre[0] + r.uniform(0.03, 0.09) * r.normal(size=32)).astype(np.float32).tolist(), "a/1") for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label string")
     got = E.near_vectors(df, cell=50, fan=8, tile=64).collect()
     assert sorted(map(tuple, got), key=str) == plain(rows)
-    assert sum(x.n_links == 899 for x in got) == 900
+    assert any(0 < x.n_links < 599 for x in got if x.vec_id >= 2000)
+
+
+def test_a_split_keeps_pivots_apart(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, (np.eye(8)[i % 2] + 0.01 * r.normal(size=8)).tolist(), 1) for i in range(600)]
+    got = E.near_vectors(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int"), cell=40, fan=16, tile=32).collect()
+    assert {(x.n_links, x.component_id) for x in got} == {(299, 0), (299, 1)}
 
 
 def test_a_border_case_is_summed_exactly():
