@@ -9,6 +9,7 @@ from lodestone.functions import text as X
 from lodestone.operators import kernels as K
 from lodestone.operators import lowrank as L
 from lodestone.operators import similarity as M
+from lodestone.operators import validators as V
 from lodestone.plans.registry import query
 from lodestone.plans.similarity import VEC, adapters
 from lodestone.sources import files as S
@@ -106,3 +107,20 @@ def config_hashes(spark, d):
     """Digests of configurations, and run ids from those without the swept key."""
     config = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("seed"), (F.col("o_custkey") % 5).cast("string"), F.lit("lr"), F.col("o_orderpriority"))
     return load(spark, d, "orders").select("o_orderkey", S.config_digest(config).alias("config_sha256"), F.substring(S.config_digest(config, ("seed",)), 1, 10).alias("run_id"))
+
+
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN 'w' || user_id END AS name, CASE WHEN event_id % 5 <> 0 THEN 'F32' END AS dtype, event_id % 11 <> 0 AS shaped, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 68 ELSE 64 END AS chars FROM events)
+    SELECT event_id, array_to_string(list_filter([CASE WHEN name IS NULL THEN 'missing name' END, CASE WHEN dtype IS NULL THEN 'missing dtype' END, CASE WHEN NOT shaped THEN 'missing shape' END, CASE WHEN chars IS NULL THEN 'missing data' END,
+        CASE WHEN chars * 3 > 4 * 50 THEN 'too large' END], lambda x: x IS NOT NULL), ',') AS problems FROM t""")
+def request_tensors(spark, d):
+    """Tensors of requests that lack fields or hold more base64 text than 50 bytes make."""
+    i = F.col("event_id")
+    data = F.when(i % 13 == 0, None).when(i % 3 == 0, "A" * 68).otherwise("A" * 64)
+    found = V.tensor_problems(F.when(i % 7 != 0, F.concat(F.lit("w"), "user_id")), F.when(i % 5 != 0, "F32"), F.when(i % 11 != 0, F.array(F.lit(4), F.lit(3))), data, most_bytes=50)
+    return load(spark, d, "events").select("event_id", F.array_join(found, ",").alias("problems"))
+
+
+@query("""WITH f AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS canonical FROM documents GROUP BY 1) SELECT doc_id, CAST(canonical AS INT) AS canonical FROM documents JOIN f USING (source)""")
+def canonical_numbers(spark, d):
+    """Sources numbered from 0 by the first document that bears them."""
+    return M.canonical_labels(load(spark, d, "documents").select("doc_id", "source"), "doc_id", "source").select("doc_id", "canonical")

@@ -55,12 +55,12 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def discover(spark: SparkSession, root: str, name: str | list[str] = "*.py", subpaths: list[str] | None = None) -> DataFrame:
+def discover(spark: SparkSession, root: str, name: str | list[str] = "*.py", subpaths: list[str] | None = None, missing: str = "warn") -> DataFrame:
     """(path, length, content) of the files below a folder whose name fits one of the globs; path is relative to it. A file
     that several globs or overlapping ``subpaths`` find counts once.
 
     ``subpaths`` reads those folders only; one that isn't there is skipped with a warning, and if none is there the whole
-    folder is read.
+    folder is read. With ``missing`` = ``error`` a folder that isn't there is an error.
     """
     root = root.rstrip("/")
     jvm = spark.sparkContext._jvm
@@ -70,6 +70,8 @@ def discover(spark: SparkSession, root: str, name: str | list[str] = "*.py", sub
         at = jvm.org.apache.hadoop.fs.Path(f"{root}/{s}")
         if fs.exists(at) and fs.getFileStatus(at).isDirectory():
             there.append(s.strip("/"))
+        elif missing == "error":
+            raise FileNotFoundError(f"{root}/{s} does not exist")
         else:
             warnings.warn(f"{root}/{s} does not exist and is skipped", stacklevel=2)
     outer = sorted({s for s in there if not any(s != o and s.startswith(f"{o}/") for o in there)})  # folders inside others are read with those

@@ -76,7 +76,7 @@ def test_discovery_of_subpaths_and_order(spark, tmp_path):
     assert [r.path for r in S.sorted_texts(spark, str(tmp_path)).collect()] == ["a/b/c.py", "a/b.py", "a-b/x.py", "z/y.py"]
     assert sorted(r.path for r in S.discover(spark, str(tmp_path), subpaths=["a", "z"]).select("path").collect()) == ["a/b.py", "a/b/c.py", "z/y.py"]
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
-        S.discover(spark, str(tmp_path), subpaths=["no"]).collect()
+        S.discover(spark, str(tmp_path), subpaths=["no"], missing="error").collect()
 
 
 @dataclasses.dataclass
