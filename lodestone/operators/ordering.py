@@ -148,10 +148,11 @@ def text_digest(rows: DataFrame, by: list[str], order: str, between: str, gather
     ``gather`` rows are sorted as arrays; larger ones are streamed in order, so none is gathered."""
     names = {c: f"_g{i}" for i, c in enumerate(by)}
     sizes = rows.groupBy(*(F.col(c).alias(k) for c, k in names.items())).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
-    met = rows.join(sizes, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()])
-    small = met.where(F.col("_n") <= gather).groupBy(*by).agg(F.max("_n").alias("n"), F.min("_first").alias("first"), F.sha2(F.array_join(F.array_sort(F.collect_list(order)), between).cast("binary"), 256).alias("digest"))
+    gathered = [F.count("*").alias("n"), F.min(order).alias("first"), F.sha2(F.array_join(F.array_sort(F.collect_list(order)), between).cast("binary"), 256).alias("digest")]
     if sizes.where(F.col("_n") > gather).isEmpty():
-        return small
+        return rows.groupBy(*by).agg(*gathered)
+    met = rows.join(sizes, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()])
+    small = met.where(F.col("_n") <= gather).groupBy(*by).agg(*gathered)
     large = streamed_digest(met.where(F.col("_n") > gather), by, [order], F.col(order).cast("binary"), between.encode())
     firsts = sizes.select(*(F.col(k) for k in names.values()), F.col("_first").alias("first"))
     large = large.join(firsts, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]).select(*by, "n", "first", "digest")
