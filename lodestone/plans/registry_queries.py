@@ -165,7 +165,7 @@ def version_history(spark, d):
     return out.withColumn("decisions", F.array_join(F.transform("decisions", lambda x: F.concat(x["action"], F.lit(":"), x["seq"])), ","))
 
 
-@query(f"""WITH {VER}, c AS (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY version) AS previous_version, CASE WHEN o_orderkey % 13 <> 0 THEN round_even(price / 1e6, 4) - 0.1 END AS delta, 0.05::DOUBLE AS band,
+@query(f"""WITH {VER}, c AS (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY version) AS previous_version, CASE WHEN o_orderkey % 13 <> 0 THEN floor(price / 100) / 10000.0::DOUBLE - 0.1 END AS delta, 0.05::DOUBLE AS band,
         CASE WHEN o_orderkey % 11 <> 0 THEN 0.5::DOUBLE END AS base, round_even(0.44 + (o_orderkey % 10) / 100, 2) AS cand FROM ver),
     k AS (SELECT *, coalesce(delta > band AND base - cand <= 0.02, false) AS good, CASE WHEN delta IS NULL THEN 'no baseline_in_project supplied — cannot confirm improvement' WHEN delta > band THEN printf('edit_similarity +%.4f clears noise band %.4f', delta, band) ELSE printf('edit_similarity delta %.4f does not clear noise band %.4f', delta, band) END
         || '; ' || CASE WHEN base IS NULL THEN 'HumanEval guard metrics missing on candidate or baseline' WHEN base - cand <= 0.02 THEN printf('HumanEval pass@1 drop %.4f within 0.02 tolerance', base - cand) ELSE printf('HumanEval pass@1 dropped %.4f, exceeds 0.02 tolerance', base - cand) END AS why FROM c)
@@ -175,7 +175,7 @@ def promotion_decisions(spark, d):
     """The promotion rule for every version as a candidate; first versions that fail have nothing to roll back to."""
     v = G.previous_versions(versions(spark, d), "name", "version")
     k = F.col("o_orderkey")
-    c = v.select("o_orderkey", "version", "previous_version", F.when(k % 13 != 0, F.bround(F.col("price") / 1e6, 4) - 0.1).alias("delta"), F.lit(0.05).alias("band"), F.when(k % 11 != 0, 0.5).alias("base_guard"), F.bround(0.44 + (k % 10) / 100, 2).alias("cand_guard"))
+    c = v.select("o_orderkey", "version", "previous_version", F.when(k % 13 != 0, F.floor(F.col("price") / 100) / 10000.0 - 0.1).alias("delta"), F.lit(0.05).alias("band"), F.when(k % 11 != 0, 0.5).alias("base_guard"), F.bround(0.44 + (k % 10) / 100, 2).alias("cand_guard"))
     return P.decide(c, refuse=False).select("o_orderkey", "action", "active_version_after", "reason")
 
 
