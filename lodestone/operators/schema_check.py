@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.validators import let
+
 #: References inside references.
 DEEPEST = 12
 KNOWN = {
@@ -27,12 +29,12 @@ def _none() -> Column:
 
 def _kind(v: Column) -> Column:
     """The JSON type of a variant; whole numbers are integers, whatever they are written like."""
-    found = F.schema_of_variant(v)
-    number = F.try_variant_get(v, "$", "double")
-    return (
+    number = let(F.try_variant_get(v, "$", "double"), lambda n: F.when(n == F.floor(n), "integer").otherwise("number"))
+    name = lambda found: (
         F.when(v.isNull(), None).when(found == "VOID", "null").when(found == "STRING", "string").when(found == "BOOLEAN", "boolean").when(found.startswith("OBJECT"), "object").when(found.startswith("ARRAY"), "array")
-        .when(number == F.floor(number), "integer").otherwise("number")
+        .otherwise(number)
     )
+    return let(F.schema_of_variant(v), name)
 
 
 def _at(where: Column | None, step: Column) -> Column:
@@ -62,7 +64,14 @@ def _walk(v: Column, schema: dict, root: dict, where: Column | None, depth: int
         for step in schema["$ref"][2:].split("/"):
             there = there[step]
         return _walk(v, there, root, where, depth + 1)
-    kind = _kind(v)
+    members = lambda kind: F.when(kind == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+    if not schema.keys() & {"required", "properties", "additionalProperties"}:
+        return let(_kind(v), lambda kind: _rules(v, kind, None, None, schema, root, where, depth))
+    return let(_kind(v), lambda kind: let(members(kind), lambda m: let(F.map_keys(m), lambda keys: _rules(v, kind, m, keys, schema, root, where, depth))))
+
+
+def _rules(v: Column, kind: Column, members: Column | None, keys: Column | None, schema: dict, root: dict, where: Column | None, depth: int) -> Column:
+    """What ``schema`` refuses about ``v``, of which its kind is known, and of an object its members and their names."""
     found: list[Column] = []
     if "type" in schema:
         kinds = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
@@ -89,29 +98,22 @@ def _walk(v: Column, schema: dict, root: dict, where: Column | None, depth: int
     if "pattern" in schema:
         re.compile(schema["pattern"])
         found.append(_says(~words.rlike(schema["pattern"]), where, f"does not match {schema['pattern']}"))
-    members = F.when(kind == "object", F.try_variant_get(v, "$", "map<string,variant>"))
-    keys = F.map_keys(members)
     for name in schema.get("required", []):
         found.append(_says(~F.array_contains(keys, name), where, f"lacks {name}"))
     known = schema.get("properties", {})
+    walked = lambda inner, there: lambda value: _walk(value, inner, root, there, depth)
     for name, inner in known.items():
-        value = _member(v, name)
-        found.append(F.when(F.array_contains(keys, name), _walk(value, inner, root, _at(where, F.lit(name)), depth)).otherwise(_none()))
+        inside = let(_member(v, name), walked(inner, _at(where, F.lit(name))))
+        found.append(F.when(F.array_contains(keys, name), inside).otherwise(_none()))
     rest = schema.get("additionalProperties", True)
-    others = F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)) if known else _none()))
+    others = None if rest is True else F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)) if known else _none()))
     if rest is False:
         found.append(F.coalesce(F.flatten(F.transform(others, lambda k: _says(F.lit(True), where, F.concat(F.lit("does not know "), k)))), _none()))
     elif isinstance(rest, dict):
         inside = F.transform(others, lambda k: _walk(F.element_at(members, k), rest, root, _at(where, k), depth))
         found.append(F.coalesce(F.flatten(inside), _none()))
-    items = F.when(kind == "array", F.try_variant_get(v, "$", "array<variant>"))
-    if "minItems" in schema:
-        found.append(_says((kind == "array") & (F.size(items) < schema["minItems"]), where, f"holds fewer than {schema['minItems']}"))
-    if "maxItems" in schema:
-        found.append(_says((kind == "array") & (F.size(items) > schema["maxItems"]), where, f"holds more than {schema['maxItems']}"))
-    if "items" in schema:
-        inside = F.transform(items, lambda x, i: _walk(x, schema["items"], root, _at(where, i.cast("string")), depth))
-        found.append(F.coalesce(F.flatten(inside), _none()))
+    if schema.keys() & {"minItems", "maxItems", "items"}:
+        found.append(let(F.when(kind == "array", F.try_variant_get(v, "$", "array<variant>")), lambda items: _item_rules(items, schema, root, where, depth)))
     if "anyOf" in schema:
         fits = F.lit(False)
         for one in schema["anyOf"]:
@@ -120,6 +122,19 @@ def _walk(v: Column, schema: dict, root: dict, where: Column | None, depth: int
     return F.concat(*found) if found else _none()
 
 
+def _item_rules(items: Column, schema: dict, root: dict, where: Column | None, depth: int) -> Column:
+    """What ``schema`` refuses about the number of ``items`` and about each; null, of what is no array, is fine."""
+    found = []
+    if "minItems" in schema:
+        found.append(_says(F.size(items) < schema["minItems"], where, f"holds fewer than {schema['minItems']}"))
+    if "maxItems" in schema:
+        found.append(_says(F.size(items) > schema["maxItems"], where, f"holds more than {schema['maxItems']}"))
+    if "items" in schema:
+        inside = F.transform(items, lambda x, i: _walk(x, schema["items"], root, _at(where, i.cast("string")), depth))
+        found.append(F.flatten(inside))
+    return F.when(items.isNull(), _none()).otherwise(F.concat(*found))
+
+
 def contract_report(rows: DataFrame, document: str, schema: dict, typed: str | None = None) -> DataFrame:
     """``rows`` with ``errors``, what the schema refuses, and ``warnings``, in the order of the schema's keywords and the
     documents' members; both empty: the document is fine.
@@ -129,18 +144,25 @@ def contract_report(rows: DataFrame, document: str, schema: dict, typed: str | N
     value changes, and members it lacks, are one warning. Members that are absent, or null on both sides, don't
     count.
     """
-    v = F.try_parse_json(document)
-    kind = _kind(v)
-    whole = F.when(v.isNull(), F.array(F.lit("not a JSON document"))).when(kind != "object", F.array(F.concat(F.lit("document root must be an object, not "), kind)))
-    out = rows.withColumn("errors", F.coalesce(whole, _walk(v, schema, schema, None)))
+
+    def errors(v: Column) -> Column:
+        kind = _kind(v)
+        whole = F.when(v.isNull(), F.array(F.lit("not a JSON document"))).when(kind != "object", F.array(F.concat(F.lit("document root must be an object, not "), kind)))
+        return let(whole, lambda w: F.when(w.isNotNull(), w).otherwise(_walk(v, schema, schema, None)))
+
+    out = rows.withColumn("errors", let(F.try_parse_json(document), errors))
     if typed is None:
         return out.withColumn("warnings", _none())
-    read = F.from_json(document, typed)
-    again = F.try_parse_json(F.to_json(read, {"ignoreNullFields": "false"}))
     names = [f.name for f in rows.sparkSession.createDataFrame([], typed).schema.fields]
     text = lambda x, name: F.nullif(F.to_json(_member(x, name)), F.lit("null"))
-    changed = [F.when(text(v, n).isNotNull() & ~text(v, n).eqNullSafe(text(again, n)), F.lit(n)) for n in names]
-    unknown = F.array_except(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array(*map(F.lit, names)))
-    drift = F.array_sort(F.concat(F.array_compact(F.array(*changed)), unknown))
-    warned = F.when(F.size(drift) > 0, F.array(F.concat(F.lit("re-serialisation drift on field(s): "), F.array_join(drift, ", ")))).otherwise(_none())
+
+    def drift(v: Column, again: Column) -> Column:
+        differs = lambda n: lambda was: F.when(was.isNotNull() & ~was.eqNullSafe(text(again, n)), F.lit(n))
+        changed = [let(text(v, n), differs(n)) for n in names]
+        unknown = F.array_except(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array(*map(F.lit, names)))
+        return F.array_sort(F.concat(F.array_compact(F.array(*changed)), unknown))
+
+    again = F.try_parse_json(F.to_json(F.from_json(document, typed), {"ignoreNullFields": "false"}))
+    found = let(F.try_parse_json(document), lambda v: let(again, lambda a: drift(v, a)))
+    warned = let(found, lambda f: F.when(F.size(f) > 0, F.array(F.concat(F.lit("re-serialisation drift on field(s): "), F.array_join(f, ", ")))).otherwise(_none()))
     return out.withColumn("warnings", F.when(F.size("errors") == 0, warned).otherwise(_none()))
