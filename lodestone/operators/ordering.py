@@ -7,6 +7,8 @@ all rows is sorted by as many tasks as it has ranges.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,17 +145,29 @@ def streamed_digest(rows: DataFrame, by: list[str], order: list[str], piece: Col
 GATHER = 10_000
 
 
-def text_digest(rows: DataFrame, by: list[str], order: str, between: str, gather: int = GATHER) -> DataFrame:
-    """``by``, ``n``, ``first`` and ``digest``: SHA-256 of a group's texts in their order, joined by ``between``. Groups of up to
-    ``gather`` rows are sorted as arrays; larger ones are streamed in order, so none is gathered."""
+def text_digest(rows: DataFrame, by: list[str], value: str, between: str, gather: int = GATHER, text: Callable[[Column], Column] = lambda v: v, distinct: bool = False) -> DataFrame:
+    """``by``, ``n``, ``first`` and ``digest``: SHA-256 of a group's texts in their order, joined by ``between``; ``text`` makes the
+    text of a ``value``, so that the short values move and not their texts. With ``distinct`` a value counts once.
+
+    Groups of up to ``gather`` rows are sorted as arrays; larger ones are streamed in order, so none is gathered.
+    """
     names = {c: f"_g{i}" for i, c in enumerate(by)}
-    sizes = rows.groupBy(*(F.col(c).alias(k) for c, k in names.items())).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
-    gathered = [F.count("*").alias("n"), F.min(order).alias("first"), F.sha2(F.array_join(F.array_sort(F.collect_list(order)), between).cast("binary"), 256).alias("digest")]
+    sizes = rows.groupBy(*(F.col(c).alias(k) for c, k in names.items())).agg(F.count("*").alias("_n"))
+
+    def gathered(some: DataFrame) -> DataFrame:
+        # nulls count, but have no text
+        values = (F.collect_set if distinct else F.collect_list)(value)
+        nulls = F.count_if(F.col(value).isNull())
+        each = some.groupBy(*by).agg(values.alias("_v"), (F.least(nulls, F.lit(1)) if distinct else nulls).alias("_nulls"))
+        each = each.select(*by, (F.size("_v") + F.col("_nulls")).cast("bigint").alias("n"), F.array_sort(F.transform("_v", text)).alias("_t"))
+        return each.select(*by, "n", F.get("_t", F.lit(0)).alias("first"), F.sha2(F.array_join("_t", between).cast("binary"), 256).alias("digest"))
+
     if sizes.where(F.col("_n") > gather).isEmpty():
-        return rows.groupBy(*by).agg(*gathered)
-    met = rows.join(sizes, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()])
-    small = met.where(F.col("_n") <= gather).groupBy(*by).agg(*gathered)
-    large = streamed_digest(met.where(F.col("_n") > gather), by, [order], F.col(order).cast("binary"), between.encode())
-    firsts = sizes.select(*(F.col(k) for k in names.values()), F.col("_first").alias("first"))
-    large = large.join(firsts, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]).select(*by, "n", "first", "digest")
-    return small.unionByName(large)
+        return gathered(rows)
+    met = rows.join(sizes, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]).drop(*names.values())
+    large = met.where(F.col("_n") > gather).select(*by, value)
+    large = (large.distinct() if distinct else large).withColumn("_t", text(F.col(value)))
+    firsts = large.groupBy(*(F.col(c).alias(k) for c, k in names.items())).agg(F.min("_t").alias("first"))
+    digests = streamed_digest(large, by, ["_t"], F.col("_t").cast("binary"), between.encode())
+    digests = digests.join(firsts, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]).select(*by, "n", "first", "digest")
+    return gathered(met.where(F.col("_n") <= gather)).unionByName(digests)
