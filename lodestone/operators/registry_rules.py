@@ -80,3 +80,34 @@ def sweep_points(params: DataFrame, axes: list[str], done: DataFrame) -> DataFra
         values = params.select(a).distinct()
         points = values if points is None else points.crossJoin(values)
     return points.join(done, axes, "left_anti")
+
+
+#: Paths to a node up to which its grandparents are gathered.
+PATHS = 10_000
+
+
+def grandparents(up: DataFrame, down: DataFrame, most: int = PATHS) -> DataFrame:
+    """(node, n_grandparents, n_paths) over the edges ``up`` (grandparent, mid) and ``down`` (mid, node); repeated edges count once.
+
+    A mid's grandparents travel as one set to each of its nodes, so what moves is a row an edge and not a row a path. A
+    node with over ``most`` paths counts its distinct pairs instead, so no set or node is gathered beyond that. A null
+    grandparent is a path, but no grandparent.
+    """
+    up, down = up.select("grandparent", "mid").where("mid is not null"), down.select("mid", "node").where("mid is not null")
+    highest = lambda edges, key: edges.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    edges = down.distinct()
+
+    def gathered(up: DataFrame, edges: DataFrame) -> DataFrame:
+        sets = up.groupBy("mid").agg(F.collect_set("grandparent").alias("_set"), F.max(F.col("grandparent").isNull().cast("int")).alias("_none"))
+        met = edges.join(sets, "mid").groupBy("node").agg(F.collect_list("_set").alias("_sets"), F.sum(F.size("_set") + F.col("_none")).alias("n_paths"))
+        return met.select("node", F.size(F.array_distinct(F.flatten("_sets"))).cast("bigint").alias("n_grandparents"), "n_paths")
+
+    if highest(up, "mid") * highest(down, "node") <= most:  # a bound on all nodes' paths
+        return gathered(up, edges)
+    up = up.distinct()
+    degree = up.groupBy("mid").agg(F.count("*").alias("n"))
+    paths = edges.join(degree, "mid").groupBy(F.col("node").alias("_node")).agg(F.sum("n").alias("n_paths"))
+    known = lambda side: edges.join(paths.where(side), F.col("node").eqNullSafe(F.col("_node"))).drop("_node")
+    light = gathered(up.join(degree.where(F.col("n") <= most), "mid", "left_semi"), known(F.col("n_paths") <= most).drop("n_paths"))
+    pairs = known(F.col("n_paths") > most).join(up, "mid").select("node", "n_paths", "grandparent").distinct()
+    return light.unionByName(pairs.groupBy("node", "n_paths").agg(F.count("grandparent").alias("n_grandparents")))

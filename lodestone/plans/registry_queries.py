@@ -78,18 +78,21 @@ def restore_log(spark, d):
 EDGE = """e AS (SELECT 'part:' || l_partkey AS source, 'order:' || l_orderkey AS target, 'aggregated_into' AS kind FROM lineitem UNION SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'trained_on' FROM lineitem)"""
 
 
-def edges(spark, d):
-    li = load(spark, d, "lineitem")
-    name = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
-    a = li.select(name("part", "l_partkey").alias("source"), name("order", "l_orderkey").alias("target"), F.lit("aggregated_into").alias("kind"))
-    b = li.select(name("supplier", "l_suppkey").alias("source"), name("part", "l_partkey").alias("target"), F.lit("trained_on").alias("kind"))
-    return a.unionByName(b).dropDuplicates()
+def named(kind, c):
+    """The name of a node; edges are told apart and moved by their keys, which name the same nodes."""
+    return F.concat(F.lit(kind + ":"), c.cast("string"))
 
 
 @query(f"""WITH {EDGE} SELECT target, kind, count(*) AS n_parents, min(source) AS first_parent, sha256(string_agg(source, ',' ORDER BY source)) AS parents_sha256 FROM e GROUP BY 1, 2""")
 def lineage_graph(spark, d):
     """Parents of every node: how many, the first, and the digest of all in order; a node may have any number of them."""
-    return text_digest(edges(spark, d), ["target", "kind"], "source", ",").withColumnsRenamed({"n": "n_parents", "first": "first_parent", "digest": "parents_sha256"})
+    li = load(spark, d, "lineitem")
+
+    def parents(source: str, source_kind: str, target: str, target_kind: str, kind: str):
+        found = text_digest(li.select(target, source), [target], source, ",", text=lambda v: named(source_kind, v), distinct=True)
+        return found.select(named(target_kind, F.col(target)).alias("target"), F.lit(kind).alias("kind"), F.col("n").alias("n_parents"), F.col("first").alias("first_parent"), F.col("digest").alias("parents_sha256"))
+
+    return parents("l_partkey", "part", "l_orderkey", "order", "aggregated_into").unionByName(parents("l_suppkey", "supplier", "l_partkey", "part", "trained_on"))
 
 
 @query("""WITH n AS (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, CASE WHEN l_quantity > 25 THEN l_quantity END AS qty FROM lineitem)
@@ -103,14 +106,10 @@ def lineage_nodes(spark, d):
 
 @query(f"""WITH {EDGE} SELECT c.target AS node, count(DISTINCT p.source) AS n_grandparents, count(*) AS n_paths FROM e p JOIN e c ON p.target = c.source WHERE p.kind = 'trained_on' GROUP BY 1""")
 def graph_parents(spark, d):
-    """Paths are counted by multiplication: a part's number of parents is added up over its children. Only the distinct
-    grandparents need the pairs, which combine before they are shuffled."""
-    e = edges(spark, d)
-    up = e.where("kind = 'trained_on'").select(F.col("source").alias("grandparent"), F.col("target").alias("mid"))
-    down = e.where("kind = 'aggregated_into'").select(F.col("source").alias("mid"), F.col("target").alias("node"))
-    paths = down.join(up.groupBy("mid").agg(F.count("*").alias("n")), "mid").groupBy("node").agg(F.sum("n").alias("n_paths"))
-    old = up.join(down, "mid").select("node", "grandparent").distinct().groupBy("node").agg(F.count("*").alias("n_grandparents"))
-    return old.join(paths, "node").select("node", "n_grandparents", "n_paths")
+    """Suppliers are the grandparents of orders, over parts."""
+    li = load(spark, d, "lineitem")
+    found = G.grandparents(li.select(F.col("l_suppkey").alias("grandparent"), F.col("l_partkey").alias("mid")), li.select(F.col("l_partkey").alias("mid"), F.col("l_orderkey").alias("node")))
+    return found.select(named("order", F.col("node")).alias("node"), "n_grandparents", "n_paths")
 
 
 COMP = """comp AS (SELECT l_orderkey AS name, l_linenumber AS version, l_partkey % 50 AS cn, CAST(l_linenumber % 3 AS INT) AS cv, l_suppkey % 50 + 100 AS ln, CAST(l_quantity::INT % 4 AS INT) AS lv FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1)"""
