@@ -21,17 +21,22 @@ from lodestone.operators.validators import path_problem
 from lodestone.sources.tensor_files import opened
 from lodestone.sources.versions import verify_pack
 
+#: Bytes of files in an archive, about; an archive is written and read by one task.
+ARCHIVE_BYTES = 64 << 20
+
 MANIFEST = "path string, num_bytes bigint, sha256 string, archive string"
 
 
-def write_pack(files: DataFrame, root: str, archives: int = 1) -> DataFrame:
-    """Write ``files`` (path, content) and return the manifest, read back from the pack. A path that is missing, goes up or is
+def write_pack(files: DataFrame, root: str, archives: int = 1, most_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write ``files`` (path, content) and return the manifest, read back from the pack. There are ``archives`` ranges of paths, and
+    more if they would hold over ``most_bytes`` each, so what a task reads doesn't grow with the pack. A path that is missing, goes up or is
     absolute is an error, and so is one that occurs twice. A task streams its range of paths into one archive, under a
     hidden name until it is whole; it holds one batch of files. The manifest comes last: without it there is no pack."""
     spark = files.sparkSession
     checked = F.when(path_problem(F.col("path")).isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("path refused: "), F.coalesce("path", F.lit("null")))))
     rows = files.select(checked.alias("path"), F.col("content").cast("binary").alias("content"))
-    ranged = rows.repartitionByRange(archives, "path").sortWithinPartitions("path")
+    total = files.agg(F.coalesce(F.sum(F.octet_length(F.col("content").cast("binary"))), F.lit(0))).first()[0]
+    ranged = rows.repartitionByRange(max(archives, -(-total // most_bytes)), "path").sortWithinPartitions("path")
 
     def pack(batches):
         name = f"files-{TaskContext.get().partitionId():05d}.tar"
