@@ -99,13 +99,18 @@ def module_differences(parts: DataFrame, key: list[str], part: str, module: str)
     return sets.select(*key, less("cluster", "client").alias("only_cluster"), less("client", "cluster").alias("only_client"))
 
 
-def plan_acceptance(shards: DataFrame, plan: str, client: str, n_files: str, declared: Column, most: int, expected: int) -> DataFrame:
+def plan_acceptance(shards: DataFrame, plan: str, client: str, n_files: str, declared: Column | None, most: int, expected: int) -> DataFrame:
     """A row a plan: errors, warnings and whether it is accepted.
 
     Errors: fewer than two clients or more than ``most`` declared, a client named twice, a shard
-    without files. A declared number other than ``expected`` is a warning.
+    without files. A declared number other than ``expected`` is a warning. Without ``declared`` a plan declares the shards it has.
+
+    Shards are added up by client and then by plan, after one shuffle by plan.
     """
-    one = shards.groupBy(plan).agg(F.max(declared).alias("n"), F.count("*").alias("rows"), F.countDistinct(client).alias("clients"), F.count_if(F.col(n_files) == 0).alias("empty"))
+    dealt = shards.repartition(plan)
+    n = F.lit(None).cast("bigint") if declared is None else declared
+    each = dealt.groupBy(plan, client).agg(F.max(n).alias("n"), F.count("*").alias("rows"), F.count_if(F.col(n_files) == 0).alias("empty"))
+    one = each.groupBy(plan).agg(F.sum("rows").alias("rows"), (F.sum("rows") if declared is None else F.max("n")).alias("n"), F.count(client).alias("clients"), F.sum("empty").alias("empty"))
     errors = problems(
         F.when(F.col("n") < 2, "too_few_clients"), F.when(F.col("n") > most, "too_many_clients"), F.when(F.col("clients") < F.col("rows"), "duplicate_client"), F.when(F.col("empty") > 0, "empty_shard")
     )
