@@ -73,3 +73,31 @@ def test_holdout_bounds(spark):
     df = spark.createDataFrame([(f"g{n}", i) for n in (1, 2, 5, 40) for i in range(n)], "g string, i long")
     held = {r.g: r.h for r in C.holdout(df, "g", "i", 1, 0.1).groupBy("g").agg(F.sum(F.col("held_out").cast("int")).alias("h")).collect()}
     assert held == {"g1": None, "g2": 1, "g5": 1, "g40": 4}
+
+
+def test_code_lines_as_lines_say(spark):
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\n\r", ""]
+    heads = ["a", "  a # b", "# a", "\u3000# a", "\x1f\xa0a", "", " ", "^", "é", "\U0001f600 #"]
+    texts = ["".join(h + e for h in heads) for e in ends] + [h + e + k + "x" for h in heads for e in ends for k in heads] + ["", "\n", "#", "x" * 5000 + "\n#"]
+    t = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = rows.select("t", X.count_code_lines(t).alias("c"), X.count_lines(t).alias("n")).collect()
+    code = lambda x: sum(s != "" and s[0] != "#" for s in map(str.strip, x.splitlines()))
+    assert [(r.c, r.n) for r in got] == [(None, None) if r.t is None else (code(r.t), len(r.t.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n")) if r.t else 0) for r in got]
+
+
+def test_code_lines_are_cheaper_than_a_class_at_every_character(spark):
+    import time
+
+    t = F.col("t")
+    rows = spark.range(0, 400, 1, 4).select(F.concat(F.repeat(F.lit("words of a line "), 1000), F.col("id").cast("string")).alias("t")).cache()
+    slow = F.regexp_count(t, F.lit(f"(?<![^{X.END}])[{X.BLANK}]*+[^#{X.SPACE}]"))
+
+    def seconds(count):
+        start = time.perf_counter()
+        assert rows.agg(F.sum(count)).first()[0] == 400
+        return time.perf_counter() - start
+
+    for count in (slow, X.count_code_lines(t)):
+        seconds(count)
+    assert min(seconds(X.count_code_lines(t)) for _ in range(3)) < 0.5 * min(seconds(slow) for _ in range(3))
