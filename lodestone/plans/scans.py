@@ -56,12 +56,12 @@ def sample_scan(spark, d):
 @query("""SELECT source || '/' || lang || '/' || item || '.py' AS path, sha256(replace(t, chr(13) || chr(10), chr(10))) AS text_sha256, place FROM (
     SELECT source, lang, doc_id AS item, text || chr(13) || chr(10) AS t, row_number() OVER (ORDER BY string_split(source || '/' || lang || '/' || doc_id || '.py', '/')) - 1 AS place FROM documents JOIN labels USING (doc_id))""")
 def source_tree_texts(spark, d):
-    """Labelled documents as files of a tree, read in path order with newlines normalised."""
+    """Labelled documents as files of a tree, read once with newlines normalised, and their places in path order."""
     root = scratch_path(spark, "tree")
     path = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".py")))
     files = load(spark, d, "documents").join(load(spark, d, "labels").select("doc_id"), "doc_id").select(path.alias("path"), F.concat("text", F.lit("\r\n")).cast("binary").alias("content"))
     P.write_tree(files, root)
-    texts = S.sorted_texts(spark, root).select("path", X.sha256(F.col("text")).alias("text_sha256"))
+    texts = S.texts(spark, root).select("path", X.sha256(F.col("text")).alias("text_sha256"))
     return S.numbered_paths(texts, "path", "place")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators.ordering import range_bucket, running
 from lodestone.sources.commit import swap_file
+from lodestone.sources.scratch import stored
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
@@ -83,15 +84,23 @@ def discover(spark: SparkSession, root: str, name: str | list[str] = "*.py", sub
     return found.select(relative.alias("path"), "length", "content")
 
 
+def texts(spark: SparkSession, root: str, name: str = "*.py") -> DataFrame:
+    """(path, text) of the decodable files below a folder."""
+    return discover(spark, root, name).select("path", decoded(F.col("content")).alias("text")).where("text is not null")
+
+
 def sorted_texts(spark: SparkSession, root: str, name: str = "*.py") -> DataFrame:
-    """(path, text) of the decodable files below a folder in path order, parts of a path compared one by one."""
-    files = discover(spark, root, name).select("path", decoded(F.col("content")).alias("text"))
-    return files.where("text is not null").orderBy(F.split("path", "/"))
+    """The same in path order, parts of a path compared one by one."""
+    return texts(spark, root, name).orderBy(F.split("path", "/"))
 
 
 def numbered_paths(rows: DataFrame, path: str, name: str) -> DataFrame:
-    """``rows`` with ``name``, their place (from 0) in the order of paths, parts compared one by one."""
+    """``rows`` with ``name``, their place (from 0) in the order of paths, parts compared one by one.
+
+    Places need the rows four times, so they are stored first: what gives them, such as a tree of files, is read once.
+    """
     parts = F.split(path, "/")
+    rows, _ = stored(rows.repartition(path), "paths")  # tasks of a few files each would leave as many tables
     return running(rows.withColumn("_parts", parts), [], ["_parts"], range_bucket(rows, parts), at=name).drop("_parts", "_n")
 
 

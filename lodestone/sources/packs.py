@@ -97,10 +97,13 @@ def write_tree(files: DataFrame, root: str) -> int:
 
     def write(batches):
         system, at = opened(root)
+        made = set()
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 folder, _, name = f"{at.rstrip('/')}/{path}".rpartition("/")
-                system.create_dir(folder, recursive=True)
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 part = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write(content or b"")

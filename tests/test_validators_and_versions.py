@@ -174,3 +174,18 @@ def test_rows_keep_their_errors(spark):
 
     got = sorted((r.i is None, r.i, r.h, r.error) for r in K.apply_rows(spark.createDataFrame([(0,), (1,), (2,)], "i long"), half, "i bigint, h bigint").collect())
     assert [g[:3] for g in got[:2]] == [(False, 1, 6), (False, 2, 3)] and got[2][3].startswith("ZeroDivisionError")
+
+
+def test_places_of_paths_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def there(path):
+        read.add(1)
+        return path is not None
+
+    paths = [f"{a}/{b}.py" for a in ("a", "a-b", "a/b") for b in range(20)]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").where(there("path"))
+    got = {r.path: r.place for r in S.numbered_paths(rows, "path", "place").collect()}
+    assert got == {p: i for i, p in enumerate(sorted(paths, key=lambda p: p.split("/")))}
+    assert read.value == len(paths)
