@@ -77,3 +77,24 @@ def test_idle_buckets_are_cleared(spark, tmp_path):
     drained(limiter.token_buckets(arriving, "c", "t", "i", 2.0, 0.1, 60.0), f"{tmp_path}/out", f"{tmp_path}/ck")
     state = spark.read.format("statestore").option("stateVarName", "bucket").load(f"{tmp_path}/ck")
     assert [r.key.c for r in state.select("key").collect()] == ["new"]
+
+
+def test_a_client_takes_one_row_and_few_calls(monkeypatch):
+    """What a batch's client costs besides its requests: four calls to the state store and a row for the result."""
+    from datetime import UTC, datetime
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row
+
+    handle = MagicMock()
+    bucket = handle.getValueState.return_value
+    bucket.get.return_value = (1.5, 1000.0)
+    p = limiter.Buckets("c", "t", "i", 2.0, 0.5, 60.0)
+    p.init(handle)
+    rows = [Row(c="a", t=datetime.fromtimestamp(1000 + s, UTC), i=n) for n, s in enumerate([3, 1, 2, 2])]
+    out = [tuple(r) for r in p.handleInputRows(("a",), iter(rows), None)]
+    assert out == [("a", [1, 2, 3, 0], [True, True, False, True])]
+    assert [c[0] for c in bucket.method_calls] == ["get", "update"] and bucket.update.call_args[0][0][1] == 1003.0
+    assert [c.args for c in handle.deleteTimer.mock_calls + handle.registerTimer.mock_calls] == [(1_060_000,), (1_063_000,)] and not handle.listTimers.called
+    monkeypatch.setattr(limiter, "PACK", 3)
+    assert [len(r[1]) for r in p.handleInputRows(("a",), iter(rows), None)] == [3, 1]
