@@ -41,11 +41,15 @@ def shape(token: bytes) -> int:
     return 8 + zlib.crc32(c * min(len(token), 3)) % 1000
 
 
+#: Tokens whose codes a worker remembers at most: about 20 MB.
+REMEMBERED = 100_000
+
+
 class Codes(dict):
     """token -> hash | shape << 32, remembered up to a bound."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         code = self[token] = zlib.crc32(token) | shape(token) << 32
         return code
